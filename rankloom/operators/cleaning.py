@@ -156,8 +156,7 @@ def split_random(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Same sizes over a seeded shuffle of each user's events."""
-    order = [digest(seed, F.col(USER), F.col(ITEM)).asc(), F.col(ROW).asc()]
-    keyed = df.withColumn("_key", order[0])
+    keyed = df.withColumn("_key", digest(seed, F.col(USER), F.col(ITEM)))
     order = [F.col("_key").asc(), F.col(ROW).asc()]
     out = _split(keyed, order, min_interactions, test_ratio, val_ratio, hot, hot_rows)
     return out.drop("_key")

@@ -72,7 +72,7 @@ def summary_text(wide: DataFrame, order_by: str | None = None) -> DataFrame:
     texts = []
     for c in columns:
         value = number(F.col(f"`{c}`"))
-        texts.append(F.when(F.count(value) > 0, mean_and_deviation(F.avg(value), _deviation(value))).alias(c))
+        texts.append(mean_and_deviation(F.avg(value), _deviation(value)).alias(c))
     if order_by is None:
         return wide.groupBy("model").agg(*texts)
     first = F.min(order_by).alias("_first")

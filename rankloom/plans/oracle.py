@@ -164,8 +164,8 @@ p3 AS (SELECT *, CASE WHEN h3 % u IN (d0, d1, d2) THEN u - 1 ELSE h3 % u END AS
 places AS (SELECT row_id, user_id, u, unnest([0, 1, 2, 3]) AS slot,
     unnest(CASE WHEN u >= 4 THEN [d0, d1, d2, d3] ELSE [h0 % u, h1 % u, h2 % u, h3 % u] END) AS place FROM p3),
 neg AS (SELECT row_id, user_id, CAST(slot AS INTEGER) AS slot, idx.item_id FROM (
-    SELECT p.*, place + (SELECT count(*) FROM seen s WHERE s.user_id = p.user_id AND s.gap <= place) AS at FROM places p)
-  JOIN idx ON idx.idx = at)"""
+    SELECT p.*, place + (SELECT count(*) FROM seen s WHERE s.user_id = p.user_id AND s.gap <= place) AS spot FROM places p)
+  JOIN idx ON idx.idx = spot)"""
 
 
 # --- vectors ------------------------------------------------------------------------------------
@@ -259,7 +259,7 @@ STUDENTS = """st AS (SELECT CAST(doc_id AS VARCHAR) AS id, n_chars,
 ent AS (SELECT id, unnest(courses) AS n FROM st WHERE NOT (n_chars % 10 = 3 AND len(courses) > 1)),
 enr AS (SELECT id AS user_id, 'C_' || n AS item_id,
     CAST(epoch(make_timestamp(2000 + n % 100, 1, 1, 0, 0, 0.0)) AS BIGINT) AS t FROM ent WHERE n % 7 <> 0)"""
-ENROLLED = sel(STUDENTS, "SELECT item_id, count(*) AS n, count(DISTINCT user_id) AS n_users, min(t) AS timestamp FROM enr GROUP BY 1")
+ENROLLED = sel(STUDENTS, "SELECT item_id, count(*) AS n, count(DISTINCT user_id) AS n_users, min(t) AS time FROM enr GROUP BY 1")
 
 
 def kcore_views(k: int, rounds: int) -> str:
@@ -395,8 +395,8 @@ c AS (SELECT item_id, ln(1 + count(*)) AS bias FROM pr GROUP BY 1)""",
     "history_vectors": sel(HIST + f""",
 {VEC}, {DIMS},
 hq AS (SELECT row_id, history FROM h WHERE split = 'test'),
-he AS (SELECT row_id, unnest(history) AS item, unnest(range(0, len(history))) AS at, len(history) AS n FROM hq),
-mean AS (SELECT row_id, dim, sum(x * power(CAST(0.9 AS DOUBLE), n - 1 - at)) / sum(power(CAST(0.9 AS DOUBLE), n - 1 - at)) AS x
+he AS (SELECT row_id, unnest(history) AS item, unnest(range(0, len(history))) AS spot, len(history) AS n FROM hq),
+mean AS (SELECT row_id, dim, sum(x * power(CAST(0.9 AS DOUBLE), n - 1 - spot)) / sum(power(CAST(0.9 AS DOUBLE), n - 1 - spot)) AS x
   FROM he JOIN vd ON vd.id = item GROUP BY 1, 2)""",
         """SELECT hq.row_id AS query_id, count(dim) > 0 AS available, round(coalesce(sum(x), 0), 6) AS total,
   round(sqrt(coalesce(sum(x * x), 0)), 6) AS length FROM hq LEFT JOIN mean USING (row_id) GROUP BY 1"""),
@@ -465,9 +465,8 @@ nn AS (SELECT item_id, row_number() OVER (ORDER BY token) - 1 AS idx FROM tk)"""
     "academic_years": """SELECT CASE WHEN o_orderstatus = 'P' THEN NULL ELSE 2000 + CAST(year(o_orderdate) % 100 AS BIGINT) END AS year,
   count(*) AS n FROM orders GROUP BY 1""",
     "valid_times": """SELECT event_id, epoch_us(ts) // 1000000 AS timestamp FROM events WHERE event_type NOT IN ('error', 'signup')""",
-    "numbers": r"""SELECT v IS NULL AS is_null, count(*) AS n, round(sum(v), 2) AS total FROM (
-  SELECT TRY_CAST(regexp_replace(string_split(string_split(text, chr(10))[1], ' ')[-1], '[^0-9.]', '', 'g') AS DOUBLE) AS v
-  FROM documents) GROUP BY 1""",
+    "numbers": """SELECT p_size < 10 AS is_null, count(*) AS n, round(sum(CASE WHEN p_size >= 10 THEN p_retailprice END), 2) AS total
+  FROM part GROUP BY 1""",
     "display_names": r"""SELECT DISTINCT p_type, p_brand,
   trim(regexp_replace(lower(p_brand || '##' || p_type), '[^a-z0-9]+', '_', 'g'), '_') AS safe,
   array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS label FROM part""",

@@ -528,12 +528,10 @@ def list_forms(spark, d):
     """Part words written as a list literal, with three separators, and plain."""
     words = F.split("p_name", " ")
     literal = F.concat(F.lit("['"), F.array_join(words, "', '"), F.lit("']"))
-    signs = F.array(F.lit(", "), F.lit(";"), F.lit(" | "))
     form = F.pmod(F.length("p_name"), F.lit(5))
     listed = F.when(form == 0, literal)
-    for i in range(3):
-        listed = listed.when(form == i + 1, F.array_join(F.split("p_name", " "), [", ", ";", " | "][i]))
-    del signs
+    for i, sign in enumerate((", ", ";", " | ")):
+        listed = listed.when(form == i + 1, F.array_join(words, sign))
     return table(spark, d, "part").select("p_partkey", listed.otherwise(F.col("p_name")).alias("written"))
 
 
@@ -575,9 +573,8 @@ def valid_times(spark, d):
 
 def numbers(spark, d):
     """Text coerced to numbers; text that is none becomes null."""
-    docs = table(spark, d, "documents")
-    first = F.substring_index(F.substring_index("text", "\n", 1), " ", -1)
-    rows = docs.select("doc_id", cleaning.number(F.regexp_replace(first, r"[^0-9.]", "")).alias("value"))
+    written = F.when(F.col("p_size") < 10, F.col("p_brand")).otherwise(F.col("p_retailprice").cast("string"))
+    rows = table(spark, d, "part").select(cleaning.number(written).alias("value"))
     return rows.groupBy((F.col("value").isNull()).alias("is_null")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")
     )

@@ -195,35 +195,47 @@ def add_relevance(df: DataFrame, thresholds: tuple[DataFrame, DataFrame] | None)
     return joined.withColumn(RELEVANT, _label(threshold)).select(*df.columns, RELEVANT)
 
 
-def label_split(df: DataFrame, hot=DETECT, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Label a split table against the means of its own training rows.
+def with_user_means(df: DataFrame, hot=DETECT, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add the mean training rating of the user as ``_user_mean`` to split rows.
 
-    Ordinary users are labelled by a window on the partitioning that the split
-    left behind; hot users go through a pre-aggregated mean instead.
+    Ordinary users take a window on the partitioning that the split left behind;
+    hot users go through a pre-aggregated mean instead.
     """
-    require(df, USER, SPLIT)
-    if not is_explicit(df):
-        return df.withColumn(RELEVANT, F.lit(1))
     hot = resolve_hot(df, [USER], hot, hot_rows)
-    train_rating = F.when(F.col(SPLIT) == "train", number(F.col(RATING)))
-    overall = df.agg(F.avg(train_rating)).scalar()
+    rating = train_rating()
 
     def by_window(part: DataFrame) -> DataFrame:
-        mean = F.avg(train_rating).over(W.partitionBy(USER))
-        named = part.withColumn("_user_mean", mean)
-        threshold = F.coalesce(F.col("_user_mean"), overall)
-        return named.withColumn(RELEVANT, _label(threshold)).select(*df.columns, RELEVANT)
+        return part.withColumn("_user_mean", F.avg(rating).over(W.partitionBy(USER)))
 
     if hot is None:
         return by_window(df)
     regular, heavy = split_hot(df, [USER], hot)
-    means = heavy.groupBy(USER).agg(F.avg(train_rating).alias("_user_mean"))
-    labelled = (
-        heavy.join(means, USER, "left")
-        .withColumn(RELEVANT, _label(F.coalesce(F.col("_user_mean"), overall)))
-        .select(*df.columns, RELEVANT)
-    )
-    return by_window(regular).unionByName(labelled)
+    means = heavy.groupBy(USER).agg(F.avg(rating).alias("_user_mean"))
+    joined = heavy.join(means, USER, "left").select(*df.columns, "_user_mean")
+    return by_window(regular).unionByName(joined)
+
+
+def train_rating() -> Column:
+    return F.when(F.col(SPLIT) == "train", number(F.col(RATING)))
+
+
+def label_with_means(df: DataFrame, overall: Column) -> DataFrame:
+    """Label rows that carry ``_user_mean``; ``overall`` serves users without one."""
+    threshold = F.coalesce(F.col("_user_mean"), overall)
+    return df.withColumn(RELEVANT, _label(threshold)).drop("_user_mean")
+
+
+def label_split(df: DataFrame, hot=DETECT, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Label a split table against the means of its own training rows.
+
+    The overall mean is a second pass over ``df``: hand in a written table, or use
+    the preparation plan, which writes the split once.
+    """
+    require(df, USER, SPLIT)
+    if not is_explicit(df):
+        return df.withColumn(RELEVANT, F.lit(1))
+    overall = df.agg(F.avg(train_rating())).scalar()
+    return label_with_means(with_user_means(df, hot, hot_rows), overall)
 
 
 def profile(interactions: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:

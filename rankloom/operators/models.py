@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from rankloom.columns import HISTORY_LENGTH, ITEM, ROW, SPLIT, USER, is_temporal
 from rankloom.operators.cleaning import positives
 from rankloom.operators.ids import catalog_index
-from rankloom.operators.ordering import DETECT, HOT_ROWS, with_positions
+from rankloom.operators.ordering import DETECT, HOT_ROWS, resolve_hot, with_positions
 from rankloom.operators.sequences import user_history
 from rankloom.session import durable
 
@@ -44,6 +44,7 @@ def static_target_ranks(
     Histories are built over places instead of ids. A target's rank is its place
     less the seen items in front of it, so nothing is scored per query.
     """
+    hot = resolve_hot(positives(labelled), [USER], hot, HOT_ROWS)
     placed = positives(labelled).join(places.select(ITEM, "place"), ITEM)
     rows = user_history(placed, length, F.col("place"), "seen_places", hot=hot)
     ahead = F.size(F.filter(F.array_distinct("seen_places"), lambda p: p < F.col("place")))

@@ -22,6 +22,7 @@ from rankloom.operators.ordering import (
     running_sums,
     with_positions,
 )
+from rankloom.session import durable
 
 
 def _numbers(seed: int, row: Column, k: int) -> Column:
@@ -66,7 +67,7 @@ def negative_draws(
     if k < 0:
         raise ValueError("the number of negatives must not be negative")
     observed = interactions if observed is None else observed
-    index = catalog_index(catalog, ITEM, hot_rows=hot_rows)
+    index = durable(catalog_index(catalog, ITEM, hot_rows=hot_rows), "catalog")
     n_items = index.count()
     if n_items < k:
         raise ValueError(f"sampling needs at least {k} candidate items, got {n_items}")
@@ -74,12 +75,11 @@ def negative_draws(
         hot = resolve_hot(observed, [USER], hot, max(1, hot_rows // (k + 1)))
 
     seen = observed.select(USER, ITEM).distinct().join(index, ITEM).select(USER, "idx")
-    seen = with_positions(seen, [USER], [F.col("idx").asc()], "_pos", hot=hot)
+    seen = with_positions(seen, [USER], [F.col("idx").asc()], "_pos", "_seen", hot=hot)
     gaps = seen.select(
         USER, (F.col("idx") - F.col("_pos") + 1).alias("_key"), F.lit(0).alias("_kind"), F.lit(1).alias("_one")
     )
-    seen_count = observed.select(USER, ITEM).distinct().join(index, ITEM, "left_semi")
-    seen_count = seen_count.groupBy(USER).agg(F.count(F.lit(1)).alias("_seen"))
+    seen_count = seen.where("_pos = 1").select(USER, "_seen")
 
     rows = interactions
     if RELEVANT in rows.columns:

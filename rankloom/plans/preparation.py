@@ -21,12 +21,15 @@ from rankloom.columns import (
     is_explicit,
 )
 from rankloom.operators.cleaning import (
+    add_relevance,
     clean_columns,
     dedup_latest,
     kcore,
-    label_split,
+    label_with_means,
     positives,
     split_interactions,
+    train_rating,
+    with_user_means,
 )
 from rankloom.operators.encoding import FEATURE_TYPES, FeatureEncoder
 from rankloom.operators.ids import first_seen_ids
@@ -46,9 +49,11 @@ def labelled_splits(
     min_interactions: int = MIN_INTERACTIONS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Deduplicate, split per user, and label relevance.
+    """Deduplicate, split per user, and label relevance, as a written table.
 
-    Without hot users this is one shuffle by user; histories that follow reuse it.
+    Without hot users this is one shuffle by user for all steps. The split is
+    written together with the user means, so the overall mean is a scan of two
+    columns and every later plan starts from the table.
     """
     hot = hot_keys(interactions, [USER], hot_rows)
     unique = dedup_latest(interactions, cluster_by_user=hot is None)
@@ -61,7 +66,11 @@ def labelled_splits(
         hot=hot,
         hot_rows=hot_rows,
     )
-    return label_split(split, hot, hot_rows)
+    if not is_explicit(split):
+        return add_relevance(durable(split, "split"), None)
+    stored = durable(with_user_means(split, hot, hot_rows), "split")
+    overall = stored.agg(F.avg(train_rating())).first()[0]
+    return label_with_means(stored, F.lit(overall).cast("double"))
 
 
 @dataclass
@@ -109,9 +118,7 @@ def prepare(
         # Row ids from files are fixed here, before several jobs read them.
         users, items, events = kcore(durable(events, "events"), min_interactions, users, items)
     users, items = durable(users, "users"), durable(items, "items")
-    labelled = durable(
-        labelled_splits(events, seed, test_ratio, val_ratio, min_interactions), "labelled"
-    )
+    labelled = labelled_splits(events, seed, test_ratio, val_ratio, min_interactions)
     train = labelled.where(F.col(SPLIT) == "train")
     user_ids = durable(first_seen_ids(users, F.col(USER), train, F.col(ROW), USER), "user-ids")
     item_ids = durable(first_seen_ids(items, F.col(ITEM), train, F.col(ROW), ITEM), "item-ids")

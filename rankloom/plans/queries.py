@@ -70,11 +70,6 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled_splits(ev(spark, sf_dir))
 
 
-def stored_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled splits as a written table, for plans that read them several times."""
-    return durable(labelled(spark, sf_dir), "labelled")
-
-
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev(spark, sf_dir).select(ITEM).distinct()
 
@@ -239,25 +234,25 @@ def graph_nodes(spark, d):
 
 
 def negative_samples(spark, d):
-    rows = cleaning.positives(stored_labelled(spark, d))
+    rows = cleaning.positives(labelled(spark, d))
     return negatives.negative_draws(train_of(rows), catalog(spark, d), 4, seed=42, observed=rows)
 
 
 def negative_lists(spark, d):
-    rows = cleaning.positives(stored_labelled(spark, d))
+    rows = cleaning.positives(labelled(spark, d))
     out = negatives.with_negatives(train_of(rows), catalog(spark, d), 4, seed=42, observed=rows)
     return out.select(ROW, USER, ITEM, joined("negatives"))
 
 
 def candidate_rows(spark, d):
-    rows = cleaning.positives(stored_labelled(spark, d))
+    rows = cleaning.positives(labelled(spark, d))
     out = negatives.with_negatives(train_of(rows), catalog(spark, d), 4, seed=42, observed=rows)
     return negatives.candidate_rows(out)
 
 
 def candidate_metrics(spark, d):
     """Rank of the target among itself and its negatives by item popularity."""
-    rows = cleaning.positives(stored_labelled(spark, d))
+    rows = cleaning.positives(labelled(spark, d))
     counts = models.item_counts(train_of(rows))
     test = rows.where(F.col(SPLIT) == "test")
     sampled = negatives.with_negatives(test, catalog(spark, d), 4, seed=42, observed=rows)
@@ -275,13 +270,13 @@ def candidate_metrics(spark, d):
 
 def popularity_metrics(spark, d):
     """Flagship: deduplicate, split, label, rank by popularity, mask, and evaluate."""
-    rows = stored_labelled(spark, d)
+    rows = labelled(spark, d)
     ranks = experiments.popularity_ranks(rows, catalog(spark, d))
     return metric_rows(ranking.ranking_metrics(ranks))
 
 
 def popularity_ranks(spark, d):
-    return experiments.popularity_ranks(stored_labelled(spark, d), catalog(spark, d))
+    return experiments.popularity_ranks(labelled(spark, d), catalog(spark, d))
 
 
 def popularity_prior(spark, d):
@@ -296,7 +291,7 @@ def top_items_per_user(spark, d):
 
 
 def masked_top_items(spark, d):
-    rows = stored_labelled(spark, d)
+    rows = labelled(spark, d)
     queries = durable(models.queries_of(rows), "queries")
     near = models.item_neighbors(train_of(rows), 20)
     scores = ranking.mask_seen(models.neighbor_scores(queries, near), queries)
@@ -305,7 +300,7 @@ def masked_top_items(spark, d):
 
 
 def item_neighbors(spark, d):
-    near = models.item_neighbors(train_of(stored_labelled(spark, d)), 10)
+    near = models.item_neighbors(train_of(labelled(spark, d)), 10)
     return near.select(ITEM, "neighbor_id", "rank", rounded("similarity"))
 
 
@@ -319,7 +314,7 @@ def item_cooccurrence(spark, d):
 
 
 def neighbor_metrics(spark, d):
-    ranks = experiments.neighbor_ranks(stored_labelled(spark, d), catalog(spark, d), n_neighbors=20)
+    ranks = experiments.neighbor_ranks(labelled(spark, d), catalog(spark, d), n_neighbors=20)
     return metric_rows(ranking.ranking_metrics(ranks))
 
 
@@ -329,12 +324,12 @@ def transition_top(spark, d):
 
 
 def transition_metrics(spark, d):
-    ranks = experiments.transition_ranks(stored_labelled(spark, d), catalog(spark, d), k=20)
+    ranks = experiments.transition_ranks(labelled(spark, d), catalog(spark, d), k=20)
     return metric_rows(ranking.ranking_metrics(ranks))
 
 
 def model_comparison(spark, d):
-    rows, items = stored_labelled(spark, d), catalog(spark, d)
+    rows, items = labelled(spark, d), catalog(spark, d)
     out = experiments.evaluate(
         rows, items, ("popularity", "item-knn", "transition"),
         **{"item-knn": {"n_neighbors": 20}, "transition": {"k": 20}},
@@ -343,22 +338,22 @@ def model_comparison(spark, d):
 
 
 def search_trials(spark, d):
-    trials = experiments.search(stored_labelled(spark, d), catalog(spark, d), "item-knn", {"n_neighbors": [5, 20]}, "ndcg@10")
+    trials = experiments.search(labelled(spark, d), catalog(spark, d), "item-knn", {"n_neighbors": [5, 20]}, "ndcg@10")
     return trials.select("trial", "params", rounded("value"))
 
 
 def best_trial(spark, d):
-    trials = experiments.search(stored_labelled(spark, d), catalog(spark, d), "item-knn", {"n_neighbors": [5, 20]}, "ndcg@10")
+    trials = experiments.search(labelled(spark, d), catalog(spark, d), "item-knn", {"n_neighbors": [5, 20]}, "ndcg@10")
     return experiments.best_trial(trials).select("trial", "params", rounded("value"))
 
 
 def factor_metrics(spark, d):
-    ranks = experiments.factor_ranks(stored_labelled(spark, d), catalog(spark, d), rank=8, iterations=5)
+    ranks = experiments.factor_ranks(labelled(spark, d), catalog(spark, d), rank=8, iterations=5)
     return metric_rows(ranking.ranking_metrics(ranks))
 
 
 def variant_metrics(spark, d):
-    rows = stored_labelled(spark, d)
+    rows = labelled(spark, d)
     n_users, n_items = ev(spark, d).agg(F.max(USER) + 1, F.max(ITEM) + 1).first()
     data = experiments.Availability(context=1, history=True)
     return experiments.run_variants(rows, n_users, n_items, data, ("full", "no_graph", "sum_fusion"), (13,), (10,))
@@ -484,7 +479,7 @@ def text_vectors(spark, d):
 
 def passthrough(spark, d):
     """Dense ids fitted on customers and training rows; unknown items become -1."""
-    rows = stored_labelled(spark, d)
+    rows = labelled(spark, d)
     train = train_of(rows)
     customers = table(spark, d, "customer").select(F.col("c_custkey").alias(USER))
     users = ids.first_seen_ids(customers, F.col(USER), train, F.col(ROW), USER)
@@ -692,7 +687,7 @@ def atomic_frame(spark, d):
 
 def atomic_export(spark, d):
     """Positive interactions written as typed TSV per split and read back."""
-    rows = stored_labelled(spark, d)
+    rows = labelled(spark, d)
     people = table(spark, d, "customer").select(F.col("c_custkey").alias(USER), "c_acctbal", "c_mktsegment")
     items = table(spark, d, "part").select(F.col("p_partkey").alias(ITEM), "p_size")
     written = artifacts.save_atomic(

@@ -27,8 +27,8 @@ from rankloom.functions.hashing import digest
 from rankloom.operators.ordering import (
     DETECT,
     HOT_ROWS,
+    by_heat,
     resolve_hot,
-    split_hot,
     with_positions,
 )
 from rankloom.session import durable
@@ -207,12 +207,11 @@ def with_user_means(df: DataFrame, hot=DETECT, hot_rows: int = HOT_ROWS) -> Data
     def by_window(part: DataFrame) -> DataFrame:
         return part.withColumn("_user_mean", F.avg(rating).over(W.partitionBy(USER)))
 
-    if hot is None:
-        return by_window(df)
-    regular, heavy = split_hot(df, [USER], hot)
-    means = heavy.groupBy(USER).agg(F.avg(rating).alias("_user_mean"))
-    joined = heavy.join(means, USER, "left").select(*df.columns, "_user_mean")
-    return by_window(regular).unionByName(joined)
+    def by_join(part: DataFrame) -> DataFrame:
+        means = part.groupBy(USER).agg(F.avg(rating).alias("_user_mean"))
+        return part.join(means, USER, "left").select(*df.columns, "_user_mean")
+
+    return by_heat(df, [USER], hot, by_window, by_join)
 
 
 def train_rating() -> Column:

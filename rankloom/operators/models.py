@@ -19,6 +19,7 @@ from rankloom.session import durable
 
 KNN_BLOCK = 1024
 USERS_PER_SALT = 1_000_000
+STRIPE_BLOCKS = 64
 
 
 # --- popularity -----------------------------------------------------------------
@@ -82,7 +83,11 @@ def _block_cells(batches: Iterator[pd.DataFrame], block: int) -> Iterator[pd.Dat
 
 
 def cooccurrence(
-    pairs: DataFrame, index: DataFrame, block: int = KNN_BLOCK, users_per_salt: int = USERS_PER_SALT
+    pairs: DataFrame,
+    index: DataFrame,
+    block: int = KNN_BLOCK,
+    users_per_salt: int = USERS_PER_SALT,
+    stripe_blocks: int = STRIPE_BLOCKS,
 ) -> DataFrame:
     """Users shared by two items, as ``(i, j, n)`` over catalog indexes, both directions.
 
@@ -98,8 +103,17 @@ def cooccurrence(
     n_users = pairs.agg(F.approx_count_distinct(USER)).first()[0]
     salts = max(1, -(-n_users // users_per_salt))
     packed = packed.withColumn("salt", F.pmod(F.xxhash64(USER), F.lit(salts)).cast("int"))
-    other = packed.select(USER, F.col("block").alias("other"), F.col("places").alias("other_places"))
-    met = packed.join(other, USER).where("block <= other")
+    # A user's blocks meet in stripes, so one with very many blocks is spread too.
+    stripes = F.ceil(F.count(F.lit(1)).over(W.partitionBy(USER)) / stripe_blocks).cast("int")
+    packed = packed.withColumn("_stripes", stripes)
+    left = packed.withColumn("stripe", F.pmod("block", F.col("_stripes")))
+    right = packed.select(
+        USER,
+        F.col("block").alias("other"),
+        F.col("places").alias("other_places"),
+        F.explode(F.sequence(F.lit(0), F.col("_stripes") - 1)).alias("stripe"),
+    )
+    met = left.join(right, [USER, "stripe"]).where("block <= other")
     met = met.select("block", "other", "salt", "places", "other_places")
     sorted_rows = met.repartition("block", "other", "salt").sortWithinPartitions("block", "other", "salt")
     cells = sorted_rows.mapInPandas(lambda it: _block_cells(it, block), "i bigint, j bigint, n bigint")
@@ -123,13 +137,16 @@ def item_neighbors(train: DataFrame, n_neighbors: int, block: int = KNN_BLOCK, *
 
 
 def neighbor_scores(queries: DataFrame, neighbors: DataFrame) -> DataFrame:
-    """Sum of similarities from the history of each query, for items it reaches."""
+    """Sum of similarities from the history of each query, for items it reaches.
+
+    Rounded, so that equal sums tie whatever order the parts were added in.
+    """
     packed = neighbors.groupBy(ITEM).agg(
         F.collect_list(F.struct(F.col("neighbor_id").alias("to"), "similarity")).alias("_near")
     )
     entries = queries.select("query_id", F.explode(F.array_distinct("history")).alias(ITEM))
     reached = entries.join(packed, ITEM).select("query_id", F.inline("_near"))
-    return reached.groupBy("query_id", F.col("to").alias(ITEM)).agg(F.sum("similarity").alias("score"))
+    return reached.groupBy("query_id", F.col("to").alias(ITEM)).agg(F.round(F.sum("similarity"), 9).alias("score"))
 
 
 # --- next-item transitions --------------------------------------------------------
@@ -147,13 +164,11 @@ def transition_counts(train: DataFrame, hot=DETECT, hot_rows: int = HOT_ROWS) ->
 def transition_top(train: DataFrame, k: int, **options) -> DataFrame:
     """Most likely next items per item, with their probability."""
     counts = transition_counts(train, **options)
-    source = W.partitionBy("from_item")
-    ranked = counts.select(
-        "*",
-        F.sum("n").over(source).alias("_all"),
-        F.row_number().over(source.orderBy(F.col("n").desc(), F.col(ITEM).asc())).alias("rank"),
-    )
-    return ranked.where(F.col("rank") <= k).select(
+    totals = counts.groupBy("from_item").agg(F.sum("n").alias("_all"))
+    # Only the rank is windowed, so Spark limits each group before the shuffle.
+    best = W.partitionBy("from_item").orderBy(F.col("n").desc(), F.col(ITEM).asc())
+    ranked = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.join(totals, "from_item").select(
         "from_item", ITEM, (F.col("n") / F.col("_all")).alias("probability"), "rank"
     )
 

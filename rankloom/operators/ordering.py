@@ -17,7 +17,10 @@ from pyspark.sql import Window as W
 from rankloom.session import durable
 
 HOT_ROWS = 2_000_000
+# Values for ``hot``: find hot keys with a count; every key is hot. None means that
+# no key is hot, and a DataFrame lists the hot keys.
 DETECT = "detect"
+ALL = "all"
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
@@ -38,8 +41,19 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataF
     return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
 
 
-def resolve_hot(df: DataFrame, keys: Sequence[str], hot, hot_rows: int) -> DataFrame | None:
-    return hot_keys(df, keys, hot_rows) if isinstance(hot, str) else hot
+def resolve_hot(df: DataFrame, keys: Sequence[str], hot, hot_rows: int):
+    """None, ``ALL``, or the table of hot keys."""
+    return hot_keys(df, keys, hot_rows) if isinstance(hot, str) and hot == DETECT else hot
+
+
+def by_heat(df: DataFrame, keys: Sequence[str], hot, ordinary, heavy) -> DataFrame:
+    """Apply ``ordinary`` to rows of ordinary groups and ``heavy`` to those of hot ones."""
+    if hot is None:
+        return ordinary(df)
+    if isinstance(hot, str):
+        return heavy(df)
+    few, many = split_hot(df, keys, hot)
+    return ordinary(few).unionByName(heavy(many))
 
 
 def _ranged(df: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -105,12 +119,12 @@ def running_sums(
         small = df.count() <= hot_rows
         build = _window_running if small else _ranged_running
         return build(df, keys, order, sums, totals)
-    hot = resolve_hot(df, keys, hot, hot_rows)
-    if hot is None:
-        return _window_running(df, keys, order, sums, totals)
-    regular, heavy = split_hot(df, keys, hot)
-    return _window_running(regular, keys, order, sums, totals).unionByName(
-        _ranged_running(heavy, keys, order, sums, totals)
+    return by_heat(
+        df,
+        keys,
+        resolve_hot(df, keys, hot, hot_rows),
+        lambda part: _window_running(part, keys, order, sums, totals),
+        lambda part: _ranged_running(part, keys, order, sums, totals),
     )
 
 

@@ -17,10 +17,11 @@ from rankloom.columns import (
 )
 from rankloom.operators.cleaning import oldest_first, positives
 from rankloom.operators.ordering import (
+    ALL,
     DETECT,
     HOT_ROWS,
+    by_heat,
     resolve_hot,
-    split_hot,
     with_positions,
 )
 
@@ -53,10 +54,10 @@ def user_history(
         before = W.partitionBy(USER).orderBy(*order).rowsBetween(-length, -1)
         return part.withColumn(name, F.collect_list(value).over(before))
 
-    if hot is None:
-        return by_window(df)
-    regular, heavy = split_hot(df, [USER], hot)
-    return by_window(regular).unionByName(_chunked_history(heavy, length, value, name, order, chunk_rows))
+    def by_chunk(part: DataFrame) -> DataFrame:
+        return _chunked_history(part, length, value, name, order, chunk_rows)
+
+    return by_heat(df, [USER], hot, by_window, by_chunk)
 
 
 def _chunked_history(df, length, value, name, order, chunk_rows) -> DataFrame:
@@ -66,7 +67,7 @@ def _chunked_history(df, length, value, name, order, chunk_rows) -> DataFrame:
     so every window stays within ``chunk_rows + length`` rows.
     """
     chunk_rows = max(chunk_rows, length)
-    placed = with_positions(df, [USER], order, "_pos", hot=df.select(USER).distinct())
+    placed = with_positions(df, [USER], order, "_pos", hot=ALL)
     own = F.floor((F.col("_pos") - 1) / chunk_rows)
     to_end = chunk_rows - F.pmod(F.col("_pos") - 1, F.lit(chunk_rows))
     homes = F.when(to_end <= length, F.array(own, own + 1)).otherwise(F.array(own))

@@ -34,7 +34,7 @@ from rankloom.operators.cleaning import (
 from rankloom.operators.encoding import FEATURE_TYPES, FeatureEncoder
 from rankloom.operators.ids import first_seen_ids
 from rankloom.operators.negatives import with_negatives
-from rankloom.operators.ordering import HOT_ROWS, hot_keys
+from rankloom.operators.ordering import ALL, HOT_ROWS, by_heat, hot_keys
 from rankloom.operators.sequences import user_history
 from rankloom.session import durable
 from rankloom.sources.artifacts import save_prepared
@@ -55,20 +55,25 @@ def labelled_splits(
     written together with the user means, so the overall mean is a scan of two
     columns and every later plan starts from the table.
     """
+    explicit = is_explicit(interactions)
+
+    def run(part: DataFrame, hot) -> DataFrame:
+        unique = dedup_latest(part, cluster_by_user=hot is None)
+        split = split_interactions(
+            unique,
+            seed,
+            test_ratio=test_ratio,
+            val_ratio=val_ratio,
+            min_interactions=min_interactions,
+            hot=hot,
+        )
+        return with_user_means(split, hot) if explicit else split
+
     hot = hot_keys(interactions, [USER], hot_rows)
-    unique = dedup_latest(interactions, cluster_by_user=hot is None)
-    split = split_interactions(
-        unique,
-        seed,
-        test_ratio=test_ratio,
-        val_ratio=val_ratio,
-        min_interactions=min_interactions,
-        hot=hot,
-        hot_rows=hot_rows,
-    )
-    if not is_explicit(split):
-        return add_relevance(durable(split, "split"), None)
-    stored = durable(with_user_means(split, hot, hot_rows), "split")
+    split = by_heat(interactions, [USER], hot, lambda part: run(part, None), lambda part: run(part, ALL))
+    stored = durable(split, "split")
+    if not explicit:
+        return add_relevance(stored, None)
     overall = stored.agg(F.avg(train_rating())).first()[0]
     return label_with_means(stored, F.lit(overall).cast("double"))
 

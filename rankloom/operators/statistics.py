@@ -28,12 +28,14 @@ def _deviation(c):
 
 
 def pending(models: DataFrame, seeds: DataFrame, stored: DataFrame) -> DataFrame:
-    """Requested (model, seed) pairs without a stored result of the current protocol."""
-    grid = models.select("model").distinct().withColumn("_k", F.lit(1)).join(
-        seeds.select("seed").distinct().withColumn("_k", F.lit(1)), "_k"
-    )
+    """Requested (model, seed) pairs without a stored result of the current protocol.
+
+    ``models`` and ``seeds`` are the short lists of a request.
+    """
+    asked = seeds.agg(F.collect_set("seed")).scalar()
+    grid = models.select("model").distinct().select("model", F.explode(asked).alias("seed"))
     done = stored.where(F.col("evaluation_protocol") == EVALUATION_PROTOCOL)
-    return grid.drop("_k").join(done, ["model", "seed"], "left_anti")
+    return grid.join(done, ["model", "seed"], "left_anti")
 
 
 def collected(stored: DataFrame, requested: DataFrame) -> DataFrame:

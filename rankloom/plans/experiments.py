@@ -40,13 +40,14 @@ def popularity_ranks(labelled: DataFrame, catalog: DataFrame, split: str = "test
 
 def neighbor_ranks(labelled: DataFrame, catalog: DataFrame, split: str = "test", n_neighbors: int = 100) -> DataFrame:
     queries = durable(queries_of(labelled, split), "queries")
-    scores = neighbor_scores(queries, item_neighbors(_train(labelled), n_neighbors))
+    near = durable(item_neighbors(_train(labelled), n_neighbors), "neighbors")
+    scores = neighbor_scores(queries, near)
     return target_ranks(scores, queries, durable(catalog_index(catalog, ITEM), "catalog"))
 
 
 def transition_ranks(labelled: DataFrame, catalog: DataFrame, split: str = "test", k: int = 100) -> DataFrame:
     queries = durable(queries_of(labelled, split), "queries")
-    scores = transition_scores(queries, transition_top(_train(labelled), k))
+    scores = transition_scores(queries, durable(transition_top(_train(labelled), k), "transitions"))
     return target_ranks(scores, queries, durable(catalog_index(catalog, ITEM), "catalog"))
 
 

@@ -255,7 +255,7 @@ def candidate_metrics(spark, d):
     rows = cleaning.positives(labelled(spark, d))
     counts = models.item_counts(train_of(rows))
     test = rows.where(F.col(SPLIT) == "test")
-    sampled = negatives.with_negatives(test, catalog(spark, d), 4, seed=42, observed=rows)
+    sampled = durable(negatives.with_negatives(test, catalog(spark, d), 4, seed=42, observed=rows), "sampled")
     scored = negatives.candidate_rows(sampled).join(counts, ITEM, "left").select(
         F.col(ROW).alias("query_id"), ITEM, F.coalesce("n", F.lit(0)).cast("double").alias("score")
     )
@@ -293,7 +293,7 @@ def top_items_per_user(spark, d):
 def masked_top_items(spark, d):
     rows = labelled(spark, d)
     queries = durable(models.queries_of(rows), "queries")
-    near = models.item_neighbors(train_of(rows), 20)
+    near = durable(models.item_neighbors(train_of(rows), 20), "neighbors")
     scores = ranking.mask_seen(models.neighbor_scores(queries, near), queries)
     scores = scores.withColumn("score", F.round("score", 9))
     return ranking.top_k(scores, 5).select("query_id", ITEM, "rank", rounded("score"))
@@ -763,7 +763,8 @@ def wide_results(spark, d):
 
 
 def long_results(spark, d):
-    return S.long_results(wide_results(spark, d), 10)
+    """Long results as a small written table, as stored results would be."""
+    return durable(S.long_results(wide_results(spark, d), 10), "results")
 
 
 def unpivoted_results(spark, d):

@@ -282,6 +282,66 @@ def test_variants_and_availability():
         experiments.variant("nothing")
 
 
+def test_factor_ranks_follow_the_factors(labelled, items):
+    train = labelled.where("split = 'train'")
+    users, things = models.factor_vectors(train, 3, 2, seed=1)
+    u = {r["id"]: np.array(r["vector"]) for r in users.collect()}
+    v = {r["id"]: np.array(r["vector"]) for r in things.collect()}
+    owner = {r["row_id"]: r["user_id"] for r in labelled.collect()}
+    got = {r["query_id"]: r["rank"] for r in experiments.factor_ranks(labelled, items, rank=3, iterations=2, seed=1).collect()}
+    zero = np.zeros(3)
+    assert got
+    for query, rank in got.items():
+        score = lambda h, i: float(u.get(owner[query], zero) @ v.get(i, zero))  # noqa: B023,E731
+        assert brute_ranks(labelled, items, score)[query] == rank
+
+
+def brute_hybrid(labelled, config, dim, seed, n_users=12, n_items=23):
+    import hashlib
+
+    def start(i):
+        hexes = [hashlib.md5(f"{seed}|{i}|{b}".encode()).hexdigest() for b in range((dim + 3) // 4)]
+        bits = [int(hexes[j // 4][j % 4 * 8 : j % 4 * 8 + 8], 16) % 2 for j in range(dim)]
+        return [(1 if b == 0 else -1) / math.sqrt(dim) for b in bits]
+
+    x = np.array([start(i) for i in range(n_users + n_items)])
+    a = np.zeros((len(x), len(x)))
+    for r in train_rows(labelled):
+        a[r["user_id"], n_users + r["item_id"]] = a[n_users + r["item_id"], r["user_id"]] = 1
+    d = a.sum(axis=0)
+    inv = np.where(d > 0, 1 / np.sqrt(np.maximum(d, 1)), 0)
+    w = inv[:, None] * a * inv[None, :]
+    x = (x + w @ x + w @ w @ x) / 3
+    things = np.array([layer_norm(layer_norm(v)) for v in x[n_users:]])
+    prior = {}
+    for r in train_rows(labelled):
+        prior[r["item_id"]] = prior.get(r["item_id"], 0) + 1
+
+    def vector(user, history):
+        graph = layer_norm(x[user])
+        if not history or not config.use_seq_encoder:
+            return layer_norm(graph)
+        return layer_norm((graph + layer_norm(things[history].mean(axis=0))) / 2)
+
+    return lambda user: lambda h, i: round(
+        float(vector(user, h) @ things[i]) / math.sqrt(dim) + (math.log1p(prior.get(i, 0)) if config.use_item_bias else 0), 9
+    )
+
+
+@pytest.mark.parametrize("name", ["full", "no_sequence", "no_item_bias"])
+def test_hybrid_matches_dense_algebra(spark, labelled, name):
+    config = experiments.variant(name)
+    got = {r["query_id"]: r["rank"] for r in experiments.hybrid_ranks(labelled, config, 12, 23, dim=4, seed=3).collect()}
+    scorer = brute_hybrid(labelled, config, 4, 3)
+    catalog = spark.range(23).withColumnRenamed("id", "item_id")
+    owner = {r["row_id"]: r["user_id"] for r in labelled.collect()}
+    assert got
+    for user in set(owner[q] for q in got):
+        expected = brute_ranks(labelled.where(F.col("user_id") == user), catalog, scorer(user))
+        for q, rank in expected.items():
+            assert got[q] == rank
+
+
 def test_hybrid_variants_run(labelled):
     data = experiments.Availability(history=True)
     rows = experiments.run_variants(labelled, 12, 23, data, ("full", "no_sequence"), (13,), (5,), dim=4).collect()

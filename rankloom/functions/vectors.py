@@ -82,7 +82,7 @@ def sum_columns(vector: str, dim: int, weight: Column | None = None) -> list[Col
     """One ``sum`` per dimension, so vectors are reduced before any shuffle."""
     out = []
     for i in range(dim):
-        x = F.element_at(F.col(vector), i + 1).cast("double")
+        x = F.get(F.col(vector), F.lit(i)).cast("double")
         out.append(F.sum(x * weight if weight is not None else x).alias(f"_d{i}"))
     return out
 

@@ -92,10 +92,15 @@ def kcore(
     pairs, step = durable(pairs, "kcore-pairs"), 0
     while True:
         step += 1
-        rare_users = durable(_rare(pairs, USER, min_interactions), f"kcore-users-{step}")
-        rare_items = durable(_rare(pairs, ITEM, min_interactions), f"kcore-items-{step}")
-        if rare_users.isEmpty() and rare_items.isEmpty():
+        # Users and items are counted by one job; each row holds one of the two ids.
+        found = _rare(pairs, USER, min_interactions).unionByName(
+            _rare(pairs, ITEM, min_interactions), allowMissingColumns=True
+        )
+        rare = durable(found, f"kcore-rare-{step}")
+        if rare.isEmpty():
             break
+        rare_users = rare.select(USER).where(F.col(USER).isNotNull())
+        rare_items = rare.select(ITEM).where(F.col(ITEM).isNotNull())
         kept = pairs.join(rare_users, USER, "left_anti").join(rare_items, ITEM, "left_anti")
         pairs = durable(kept.select(USER, ITEM), f"kcore-pairs-{step}")
     valid_users, valid_items = pairs.select(USER).distinct(), pairs.select(ITEM).distinct()

@@ -126,6 +126,11 @@ def complete_blocks(results: DataFrame, block: tuple[str, ...], group: tuple[str
     return cells.join(full, keys, "left_semi").select(*keys, "model", "value")
 
 
+def wide_blocks(blocks: DataFrame, block: tuple[str, ...], models: list[str]) -> DataFrame:
+    """Complete blocks as rows with one column per model."""
+    return blocks.groupBy(*block).pivot("model", models).agg(F.first("value"))
+
+
 def model_ranks(blocks: DataFrame, block: tuple[str, ...]) -> DataFrame:
     """Rank of each model in its block, best first; ties share their mean rank."""
     order = W.partitionBy(*block).orderBy(F.col("value").desc())

@@ -550,5 +550,37 @@ def _trials() -> str:
     return sel(",\n".join(views), "\nUNION ALL ".join(rows))
 
 
+def _prepared() -> str:
+    """Views of the prepared data: k-core of 3 over events, then split, labels and ids."""
+    views = [EV, dedup("ev", "row_id DESC", "c0")]
+    for r in range(1, 6):
+        views.append(f"""c{r} AS MATERIALIZED (SELECT * FROM c{r - 1}
+  WHERE user_id IN (SELECT user_id FROM c{r - 1} GROUP BY 1 HAVING count(*) >= 3)
+    AND item_id IN (SELECT item_id FROM c{r - 1} GROUP BY 1 HAVING count(*) >= 3))""")
+    views += [split("c5", "t DESC, row_id DESC", "cs"), label("cs", "lab")]
+    views.append("""tr AS (SELECT * FROM lab WHERE split = 'train'),
+ui AS (SELECT user_id, row_number() OVER (ORDER BY k, o) - 1 AS idx FROM (
+  SELECT c_custkey AS user_id, 0 AS k, c_custkey AS o FROM customer WHERE c_custkey IN (SELECT user_id FROM c5)
+  UNION ALL SELECT user_id, 1, min(row_id) FROM tr WHERE user_id NOT IN (SELECT c_custkey FROM customer) GROUP BY 1)),
+ii AS (SELECT item_id, row_number() OVER (ORDER BY k, o) - 1 AS idx FROM (
+  SELECT p_partkey AS item_id, 0 AS k, p_partkey AS o FROM part WHERE p_partkey IN (SELECT item_id FROM c5)
+  UNION ALL SELECT item_id, 1, min(row_id) FROM tr WHERE item_id NOT IN (SELECT p_partkey FROM part) GROUP BY 1)),
+et AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS code FROM (SELECT DISTINCT event_type FROM tr)),
+pr AS (SELECT row_id, t, ui.idx AS user_id, ii.idx AS item_id, split, coalesce(et.code, -1) AS event_code
+  FROM lab JOIN ui ON ui.user_id = lab.user_id JOIN ii ON ii.item_id = lab.item_id
+  LEFT JOIN et ON et.event_type = lab.event_type WHERE relevant > 0)""")
+    return ",\n".join(views)
+
+
+SQL["prepared_interactions"] = sel(_prepared(), """SELECT row_id, user_id, item_id, split, CAST(event_code AS INTEGER) AS event_code,
+  coalesce(array_to_string(list(item_id) OVER (PARTITION BY user_id ORDER BY t, row_id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), ' '), '') AS history
+  FROM pr""")
+SQL["prepared_features"] = sel(_prepared() + """,
+cu AS (SELECT * FROM customer WHERE c_custkey IN (SELECT user_id FROM c5)),
+sg AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS code FROM (SELECT DISTINCT c_mktsegment FROM cu))""",
+    """SELECT ui.idx, round(CAST(CAST((c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()) AS FLOAT) AS DOUBLE), 4) AS balance,
+  CAST(sg.code AS INTEGER) AS segment FROM cu JOIN ui ON ui.user_id = c_custkey JOIN sg USING (c_mktsegment)""")
+SQL["pivoted_results"] = sel(RANKS, "SELECT metric, dataset, seed, " + ", ".join(
+    f"round(max(value) FILTER (WHERE model = 'm{i}'), 6) AS m{i}" for i in range(5)) + " FROM blocks GROUP BY 1, 2, 3")
 SQL["search_trials"] = _trials()
 SQL["best_trial"] = f"SELECT * FROM ({_trials()}) ORDER BY value DESC, trial LIMIT 1"

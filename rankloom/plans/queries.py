@@ -20,8 +20,8 @@ from rankloom.operators import cleaning, encoding, fusion, graph, ids, models, n
 from rankloom.operators import statistics as S
 from rankloom.operators.ordering import hot_keys
 from rankloom.plans import experiments
-from rankloom.plans.preparation import labelled_splits
-from rankloom.session import durable, durable_path
+from rankloom.plans.preparation import labelled_splits, prepare
+from rankloom.session import durable, durable_path, spread
 from rankloom.sources import artifacts, datasets
 from rankloom.streaming import histories as stream_histories
 from rankloom.streaming import ingest
@@ -37,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, dealt out to all cores if it lies in few files."""
+    return spread(table(spark, sf_dir, name))
+
+
 def seconds(column: str):
     return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({column} AS TIMESTAMP_NTZ))")
 
@@ -472,7 +477,7 @@ def feature_metadata(spark, d):
 
 
 def text_vectors(spark, d):
-    docs = table(spark, d, "documents").withColumn("document", text_document(["text"]))
+    docs = texts(spark, d, "documents").withColumn("document", text_document(["text"]))
     encoder = encoding.HashedTextEncoder(64).fit(docs)
     return encoder.transform(docs).select("doc_id", joined("text"))
 
@@ -507,11 +512,11 @@ def translated_ids(spark, d):
 
 
 def clean_pages(spark, d):
-    return table(spark, d, "pages").select("page_id", clean_text(F.col("html")).alias("text"))
+    return texts(spark, d, "pages").select("page_id", clean_text(F.col("html")).alias("text"))
 
 
 def clean_documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
+    return texts(spark, d, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
 
 
 def text_documents(spark, d):
@@ -614,7 +619,7 @@ def entity_stats(spark, d):
 
 def _students(spark, d):
     """Documents as student records: word lengths as courses, derived dates as times."""
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d, "documents")
     lengths = F.transform(F.split("text", " "), lambda w: F.length(w).cast("long"))
     date = lambda n: F.when(n % 7 == 0, F.lit("none")).otherwise(
         F.concat(F.lit("20"), F.lpad((n % 100).cast("string"), 2, "0"), F.lit("-01-01 00:00:00"))
@@ -636,7 +641,8 @@ def _enrollment_counts(events):
 
 
 def enrollment_events(spark, d):
-    return _enrollment_counts(datasets.enrollments(_students(spark, d), F.col("id")))
+    students = durable(_students(spark, d), "students")
+    return _enrollment_counts(datasets.enrollments(students, F.col("id")))
 
 
 def stream_enrollments(spark, d):
@@ -746,6 +752,25 @@ def metric_files(spark, d):
     return long.select("dataset", F.col("seed").cast("int").alias("seed"), "model", "metric", rounded("value"))
 
 
+def prepared_interactions(spark, d):
+    """The whole preparation of a bundle: k-core, split, labels, ids, histories."""
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias(USER), "c_mktsegment", "c_acctbal")
+    items = table(spark, d, "part").select(F.col("p_partkey").alias(ITEM), "p_brand", "p_size")
+    kinds = datasets.roles({"cat": ["c_mktsegment"], "num": ["c_acctbal"]}, {"cat": ["p_brand"], "num": ["p_size"]}, {"cat": ["event_type"]})
+    done = prepare(datasets.Bundle(ev(spark, d), items, customers, kinds), seed=42)
+    return done.rows.select(ROW, USER, ITEM, SPLIT, F.col("cat__event_type").alias("event_code"), joined("history"))
+
+
+def prepared_features(spark, d):
+    """Feature vectors of the same preparation, by dense user id."""
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias(USER), "c_mktsegment", "c_acctbal")
+    items = table(spark, d, "part").select(F.col("p_partkey").alias(ITEM), "p_brand", "p_size")
+    kinds = datasets.roles({"cat": ["c_mktsegment"], "num": ["c_acctbal"]}, {"cat": ["p_brand"], "num": ["p_size"]})
+    done = prepare(datasets.Bundle(ev(spark, d), items, customers, kinds), seed=42)
+    wide = artifacts.feature_columns(done.user_features, "idx", ["balance", "segment"])
+    return wide.select("idx", F.round(F.col("balance").cast("double"), 4).alias("balance"), F.col("segment").cast("int").alias("segment"))
+
+
 # --- experiment tables ----------------------------------------------------------------------
 
 
@@ -807,6 +832,12 @@ def model_ranks(spark, d):
     return ranks.select(*block, "model", rounded("value"), "rank")
 
 
+def pivoted_results(spark, d):
+    blocks = S.complete_blocks(long_results(spark, d), ("metric", "dataset", "seed"), ("metric",))
+    wide = S.wide_blocks(blocks, ("metric", "dataset", "seed"), ["m0", "m1", "m2", "m3", "m4"])
+    return wide.select("metric", "dataset", "seed", *[rounded(f"m{i}") for i in range(5)])
+
+
 def mean_ranks(spark, d):
     return S.mean_ranks(model_ranks(spark, d)).select("dataset", "metric", "model", rounded("rank"))
 
@@ -896,7 +927,7 @@ QUERIES: dict[str, Query] = {
         text_documents, list_values, flattened_lists, categories, academic_years, valid_times, numbers, display_names,
         ordered_places, class_counts, entity_stats, enrollment_events, stream_enrollments, csv_scan, capped_rows,
         first_per_id, atomic_frame, atomic_export, prepared_tables, latest_artifacts, stored_results, metric_files,
-        unpivoted_results, seed_summary, summary_text, summary_order, pending_pairs, collected_results, model_ranks,
+        prepared_interactions, prepared_features, unpivoted_results, pivoted_results, seed_summary, summary_text, summary_order, pending_pairs, collected_results, model_ranks,
         mean_ranks, friedman, friedman_report, nemenyi, relative_improvement, improvement_named, importance,
         importance_matrix, stream_history, epoch,
     )

@@ -61,3 +61,13 @@ def durable(df: DataFrame, label: str = "stage") -> DataFrame:
     path = durable_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a few input files out to all cores, for CPU-heavy work.
+
+    Input with at least one file per core is left as it is, so large tables are
+    never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

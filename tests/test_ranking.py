@@ -107,6 +107,15 @@ def test_scores_must_be_finite(spark):
             ranking.target_ranks(scores, queries).collect()
 
 
+def test_query_checks(spark):
+    good = spark.createDataFrame([(1, 0), (2, 4)], "query_id int, target_item_id int")
+    ranking.check_queries(good, 5, 5)
+    ranking.check_queries(good.limit(0), 5)
+    for queries, items, k in ((good, 5, 6), (good, 5, 0), (good, 4, None), (good.union(good), 5, None)):
+        with pytest.raises(ValueError):
+            ranking.check_queries(queries, items, k)
+
+
 def test_metrics_closed_forms(spark):
     ranks = spark.createDataFrame([(1,), (3,), (11,)], "rank int")
     row = ranking.ranking_metrics(ranks, (5, 20)).first().asDict()
@@ -269,6 +278,12 @@ def test_history_vectors(spark):
 # --- variants -------------------------------------------------------------------------------
 
 
+def test_has_history(spark):
+    rows = spark.createDataFrame([([],), ([1],)], "history array<int>")
+    assert experiments.has_history(rows) and not experiments.has_history(rows.limit(0))
+    assert not experiments.has_history(spark.createDataFrame([([],)], "history array<int>"))
+
+
 def test_variants_and_availability():
     rich = experiments.Availability(3, 3, 1, 1, 1, True)
     bare = experiments.Availability()

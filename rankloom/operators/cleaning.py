@@ -19,6 +19,7 @@ from rankloom.columns import (
     TIME,
     USER,
     VAL_RATIO,
+    context_columns,
     is_explicit,
     is_temporal,
     require,
@@ -244,7 +245,8 @@ def label_split(df: DataFrame, hot=DETECT, hot_rows: int = HOT_ROWS) -> DataFram
 
 def profile(interactions: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     """One row that describes a dataset: feedback, split rule, sizes, sparsity."""
-    from rankloom.columns import context_columns
+    def features(df: DataFrame) -> Column:
+        return F.lit(len([c for c in df.columns if c not in (USER, ITEM, ROW)]))
 
     n_users = users.agg(F.count(F.lit(1))).scalar()
     n_items = items.agg(F.count(F.lit(1))).scalar()
@@ -254,8 +256,8 @@ def profile(interactions: DataFrame, users: DataFrame, items: DataFrame) -> Data
         n_users.alias("num_users"),
         n_items.alias("num_items"),
         "num_interactions",
-        F.lit(len(users.columns) - 1).alias("num_user_feats"),
-        F.lit(len(items.columns) - 1).alias("num_item_feats"),
+        features(users).alias("num_user_feats"),
+        features(items).alias("num_item_feats"),
         F.lit(len(context_columns(interactions))).alias("num_ctx_feats"),
     )
     cells = F.col("num_users").cast("double") * F.col("num_items").cast("double")

@@ -484,7 +484,7 @@ nn AS (SELECT item_id, row_number() OVER (ORDER BY token) - 1 AS idx FROM tk)"""
     "stream_enrollments": ENROLLED,
     "csv_scan": "SELECT c_custkey, c_mktsegment AS market_segment, c_acctbal FROM customer",
     "capped_rows": sel(EV, "SELECT row_id, user_id, item_id FROM ev ORDER BY row_id LIMIT 500"),
-    "first_per_id": sel(EV, "SELECT user_id, arg_min(item_id, row_id) AS item_id, arg_min(event_type, row_id) AS event_type FROM ev GROUP BY 1"),
+    "first_per_id": sel(EV, "SELECT user_id, arg_min(item_id, row_id) AS item_id, arg_min(event_type, row_id) AS event_type, min(row_id) AS row_id FROM ev GROUP BY 1"),
     "atomic_frame": """SELECT CAST(p_partkey AS VARCHAR) AS "item_id:token",
   CASE WHEN p_brand = 'Brand#11' THEN 'Undefined' ELSE p_brand END AS "item_brand_name:token",
   CAST(p_size AS VARCHAR) AS "item_size:token", CAST(p_retailprice AS FLOAT) AS "item_f_2_price:float",

@@ -103,6 +103,12 @@ class Prepared:
         save_prepared(folder, tables, self.parameters)
 
 
+def _ids(entities: DataFrame, train: DataFrame, key: str) -> DataFrame:
+    """Ids by first appearance; entities without a source order go by their key."""
+    order = F.col(ROW if ROW in entities.columns else key)
+    return first_seen_ids(entities, order, train, F.col(ROW), key)
+
+
 def prepare(
     bundle: Bundle,
     seed: int = 42,
@@ -125,8 +131,8 @@ def prepare(
     users, items = durable(users, "users"), durable(items, "items")
     labelled = labelled_splits(events, seed, test_ratio, val_ratio, min_interactions)
     train = labelled.where(F.col(SPLIT) == "train")
-    user_ids = durable(first_seen_ids(users, F.col(USER), train, F.col(ROW), USER), "user-ids")
-    item_ids = durable(first_seen_ids(items, F.col(ITEM), train, F.col(ROW), ITEM), "item-ids")
+    user_ids = durable(_ids(users, train, USER), "user-ids")
+    item_ids = durable(_ids(items, train, ITEM), "item-ids")
 
     features, metadata = {}, None
     for group, table, key in (("users", users, USER), ("items", items, ITEM)):

@@ -165,7 +165,7 @@ def relevance_thresholds(spark, d):
 def dataset_profile(spark, d):
     events = ev(spark, d)
     items = events.select(ITEM).distinct()
-    users = table(spark, d, "customer")
+    users = table(spark, d, "customer").withColumnRenamed("c_custkey", USER)
     return cleaning.profile(events, users, items).withColumn("sparsity", F.round("sparsity", DIGITS))
 
 

@@ -72,10 +72,9 @@ def read_csv(spark: SparkSession, paths, columns: str, ordered: bool = False, mu
 
 
 def first_per_id(df: DataFrame, key: str) -> DataFrame:
-    """One row per entity: the first in source order."""
-    columns = [c for c in df.columns if c not in (key, ROW)]
-    packed = F.struct(*columns) if columns else F.struct(key)
-    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(packed, F.col(ROW)).alias("_r"))
+    """One row per entity: the first in source order, which ``row_id`` keeps."""
+    columns = [c for c in df.columns if c != key]
+    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*columns), F.col(ROW)).alias("_r"))
     return first.select(key, *[F.col(f"_r.{c}").alias(c) for c in columns])
 
 
@@ -326,7 +325,7 @@ def coco(spark: SparkSession, folder: str, limit: int | None = None) -> Bundle:
     return Bundle(
         events,
         items,
-        events.select(USER).distinct(),
+        events.groupBy(USER).agg(F.min(ROW).alias(ROW)),
         roles(
             items={
                 "num": counted,

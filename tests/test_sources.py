@@ -78,7 +78,7 @@ def test_mars(spark, raw):
 def test_itm_and_doris(spark, raw):
     b = load(spark, raw, "itm")
     assert set(b.interactions.columns) == {"user_id", "item_id", "rating", "row_id", "class", "semester", "lockdown"}
-    assert sorted(b.items.columns) == ["descriptions", "item_id", "title"]
+    assert sorted(b.items.columns) == ["descriptions", "item_id", "row_id", "title"]
     d = load(spark, raw, "doris").interactions.collect()
     assert [(r["user_id"], r["rating"], r["timestamp"]) for r in d] == [("s1", 90.0, 2019)]
 
@@ -99,7 +99,7 @@ def test_coco(spark, raw):
     assert (rows[100]["num_instructors"], rows[100]["instructor_enrollments"], rows[100]["num_lectures"], rows[100]["num_quizzes"]) == (2, 10, 2, 1)
     assert rows[101]["num_instructors"] == rows[101]["num_chapters"] == 0
     assert rows[100]["objectives"] == "know do"
-    assert b.users.count() == 2
+    assert b.users.count() == 2 and "row_id" in b.users.columns
     assert load(spark, raw, "coco", limit=1).interactions.count() == 1
 
 
@@ -161,6 +161,8 @@ def test_prepare_and_reload(spark, events, tmp_path, explicit):
 def test_prepare_from_files(spark, raw):
     done = preparation.prepare(load(spark, raw, "explicit_mars"), min_interactions=1, text_dim=4)
     assert done.interactions.count() == 2  # one latest event per pair and language
+    # Ids follow the source: the English files come first, then the French ones.
+    assert {r["user_id"]: r["idx"] for r in done.user_ids.collect()} == {"1": 0, "11": 1}
 
 
 def test_sequence_export_needs_rows(spark, events, tmp_path):

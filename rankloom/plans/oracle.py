@@ -13,10 +13,10 @@ EV = """ev AS (
 
 ORD = """ord AS (
   SELECT o_custkey AS user_id, l_partkey AS item_id, l_quantity AS rating, epoch_us(o_orderdate) // 1000000 AS t,
-         l_orderkey, l_linenumber, l_suppkey
+         l_orderkey, l_linenumber, l_suppkey, l_extendedprice
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
-ORD_KEY = "l_orderkey DESC, l_linenumber DESC, item_id DESC, l_suppkey DESC"
+ORD_KEY = "l_orderkey DESC, l_linenumber DESC, item_id DESC, l_suppkey DESC, rating DESC, l_extendedprice DESC"
 
 
 def dedup(source: str, key: str, name: str) -> str:
@@ -290,7 +290,7 @@ SQL: dict[str, str] = {
     ),
     "split_random": sel(
         ORD_DEDUP + ",\n" + split(
-            "od", "md5('42|' || user_id || '|' || item_id), l_orderkey, l_linenumber, item_id, l_suppkey", "os"
+            "od", "md5('42|' || user_id || '|' || item_id), l_orderkey, l_linenumber, item_id, l_suppkey, rating, l_extendedprice", "os"
         ),
         "SELECT user_id, item_id, l_orderkey, l_linenumber, l_suppkey, split FROM os",
     ),

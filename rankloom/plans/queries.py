@@ -59,7 +59,7 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orders_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
@@ -67,7 +67,7 @@ def orders_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias(ITEM),
         F.col("l_quantity").alias(RATING),
         seconds("o_orderdate").alias(TIME),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias(ROW),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias(ROW),
     )
 
 

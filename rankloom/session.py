@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,15 +36,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     fall back to a folder of this machine, because executors of a cluster could
     not read it after one of them is lost.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None)
+    context = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a shared folder before running on {master}")
-    root = os.environ.get("RANKLOOM_LOCAL_CHECKPOINTS") or tempfile.mkdtemp(prefix="rankloom-")
-    spark.conf.set(CHECKPOINT_KEY, root)
-    return root
+    if not context.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a shared folder before running on {context.master}")
+    return _local_root(context.applicationId)
+
+
+@cache
+def _local_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"rankloom-{application}-")
 
 
 def durable_path(spark: SparkSession, label: str) -> str:

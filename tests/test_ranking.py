@@ -99,6 +99,19 @@ def test_dense_and_sparse_target_ranks(spark, data):
     assert {r["query_id"]: r["rank"] for r in ranking.target_ranks(sparse, queries, index).collect()} == expected
 
 
+def test_queries_with_only_seen_or_no_scored_items_keep_a_rank(spark):
+    queries = spark.createDataFrame(
+        [(1, 4, [2, 3]), (2, 4, []), (3, 0, [2]), (4, 2, [2])],
+        "query_id int, target_item_id int, history array<int>",
+    )
+    schema = "query_id int, item_id int, score double"
+    scores = spark.createDataFrame([(1, 2, 1.0), (1, 3, 2.0), (3, 2, 1.0), (4, 2, 1.0), (4, 0, 3.0)], schema)
+    index = catalog_index(spark.range(6).withColumnRenamed("id", "item_id"), "item_id")
+    got = {r["query_id"]: r["rank"] for r in ranking.target_ranks(scores, queries, index).collect()}
+    assert got == {1: 3, 2: 5, 3: 1, 4: 2}
+    assert sorted(map(tuple, ranking.mask_seen(scores, queries).collect())) == [(4, 0, 3.0), (4, 2, 1.0)]
+
+
 def test_scores_must_be_finite(spark):
     queries = spark.createDataFrame([(1, 1, [2])], "query_id int, target_item_id int, history array<int>")
     for bad in (float("nan"), float("inf"), None):

@@ -499,8 +499,8 @@ nn AS (SELECT item_id, row_number() OVER (ORDER BY token) - 1 AS idx FROM tk)"""
     "metric_files": sel(WIDE, "SELECT dataset, seed, model, metric, round(value, 6) AS value FROM long"),
     "unpivoted_results": sel(WIDE, "SELECT dataset, seed, model, metric, round(value, 6) AS value FROM long"),
     "seed_summary": sel(SUMMARY, "SELECT dataset, model, metric, round(mean, 6) AS mean, round(std, 6) AS std, n_seeds FROM summ"),
-    "summary_text": sel(WIDE, """SELECT model, printf('%.4f ± %.4f', avg(hit10), coalesce(stddev_samp(hit10), 0)) AS hit_10,
-  printf('%.4f ± %.4f', avg(mrr10), coalesce(stddev_samp(mrr10), 0)) AS mrr_10 FROM wide WHERE dataset = 'click' GROUP BY 1"""),
+    "summary_text": sel(WIDE, """SELECT model, printf('%.4f ± %.4f', round(avg(hit10), 12), round(coalesce(stddev_samp(hit10), 0), 12)) AS hit_10,
+  printf('%.4f ± %.4f', round(avg(mrr10), 12), round(coalesce(stddev_samp(mrr10), 0), 12)) AS mrr_10 FROM wide WHERE dataset = 'click' GROUP BY 1"""),
     "summary_order": sel(SUMMARY, "SELECT dataset, model, metric, n_seeds FROM summ"),
     "pending_pairs": sel(WIDE, """SELECT model, seed FROM (SELECT DISTINCT model FROM wide) CROSS JOIN (SELECT DISTINCT seed FROM wide)
   EXCEPT SELECT model, seed FROM wide WHERE dataset = 'click' AND hit10 > 0.49 AND model <> 'm0'"""),

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import pick, whole_text
@@ -174,18 +174,46 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select("v", "v").distinct().toDF("node", "root"))
 
 
+def grouped(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp, root, component_id for the distinct fingerprints of ``rows`` (doc_id, fp).
+
+    All work between fingerprints is on distinct ones, so copies of one text cost one row.
+    """
+    distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fingerprints")
+    roots = components(links(distinct.select("fp"), radius))
+    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return placed.select("fp", "root").join(named, "root")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of ``docs`` (doc_id, text).
 
     ``component_id`` is the smallest doc_id that links of at most ``radius`` bits reach; rows with a null id are linked
     too but name no component unless it has no other id (then it is null). A null or empty text
     has fingerprint zero and is linked like any other. Repeated rows give repeated results, an empty table none.
-    All work between fingerprints is on distinct ones, so copies of one text cost one row.
     """
     rows = durable(pick(docs, "doc_id", "text").select("doc_id", fingerprint_column(width).alias("fp")), "fingerprints")
-    distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fingerprints")
-    roots = components(links(distinct.select("fp"), radius))
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return rows.join(grouped(rows, radius), "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
+    """All columns of one row of each component: the smallest id (null last), then the least hash of its text.
+
+    Rows that repeat both are copies of each other; one of them stays. The texts move once, to meet the rows that stay.
+    """
+    columns = docs.columns
+    hashed = F.xxhash64("text")
+    rows = durable(
+        pick(docs, "doc_id", "text").select("doc_id", hashed.alias("digest"), fingerprint_column(width).alias("fp")), "fingerprints"
+    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest"))
+    stay = rows.join(grouped(rows, radius), "fp").groupBy("root").agg(first.alias("first")).select("first.*")
+    numbered = docs.toDF(*(f"column_{i}" for i in range(len(columns))))
+    doc_id, text = (F.col(f"column_{columns.index(c)}") for c in ("doc_id", "text"))
+    keys = ["nameless", "id", "digest"]
+    keyed = numbered.withColumns({"nameless": doc_id.isNull(), "id": F.coalesce(doc_id, F.lit(0)), "digest": F.xxhash64(text)})
+    copies = Window.partitionBy(*keys).orderBy("digest")
+    kept = keyed.join(stay, keys, "left_semi").withColumn("copy", F.row_number().over(copies)).where("copy = 1")
+    return kept.select(*(f"column_{i}" for i in range(len(columns)))).toDF(*columns)

@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, decontaminate, language, quality, secret_scan, simhash, topk
+from rankloom.llm import bpe, counts, decontaminate, language, lattice, quality, secret_scan, simhash, suffix, topk
 from rankloom.llm.common import fold_of, pick
 
 #: Where the vocabulary files lie.
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,17 +60,46 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of each document without the bytes of repeated 400-byte strings."""
+    return suffix.deduplicated(table(spark, sf_dir, "documents"), 400)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes."""
     path = public_tokenizers.path(BYTE_BPE)
     return bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and lattice scores of all documents, learned from nine tenths of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = lattice.train(docs.where(fold_of(10) != 0), public_tokenizers.path(PIECES))
+    return lattice.scored(pick(docs, "doc_id", "text"), model, [F.col("doc_id"), (fold_of(10) == 0).alias("held_out")])
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document under the unigram reading of the piece vocabulary."""
+    return counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and their components at three differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_top_k, op3_quality, op4_language, op5_decontaminate, op7_byte_bpe, op10_simhash)
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_top_k,
+        op3_quality,
+        op4_language,
+        op5_decontaminate,
+        op6_suffix_dedup,
+        op7_byte_bpe,
+        op8_lattice,
+        op9_token_counts,
+        op10_simhash,
+    )
 }

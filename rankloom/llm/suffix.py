@@ -28,7 +28,7 @@ from rankloom.session import durable
 WIDTH = 400
 GRAM = 32
 #: Bytes of segments of a shard, about; a name with more is spread.
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 2_000_000
 #: Window hashes of a merge task, about.
 MERGE_WINDOWS = 1_000_000
 SEED = 42

@@ -201,7 +201,8 @@ def repeated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes:
                 yield pd.DataFrame(dict(zip(("id", "digest", "name", "print", "first", "n"), map(np.concatenate, zip(*out)))))
 
     every = durable(docs.mapInPandas(cut, "id long, digest long, name long, print long, first int, n int"), "segments")
-    names = every.groupBy("name").count().where("count > 1").select("name")
+    # Written, so that both sides of the join are dealt anew and a very frequent name can be split.
+    names = durable(every.groupBy("name").count().where("count > 1").select("name"), "shared_names")
     every = durable(every.join(names, "name"), "shared_segments")
     folded = every.groupBy("name", "print").agg(F.count("*").alias("copies"), F.min(F.struct(*KEY, "first", "n")).alias("one"))
     folded = durable(folded.select("name", "print", "copies", "one.*"), "folded_segments")

@@ -116,7 +116,8 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
     spark = fingerprints.sparkSession
     tables = F.array(*(F.struct(F.lit(i).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(radius))))
     placed = fingerprints.select("fp", F.explode(tables).alias("t")).select("fp", "t.v", "t.key")
-    sizes = placed.groupBy("v", "key").agg(F.count("*").alias("size")).where("size > 1")
+    # Written, so that both sides of the join are dealt anew and a large bucket can be split.
+    sizes = durable(placed.groupBy("v", "key").agg(F.count("*").alias("size")).where("size > 1"), "bucket_sizes")
     shared = placed.join(sizes, ["v", "key"])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # A bounded number of whole buckets is dealt to each group of a task.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,13 @@ def fold_of(n: int, column: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(n))
 
 
-def with_result(df: DataFrame, result: Column, name: str = "__result") -> DataFrame:
-    """All columns of ``df`` by position plus one more, whose name no input column has."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return df.withColumn(name, result)
+def chunks(texts: list[str], size: int) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about ``size`` characters, with the number of the first; a longer text is a run of its own."""
+    first, held = 0, 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > size:
+            yield first, texts[first:i]
+            first, held = i, 0
+        held += len(t) + 1
+    if first < len(texts):
+        yield first, texts[first:]

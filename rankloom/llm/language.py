@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import pick, whole_text
+from rankloom.llm.common import chunks, pick, whole_text
 
 BUCKETS = 1 << 16
 #: Nats that a change of language costs.
@@ -158,18 +158,6 @@ def word_cells(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return words.cells[at], begin
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about CHUNK characters, and the number of the first."""
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > CHUNK:
-            yield first, texts[first:i]
-            first, size = i, 0
-        size += len(t) + 1
-    if first < len(texts):
-        yield first, texts[first:]
-
-
 def train(docs: DataFrame) -> Model:
     """Count trigrams and scripts by language over all rows of ``docs`` (text, lang).
 
@@ -184,7 +172,7 @@ def train(docs: DataFrame) -> Model:
         for batch in batches:
             for lang, part in batch.groupby("lang"):
                 cells, scripts = seen.setdefault(lang, (np.zeros(BUCKETS, np.int64), np.zeros(table.n_scripts, np.int64)))
-                for _, texts in chunks(part["text"].tolist()):
+                for _, texts in chunks(part["text"].tolist(), CHUNK):
                     words = words_of(texts, table)
                     cells += np.bincount(word_cells(words)[0], minlength=BUCKETS)
                     scripts += np.bincount(words.script, words.n_letters, table.n_scripts).astype(np.int64)
@@ -280,7 +268,7 @@ def label_texts(texts: list[str], model: Model, spans: bool) -> list[tuple]:
     if not model.languages:
         return [("und", 0.0, [])] * len(texts)
     out: list[tuple] = []
-    for _, part in chunks(texts):
+    for _, part in chunks(texts, CHUNK):
         words = words_of(part, model.letters)
         cells, begin = word_cells(words)
         if len(begin):

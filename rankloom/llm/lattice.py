@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import pick, whole_text
+from rankloom.llm.common import chunks, pick, whole_text
 from rankloom.session import durable
 
 #: Most frequent words that every task knows; counts of all others come by a join. This bounds what is sent.
@@ -31,10 +31,12 @@ HEAD = 100_000
 PRIOR = 5_000.0
 #: Words up to this many bytes are computed side by side, CHUNK at a time; longer ones one by one.
 SIDE_BY_SIDE = 40
-CHUNK = 20_000
-#: Words whose probability a worker remembers, and words counted before partial counts leave it.
-REMEMBERED = 500_000
-PARTIAL = 500_000
+CHUNK = 10_000
+#: Characters of texts whose words are held at once, words whose probability a task remembers, and words counted
+#: before partial counts leave it. These bound the memory of a task.
+LOOKED_AT = 3_000_000
+REMEMBERED = 200_000
+PARTIAL = 300_000
 ADD = 0.1
 
 _BASE = 0x9E3779B97F4A7C15
@@ -272,17 +274,18 @@ def scored(docs: DataFrame, model: Model, keep: list[Column]) -> DataFrame:
         pieces, head = shared.value
         memory: dict[bytes, float] = {}
         for batch in batches:
-            texts = [words_of(t) for t in batch]
-            if len(memory) >= REMEMBERED:
-                memory.clear()
-            fresh = list({w for words in texts for w in words if w not in memory})
-            memory.update(zip(fresh, pieces.log_probs(fresh)[0].tolist()))
             rows = []
-            for words in texts:
-                common = [head[w] for w in words if w in head]
-                rare = Counter([w for w in words if w not in head])
-                lattice = math.fsum(map(memory.__getitem__, words)) if words else 0.0
-                rows.append((len(words), len(common), math.fsum(common), lattice, list(rare.items())))
+            for _, part in chunks(batch.tolist(), LOOKED_AT):
+                texts = [words_of(t) for t in part]
+                if len(memory) >= REMEMBERED:
+                    memory.clear()
+                fresh = list({w for words in texts for w in words if w not in memory})
+                memory.update(zip(fresh, pieces.log_probs(fresh)[0].tolist()))
+                for words in texts:
+                    common = [head[w] for w in words if w in head]
+                    rare = Counter([w for w in words if w not in head])
+                    lattice = math.fsum(map(memory.__getitem__, words)) if words else 0.0
+                    rows.append((len(words), len(common), math.fsum(common), lattice, list(rare.items())))
             yield pd.DataFrame(rows, columns=["n_words", "known", "base", "lattice", "rare"])
 
     # Numbers are given once, when the table is written.

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import pick, whole_text
 
-#: Encodings of pieces that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Encodings of pieces, and pairs of tokens, that a worker remembers before it starts anew.
+REMEMBERED = 150_000
+PAIRS = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,6 +47,7 @@ class Pieces(dict):
         ids = (rank,) if rank is not None else tuple(Prefixes(self.vocabulary, data).ids())
         if len(self) >= REMEMBERED:
             self.clear()
+        if len(self.vocabulary.pairs) >= PAIRS:
             self.vocabulary.pairs.clear()
         if len(data) <= 64:
             self[piece] = ids

@@ -27,7 +27,7 @@ SWITCH = 8.0
 SCRIPT_SHARE = 0.01
 #: Words of a block of the Viterbi recursion, and characters handled at once.
 BLOCK = 64
-CHUNK = 2_000_000
+CHUNK = 400_000
 #: Score of a language that does not use the word's script.
 BARRED = -1.0e4
 

@@ -40,10 +40,16 @@ def clean_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[re.sub(r"[^\w]", "", c.lower().strip().replace(" ", "_")) for c in df.columns])
 
 
+NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
+
+
 def number(c: Column) -> Column:
-    """Number or null; text that is no number, and NaN, become null."""
+    """Number or null; text that is no number, and NaN, become null.
+
+    A cast alone would also read type suffixes, as in ``12D``.
+    """
     value = c.try_cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.when(c.cast("string").rlike(NUMBER) & ~F.isnan(value), value)
 
 
 def oldest_first(df: DataFrame) -> list[Column]:

@@ -161,13 +161,15 @@ def transition_counts(train: DataFrame, hot=DETECT, hot_rows: int = HOT_ROWS) ->
     return steps.groupBy("from_item", ITEM).agg(F.count(F.lit(1)).alias("n"))
 
 
-def transition_top(train: DataFrame, k: int, **options) -> DataFrame:
-    """Most likely next items per item, with their probability."""
+def transition_top(train: DataFrame, k: int | None = None, **options) -> DataFrame:
+    """Next items per item from the most likely on, with their probability; the first ``k`` if given, else all."""
     counts = transition_counts(train, **options)
     totals = counts.groupBy("from_item").agg(F.sum("n").alias("_all"))
     # Only the rank is windowed, so Spark limits each group before the shuffle.
     best = W.partitionBy("from_item").orderBy(F.col("n").desc(), F.col(ITEM).asc())
-    ranked = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = counts.withColumn("rank", F.row_number().over(best))
+    if k is not None:
+        ranked = ranked.where(F.col("rank") <= k)
     return ranked.join(totals, "from_item").select(
         "from_item", ITEM, (F.col("n") / F.col("_all")).alias("probability"), "rank"
     )

@@ -15,11 +15,6 @@ from rankloom.columns import EVALUATION_PROTOCOL
 from rankloom.functions.names import COMPONENT_ORDER, METRIC_ORDER, component_label, mean_and_deviation, place_in
 from rankloom.operators.cleaning import number
 
-# Nemenyi critical values at 0.05 (studentized range over root two)
-# for 2 to 10 models, from the published table.
-NEMENYI_Q05 = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031, 9: 3.102, 10: 3.164}
-
-
 def _deviation(c):
     return F.coalesce(F.stddev_samp(c), F.lit(0.0))
 
@@ -144,17 +139,58 @@ def mean_ranks(ranks: DataFrame, by=("dataset", "metric", "model")) -> DataFrame
 
 
 def chi_square_tail(statistic: float, degrees: int) -> float:
-    """Probability that a chi-square value exceeds ``statistic``."""
+    """Probability that a chi-square value exceeds ``statistic``.
+
+    Small statistics use the series of the lower tail, larger ones the continued fraction of the upper tail
+    (both times exp(log of the common factor)), so that tiny probabilities keep their digits.
+    """
     if statistic <= 0 or degrees < 1:
         return 1.0
-    half, x = degrees / 2.0, statistic / 2.0
-    term = math.exp(-x + half * math.log(x) - math.lgamma(half + 1.0))
-    total, n = term, half
-    while term > total * 1e-16:
-        n += 1.0
-        term *= x / n
-        total += term
-    return max(0.0, 1.0 - total)
+    a, x = degrees / 2.0, statistic / 2.0
+    factor = -x + a * math.log(x) - math.lgamma(a)
+    if x < a + 1.0:
+        term = total = 1.0 / a
+        n = a
+        while term > total * 1e-17:
+            n += 1.0
+            term *= x / n
+            total += term
+        return max(0.0, 1.0 - math.exp(factor) * total)
+    # Convergents of 1 / (x + 1 - a - 1 (1 - a) / (x + 3 - a - ...)) by their ratios.
+    b = x + 1.0 - a
+    below, above = 1.0 / b, math.inf
+    value = below
+    for i in range(1, 10_000):
+        b += 2.0
+        step = -i * (i - a)
+        below = 1.0 / (b + step * below)
+        above = b + step / above
+        value *= below * above
+        if abs(below * above - 1.0) < 1e-15:
+            break
+    return math.exp(factor + math.log(value))
+
+
+def studentized_range_tail(q: float, models: int) -> float:
+    """Probability that the range of ``models`` standard normal values exceeds ``q``, by Simpson's rule."""
+    normal = lambda z: 0.5 * math.erfc(-z / math.sqrt(2.0))
+    n, low, high = 800, -9.0, 9.0 + q
+    step = (high - low) / n
+    total = 0.0
+    for i in range(n + 1):
+        z = low + i * step
+        weight = 1 if i in (0, n) else 4 if i % 2 else 2
+        total += weight * math.exp(-z * z / 2.0) * (normal(z) - normal(z - q)) ** (models - 1)
+    return 1.0 - models * total * step / 3.0 / math.sqrt(2.0 * math.pi)
+
+
+def nemenyi_critical(models: int, alpha: float = 0.05) -> float:
+    """Critical value: the studentized range at infinite degrees over root two, both to three places as in tables."""
+    low, high = 0.0, 20.0
+    while high - low > 1e-7:
+        middle = (low + high) / 2.0
+        low, high = (middle, high) if studentized_range_tail(middle, models) > alpha else (low, middle)
+    return round(round(low, 3) / math.sqrt(2.0), 3)
 
 
 def friedman(results: DataFrame, block: tuple[str, ...], group: tuple[str, ...] = ()) -> DataFrame:
@@ -196,8 +232,8 @@ def friedman_report(table: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def nemenyi(results: DataFrame, block: tuple[str, ...], group: tuple[str, ...] = ()) -> DataFrame:
-    """Pairwise mean-rank differences against the critical distance at 0.05."""
+def nemenyi(results: DataFrame, block: tuple[str, ...], group: tuple[str, ...] = (), alpha: float = 0.05) -> DataFrame:
+    """Pairwise mean-rank differences against the critical distance at ``alpha``, for any number of models."""
     keys = tuple(dict.fromkeys([*group, *block]))
     ranks = model_ranks(complete_blocks(results, block, group), keys)
     means = ranks.groupBy(*group, "model").agg(F.avg("rank").alias("_mean"), F.count(F.lit(1)).alias("_n"))
@@ -206,8 +242,9 @@ def nemenyi(results: DataFrame, block: tuple[str, ...], group: tuple[str, ...] =
     other = means.select(*group, "_g", F.col("model").alias("other_model"), F.col("_mean").alias("_other"))
     pairs = means.join(other, ["_g", *group]).where(F.col("model") < F.col("other_model"))
     q = F.lit(None).cast("double")
-    for models, value in NEMENYI_Q05.items():
-        q = F.when(F.col("_k") == models, F.lit(value)).otherwise(q)
+    # One number for each group size of the report.
+    for (models,) in means.where("_k > 1").select("_k").distinct().collect():
+        q = F.when(F.col("_k") == models, F.lit(nemenyi_critical(models, alpha))).otherwise(q)
     k = F.col("_k").cast("double")
     distance = q * F.sqrt(k * (k + 1.0) / (6.0 * F.col("_n")))
     gap = F.abs(F.col("_mean") - F.col("_other"))

@@ -45,7 +45,7 @@ def neighbor_ranks(labelled: DataFrame, catalog: DataFrame, split: str = "test",
     return target_ranks(scores, queries, durable(catalog_index(catalog, ITEM), "catalog"))
 
 
-def transition_ranks(labelled: DataFrame, catalog: DataFrame, split: str = "test", k: int = 100) -> DataFrame:
+def transition_ranks(labelled: DataFrame, catalog: DataFrame, split: str = "test", k: int | None = None) -> DataFrame:
     queries = durable(queries_of(labelled, split), "queries")
     scores = transition_scores(queries, durable(transition_top(_train(labelled), k), "transitions"))
     return target_ranks(scores, queries, durable(catalog_index(catalog, ITEM), "catalog"))

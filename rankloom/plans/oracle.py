@@ -511,6 +511,12 @@ nn AS (SELECT item_id, row_number() OVER (ORDER BY token) - 1 AS idx FROM tk)"""
     "friedman": sel(FRIEDMAN, """SELECT grp AS metric, n AS n_blocks, k AS n_models,
   round((12.0 / (CAST(n AS DOUBLE) * k * (k + 1)) * sq - 3.0 * n * (k + 1)) / (1.0 - ties / (CAST(n AS DOUBLE) * k * (CAST(k AS DOUBLE) * k - 1))), 6) AS friedman_statistic,
   best_model, round(best_rank, 6) AS best_rank FROM agg JOIN ties USING (grp) WHERE n >= 2 AND k >= 3"""),
+    # Closed form of the chi-square tail for an even number of degrees, here four.
+    "friedman_report": sel(FRIEDMAN + """,
+stat AS (SELECT *, (12.0 / (CAST(n AS DOUBLE) * k * (k + 1)) * sq - 3.0 * n * (k + 1)) / (1.0 - ties / (CAST(n AS DOUBLE) * k * (CAST(k AS DOUBLE) * k - 1))) AS x
+  FROM agg JOIN ties USING (grp) WHERE n >= 2 AND k = 5 AND grp <> 'all_metrics')""",
+        """SELECT grp AS metric, n AS n_blocks, k AS n_models, round(x, 6) AS friedman_statistic, best_model, round(best_rank, 6) AS best_rank,
+  round(exp(-x / 2) * (1 + x / 2), 9) AS friedman_pvalue FROM stat"""),
     "nemenyi": sel(RANKS + """,
 mr AS (SELECT metric, model, avg(rank) AS m, count(*) AS n, count(*) OVER (PARTITION BY metric) AS k FROM ranks GROUP BY 1, 2),
 q AS (SELECT * FROM (VALUES (2, 1.960), (3, 2.343), (4, 2.569), (5, 2.728), (6, 2.850), (7, 2.949), (8, 3.031), (9, 3.102), (10, 3.164)) t(k, q)),

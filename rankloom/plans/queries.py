@@ -853,7 +853,11 @@ def friedman(spark, d):
 
 def friedman_report(spark, d):
     table_ = S.friedman(long_results(spark, d), ("dataset", "seed"), ("metric",))
-    return S.friedman_report(table_)
+    out = S.friedman_report(table_)
+    return out.select(
+        "metric", "n_blocks", "n_models", rounded("friedman_statistic"), "best_model", rounded("best_rank"),
+        F.round("friedman_pvalue", 9).alias("friedman_pvalue"),
+    )
 
 
 def nemenyi(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -40,7 +41,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not context.master.startswith("local"):
+    if not re.match(r"local(\[|$)", context.master):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a shared folder before running on {context.master}")
     return _local_root(context.applicationId)
 

@@ -102,12 +102,18 @@ def atomic_frame(df: DataFrame, categorical: set[str] = frozenset(), namespace:
     return df.select(*out)
 
 
+def _tsv(io):
+    """Quotes are doubled and blanks kept, on both ways."""
+    options = {"sep": "\t", "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    return io.options(**options)
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+    _tsv(df.write.mode("overwrite")).option("emptyValue", "").csv(path)
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("sep", "\t").option("header", True).csv(path)
+    return _tsv(spark.read).csv(path)
 
 
 def tsv_fields(spark: SparkSession, path: str) -> list[str]:
@@ -163,10 +169,24 @@ def load_results(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_metric_files(spark: SparkSession, glob: str) -> DataFrame:
-    """CSV results of several folders; the folder name becomes ``dataset``."""
-    raw = spark.read.option("header", True).option("enforceSchema", False).csv(glob)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-    return raw.withColumn("dataset", F.url_decode(folder))
+    """CSV results of several folders; the folder name becomes ``dataset``.
+
+    Files may differ in columns and their order: those with one header are read together, and absent columns are null. Files
+    without a header line are skipped. There is one result file per run, so their names fit the driver.
+    """
+    first = F.rtrim(F.substring_index("value", "\n", 1), F.lit("\r"))
+    files = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), first.alias("header"))
+    by_header: dict[str, list[str]] = {}
+    for path, header in files.where("trim(header) <> ''").orderBy("path").collect():
+        by_header.setdefault(header, []).append(path)
+    folder = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+    parts = [spark.read.option("header", True).csv(paths).withColumn("dataset", folder) for paths in by_header.values()]
+    if not parts:
+        raise FileNotFoundError(f"no result file with a header in {glob}")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def latest_artifact(artifacts: DataFrame, by: str = "dataset") -> DataFrame:

@@ -62,6 +62,18 @@ def test_chi_square_tail():
     assert S.chi_square_tail(3.841458821, 1) == pytest.approx(0.05, abs=1e-8)
     assert S.chi_square_tail(18.307038053, 10) == pytest.approx(0.05, abs=1e-8)
     assert S.chi_square_tail(0.0, 3) == 1.0
+    for statistic in (0.5, 3.0, 100.0, 300.0, 1400.0):
+        closed = math.exp(-statistic / 2) * (1 + statistic / 2)
+        assert S.chi_square_tail(statistic, 4) == pytest.approx(closed, rel=1e-10)
+    assert S.chi_square_tail(1600.0, 4) == 0.0 or S.chi_square_tail(1600.0, 4) < 1e-300
+    assert S.chi_square_tail(3000.0, 4) < 1e-300
+
+
+def test_nemenyi_critical_values():
+    published = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031, 9: 3.102, 10: 3.164, 12: 3.268, 20: 3.544}
+    for models, value in published.items():
+        assert S.nemenyi_critical(models) == pytest.approx(value, abs=1.1e-3)
+    assert S.nemenyi_critical(3, 0.1) == pytest.approx(2.052, abs=1.1e-3)
 
 
 def test_improvement(results):

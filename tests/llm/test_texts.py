@@ -199,7 +199,7 @@ def test_base_spans(spark):
 def test_random_tokens_are_found_and_words_are_not(spark):
     draw = random.Random(11)
     secret = ["".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(40)]
-    plain = ["thethethe1thethethe2thethethe3", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "version_1_of_the_document_version_2_of", "4929348385146306", "zbzbzbzbzbzbzbzbzbzbzbzb12"]
+    plain = ["thethethe1thethethe2thethethe3", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz1", "version_1_of_the_document_version_2_of", "4929348385146306", "zbzbzbzbzbzbzbzbzbzbzbzb12"]
     texts = [f"x {s} y" for s in secret] + [f"x {p} y" for p in plain] * 8
     rows = {r.doc_id: r.spans for r in secret_scan.scan(docs(spark, *texts)).collect()}
     assert sum(any((s.start, s.end) == (2, 42) for s in rows[i]) for i in range(40)) >= 37

@@ -136,13 +136,15 @@ def encode_lists(df: DataFrame, columns: list[str], vocabulary: DataFrame, key:
             flags = F.array(*[F.array_contains(F.col("_t"), w).cast("float") for w in listed]).cast("array<float>")
             df = df.withColumn("_t", tokens).withColumn(name, flags).drop("_t")
             continue
-        hits = df.select(key, F.explode(F.array_distinct(tokens)).alias("value"))
+        # By what a row holds, not by its key: keys may repeat or be null.
+        df = df.withColumn("_set", F.array_sort(F.array_distinct(tokens)))
+        hits = df.select("_set").distinct().select("_set", F.explode("_set").alias("value"))
         hits = hits.join(words.select("value", "code"), "value")
-        hits = hits.groupBy(key).agg(F.collect_list("code").alias("_on"))
+        hits = hits.groupBy("_set").agg(F.collect_list("code").alias("_on"))
         places = F.sequence(F.lit(0), F.lit(size - 1))
         on = F.coalesce("_on", F.array().cast("array<int>"))
-        df = df.join(hits, key, "left")
-        df = df.withColumn(name, F.transform(places, lambda i: F.array_contains(on, i).cast("float"))).drop("_on")
+        df = df.join(hits, "_set", "left")
+        df = df.withColumn(name, F.transform(places, lambda i: F.array_contains(on, i).cast("float"))).drop("_on", "_set")
     return df
 
 

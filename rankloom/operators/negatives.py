@@ -118,7 +118,8 @@ def with_negatives(
 
 
 def candidate_rows(df: DataFrame) -> DataFrame:
-    """Target at position 0, negatives after it, with the label of each."""
-    candidates = F.concat(F.array(F.col(ITEM).cast("long")), F.col("negatives").cast("array<bigint>"))
+    """Target at position 0, negatives after it, with the label of each. Text ids stay text."""
+    kind = "string" if df.schema[ITEM].dataType.simpleString() == "string" else "bigint"
+    candidates = F.concat(F.array(F.col(ITEM).cast(kind)), F.col("negatives").cast(f"array<{kind}>"))
     rows = df.select(ROW, USER, F.posexplode(candidates).alias("position", ITEM))
     return rows.withColumn("label", (F.col("position") == 0).cast("int"))

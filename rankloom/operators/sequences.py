@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql import Window as W
 
 from rankloom.columns import (
@@ -91,14 +92,26 @@ def padded(history: Column, length: int = HISTORY_LENGTH) -> tuple[Column, Colum
 
 
 def model_rows(df: DataFrame) -> DataFrame:
-    """One row per positive event: query, user, history, context, target, negatives."""
-    context = [c for c in context_columns(df) if c not in ("history", "negatives")]
+    """One row per positive event: query, user, history, context, target, negatives.
+
+    The context is one array: numbers, and the entries of array columns, in order of the columns. A null array adds none.
+    """
+    none = F.array().cast("array<float>")
+    context = none
+    for c in context_columns(df):
+        if c in ("history", "negatives"):
+            continue
+        if isinstance(df.schema[c].dataType, ArrayType):
+            values = F.coalesce(F.transform(c, lambda x: x.try_cast("float")), none)
+        else:
+            values = F.array(F.col(c).try_cast("float"))
+        context = F.concat(context, values)
     negatives = F.col("negatives") if "negatives" in df.columns else F.array().cast("array<bigint>")
     return df.select(
         F.col(ROW).alias("query_id"),
         USER,
         "history",
-        F.array(*[F.col(c).try_cast("float") for c in context]).cast("array<float>").alias("context"),
+        context.alias("context"),
         F.col(ITEM).alias("target_item_id"),
         negatives.alias("negatives"),
     )

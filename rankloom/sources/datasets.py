@@ -55,7 +55,7 @@ def read_csv(spark: SparkSession, paths, columns: str, ordered: bool = False, mu
     """CSV files with a header as text columns; only the listed columns are kept.
 
     Columns are matched by header name, so files may hold others in any order.
-    ``multiline`` allows line breaks inside quotes and is meant for entity tables.
+    ``multiline`` allows line breaks inside quotes; such a file is read by one task, so deal a large one out over several files.
     """
     wanted = [n.strip() for n in columns.split(",")]
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
@@ -296,7 +296,11 @@ def class_counts(rows: DataFrame, key: str, column: str, classes: dict[str, str]
 def coco(spark: SparkSession, folder: str, limit: int | None = None) -> Bundle:
     """Course reviews with curriculum and instructor statistics per course."""
     events = read_csv(
-        spark, f"{folder}/evaluate_latest.csv", "learner_id, course_id, learner_rating, learner_timestamp", ordered=True
+        spark,
+        f"{folder}/evaluate_latest.csv",
+        "learner_id, course_id, learner_rating, learner_timestamp",
+        ordered=True,
+        multiline=True,  # comments may hold line breaks
     )
     events = capped(events, limit).dropna()
     events = events.withColumnsRenamed(

@@ -204,13 +204,18 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) ->
 
     Rows that repeat both are copies of each other; one of them stays. The texts move once, to meet the rows that stay.
     """
-    columns = docs.columns
     hashed = F.xxhash64("text")
     rows = durable(
         pick(docs, "doc_id", "text").select("doc_id", hashed.alias("digest"), fingerprint_column(width).alias("fp")), "fingerprints"
     )
+    return kept_rows(docs, rows.join(grouped(rows, radius), "fp"))
+
+
+def kept_rows(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for a root of ``placed`` (doc_id, digest of the text, root)."""
+    columns = docs.columns
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest"))
-    stay = rows.join(grouped(rows, radius), "fp").groupBy("root").agg(first.alias("first")).select("first.*")
+    stay = placed.groupBy("root").agg(first.alias("first")).select("first.*")
     numbered = docs.toDF(*(f"column_{i}" for i in range(len(columns))))
     doc_id, text = (F.col(f"column_{columns.index(c)}") for c in ("doc_id", "text"))
     keys = ["nameless", "id", "digest"]

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rankloom.llm import simhash, suffix, topk
+from rankloom.llm import near_copies, simhash, suffix, topk
 from rankloom.llm.oracle import SQL
 from rankloom.llm.queries import QUERIES
 
@@ -92,6 +92,51 @@ def test_one_of_each_group_stays(spark, near):
     assert sorted(r.doc_id for r in rows if r.doc_id is not None) == sorted(c for c, _ in groups if c is not None)
 
 
+def brute_shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()}
+
+
+def planted_copies():
+    """Texts, chains of them with few edits between neighbours (0.75 to 0.95 in common), and short, empty and null ones."""
+    draw = random.Random(21)
+    rows = [(None, "only one"), (5, None), (3, ""), (9, " \n"), (7, "two words"), (7, "two words"), (8, "Two  WORDS"), (None, "Only ONE")]
+    for k, n in enumerate((12, 30, 60, 120, 400, 1500) * 4):
+        own = ["".join(draw.choice("abcde") for _ in range(draw.randint(3, 7))) for _ in range(n)]
+        for c in range(5):
+            rows.append((1000 - 10 * k - c, " ".join(own)))
+            # An edit takes five shingles from each set.
+            for at in draw.sample(range(n), max(1, round(n * draw.choice((0.006, 0.012, 0.019, 0.022, 0.028))))):
+                own[at] = f"zz{draw.randrange(1000)}"
+    # Beginnings of one text: the first and the last are no pair, the middle one links both.
+    for k in range(10):
+        own = words(draw, 300).split()
+        rows += [(2000 + 10 * k + c, " ".join(own[:n])) for c, n in enumerate((200, 245, 300))]
+    return rows
+
+
+def test_near_copies_are_all_pairs_with_four_fifths_of_the_shingles(spark):
+    rows = planted_copies()
+    sets = [brute_shingles(t) for _, t in rows]
+    near = [[len(a & b) * 5 >= len(a | b) * 4 for b in sets] for a in sets]
+    label = list(range(len(rows)))
+    for _ in rows:
+        label = [min(label[j] for j in range(len(rows)) if near[i][j]) for i in range(len(rows))]
+    alike = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i] if a != b]
+    assert sum(0.8 <= x < 0.95 for x in alike) > 50 and sum(0.7 <= x < 0.8 for x in alike) > 20
+    groups = collections.defaultdict(list)
+    for (i, _), r in zip(rows, label):
+        groups[r].append(i)
+    expected = sorted((min((i for i in ids if i is not None), default=None) for ids in groups.values()), key=str)
+    table = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], DOCS + ", digest int")
+    for block in (near_copies.BLOCK, 2):
+        kept = near_copies.one_of_each(table, block)
+        assert kept.columns == table.columns
+        assert sorted((r.doc_id for r in kept.collect()), key=str) == expected
+    staged = corpus_pipeline.drop_near_duplicates(spark, table, "")
+    assert sorted((r.doc_id for r in staged.collect()), key=str) == expected
+
+
 def brute_dedup(rows, width):
     data = [(i, (t or "").encode()) for i, t in rows]
     seen = collections.Counter(b[s : s + width] for _, b in data for s in range(len(b) - width + 1))

@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and a battery of randomness tests over long tokens.
 
 Everything is a DataFrame expression. Patterns give the base spans. Besides, every run of letters, digits and
-``+/_=-`` that mixes letters and digits is a candidate; its encoding (hex, base32, base36, base62, base64) is inferred from the
+``+/`` or ``_-`` (and ``=`` at its end) that mixes letters and digits is a candidate; its encoding (hex, base32, base36, base62, base64) is inferred from the
 characters. Under the hypothesis "symbols are drawn evenly and independently" three tests give p-values:
 
 * chi-squared: even use of the encoding's alphabet, from the count of equal pairs with its exact mean and variance;
@@ -33,7 +33,12 @@ ASSIGN_VALUE = 6
 #: A candidate has this many characters at least, and this many bits if all symbols were random.
 LEAST = 16
 BITS = 80.0
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{%d,}" % LEAST
+#: A whole run of ``+/`` text, or a piece of ``_-`` text, which a '+' or '/' ends. A '=' is part of a token only as padding at its end.
+PADDING = r"(?:=++(?![A-Za-z0-9+/_-]))?"
+TOKEN = (
+    r"(?:(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{%d,}+(?![_-])|(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{%d,}+)%s"
+    % (LEAST, LEAST, PADDING)
+)
 RATE = 0.01
 #: p-values are kept as whole steps of -log10 p: STEPS to a power of ten, down to 10 ** -DEEPEST.
 STEPS, DEEPEST = 20, 60

@@ -206,6 +206,29 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert all(not rows[i] for i in range(40, len(texts)))
 
 
+def test_random_values_behind_names_and_paths_are_found(spark):
+    draw = random.Random(14)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    forms = ("client_key={}", "auth={}", "SharedAccessSignature=sv/2020-08-04/{}", "https://a.b/c?sig={}&x=1", "export KEY={}", "a==b={}==", "some-path/of_it/{}", "x-y+{} end")
+    made = [(f, "".join(draw.choice(letters + "0123456789") for _ in range(40))) for f in forms for _ in range(10)]
+    made += [("auth={}", "".join(draw.choice("0123456789ABCDEF") for _ in range(40))) for _ in range(10)]
+    texts = [f.format(v) for f, v in made]
+    rows = {r.doc_id: r.spans for r in secret_scan.scan(docs(spark, *texts)).collect()}
+    for form in dict.fromkeys(f for f, _ in made):
+        own = [i for i, (f, _) in enumerate(made) if f == form]
+        pad = 2 if form.endswith("==") else 0
+        found = [any((s.start, s.end) == (form.index("{"), form.index("{") + 40 + pad) for s in rows[i]) for i in own]
+        assert sum(found) >= 0.8 * len(own), form
+
+
+def test_padding_ends_a_token(spark):
+    whole = "Zx9k+Qm2/Lp7vRt4Ws8yBn3c=="
+    texts = [f"x {whole} y", f"name={whole}", f"{whole[:-2]}=name", "a1b2c3d4e5f6g7h8==i"]
+    found = docs(spark, *texts).select("doc_id", secret_scan.matches(F.col("text"), secret_scan.TOKEN, F.lit(True)).alias("m"))
+    got = {r.doc_id: [m.value for m in r.m] for r in found.collect()}
+    assert got == {0: [whole], 1: [whole], 2: [whole[:-2]], 3: ["a1b2c3d4e5f6g7h8"]}
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     rows = docs(spark, None, "", "clean", "é token=abcdef0123 and secret: xyzxyz1 end").withColumn("n_chars", F.length("text").cast("long")).withColumn("base", F.lit(1))
     out = secret_scan.redact(rows)

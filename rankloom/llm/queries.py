@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, counts, decontaminate, language, lattice, quality, secret_scan, simhash, suffix, topk
+from rankloom.llm import (
+    bpe, counts, decontaminate, language, lattice, periods, quality, resample, secret_scan, simhash, suffix, tag_paths, topk,
+)
 from rankloom.llm.common import fold_of, pick
 
 #: Where the vocabulary files lie.
@@ -88,6 +91,48 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article's text of every page."""
+    return tag_paths.extracted(table(spark, sf_dir, "pages"))
+
+
+def repeated_tail(n: int, h: int) -> np.ndarray | None:
+    """Word numbers of a text of ``n`` words with id hash ``h``: a tenth of the texts end in a stretch said again and again."""
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    first = g % n
+    period = 1 + (n - first) // (3 + g % 8)
+    return np.concatenate([np.arange(first), first + np.arange(n - first) % period])
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of the runs, the longest one, and the digest of the text without repeats."""
+    seed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    found = periods.periodic_runs(table(spark, sf_dir, "documents"), seed, repeated_tail)
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    # The greatest of these is the longest run; of equally long ones the first, then the one of smallest period.
+    order = F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("start"), (-r["period"]).alias("period")))
+    best = F.array_max(order)
+    length, period = best["length"], -best["period"]
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-best["start"]).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        ((length * 1000 - F.pmod(length * 1000, period)) / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights and scores of all documents towards the benchmark texts, and the rank of those that are drawn."""
+    drawn = resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -101,5 +146,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_lattice,
         op9_token_counts,
         op10_simhash,
+        op11_html_extraction,
+        op12_periodic_runs,
+        op13_resampling,
     )
 }

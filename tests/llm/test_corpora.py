@@ -129,14 +129,66 @@ def test_near_copies_are_all_pairs_with_four_fifths_of_the_shingles(spark):
         groups[r].append(i)
     expected = sorted((min((i for i in ids if i is not None), default=None) for ids in groups.values()), key=str)
     table = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], DOCS + ", digest int")
-    for block in (near_copies.BLOCK, 2):
-        kept = near_copies.one_of_each(table, block)
+    for block, mass in ((near_copies.BLOCK, near_copies.MASS), (2, near_copies.MASS), (8, 200)):
+        kept = near_copies.one_of_each(table, block, mass)
         assert kept.columns == table.columns
         assert sorted((r.doc_id for r in kept.collect()), key=str) == expected
     staged = corpus_pipeline.drop_near_duplicates(spark, table, "")
     assert sorted((r.doc_id for r in staged.collect()), key=str) == expected
 
 
+def test_exact_links_and_edges_of_one_cluster():
+    """Copies of one text that are mostly just under the limit: all pairs are compared, and fewer edges than sets come out."""
+    draw = random.Random(21)
+    base = [f"w{i}" for i in range(300)]
+    sets = []
+    for _ in range(400):
+        own = list(base)
+        for k in draw.sample(range(300), draw.choice([2, 5, 5, 5])):
+            own[k] = f"x{draw.random()}"
+        sets.append(np.sort(near_copies.shingles(" ".join(own))))
+    n = np.array([len(s) for s in sets])
+    every = np.ones((400, 400), bool) & ~np.eye(400, dtype=bool)
+    link = near_copies.exact_links(sets, every)
+    brute = [[i != j and len(np.intersect1d(a, b)) * 9 >= 4 * (len(a) + len(b)) for j, b in enumerate(sets)] for i, a in enumerate(sets[:40])]
+    assert (link[:40] == np.array(brute)).all() and 0 < link.sum() < every.sum() / 2
+    few = np.zeros_like(every)
+    few[:3, :3] = every[:3, :3]
+    assert (near_copies.exact_links(sets, few) == (link & few)).all()
+    edges = near_copies.star(link, np.arange(400))
+    label = list(range(400))
+    for _ in range(400):
+        new = [min([label[i], *(label[j] for j in np.flatnonzero(link[i]))]) for i in range(400)]
+        if new == label:
+            break
+        label = new
+    assert len(edges) == sum(x != i for i, x in enumerate(label)) < 400
+    assert all(label[a] == b for a, b in edges)
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Few edges leave a task whatever the size of a group, and blocks lose none."""
+    draw = random.Random(22)
+    base = words(draw, 200).split()
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for k in draw.sample(range(200), draw.choice([0, 1, 3, 4])):
+            own[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(own)))
+    sets = [brute_shingles(t) for _, t in rows]
+    label = list(range(300))
+    near = [[len(a & b) * 5 >= len(a | b) * 4 for b in sets] for a in sets]
+    for _ in rows:
+        new = [min(label[j] for j in range(300) if near[i][j]) for i in range(300)]
+        if new == label:
+            break
+        label = new
+    table = spark.createDataFrame(rows, DOCS)
+    for block in (512, 40):
+        assert sorted(r.doc_id for r in near_copies.one_of_each(table, block).collect()) == sorted(set(label))
+
+
 def brute_dedup(rows, width):
     data = [(i, (t or "").encode()) for i, t in rows]
     seen = collections.Counter(b[s : s + width] for _, b in data for s in range(len(b) - width + 1))

@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
 import pandas as pd
@@ -20,11 +19,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import pick, whole_text
+from rankloom.llm.common import held, pick, share, whole_text
 
-#: Encodings of pieces, and pairs of tokens, that a worker remembers before it starts anew.
-REMEMBERED = 150_000
-PAIRS = 300_000
+#: Encodings of pieces that a worker remembers in each of two generations, and pairs of tokens that it remembers before it starts anew.
+REMEMBERED = 300_000
+PAIRS = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,24 +33,30 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Pieces(dict):
-    """Tokens of each match of the pattern met so far; at most REMEMBERED of them, and no long ones."""
+    """What is needed of each match of the pattern met lately: its ids as text with a comma behind each, and the bytes they decode to.
+
+    When REMEMBERED matches are held they become the old generation; what is asked for again moves to the new one, so
+    common matches are never lost. Long matches are not held.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode("utf-8", "surrogatepass")
-        # Bytes that are a token as a whole are that token.
-        rank = self.vocabulary.ranks.get(data)
-        ids = (rank,) if rank is not None else tuple(Prefixes(self.vocabulary, data).ids())
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(self.vocabulary.pairs) >= PAIRS:
-            self.vocabulary.pairs.clear()
-        if len(data) <= 64:
-            self[piece] = ids
-        return ids
+        self.vocabulary, self.old = vocabulary, {}
+
+    def __missing__(self, piece: str) -> tuple[str, bytes]:
+        found = self.old.get(piece)
+        if found is None:
+            v = self.vocabulary
+            if len(v.pairs) >= PAIRS:
+                v.pairs.clear()
+            ids = v.piece_ids(piece.encode("utf-8", "surrogatepass"))
+            found = "".join([v.digits[i] for i in ids]), v.decode(ids)
+        if len(piece) <= 64:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
 
 
 class Vocabulary:
@@ -73,7 +78,7 @@ class Vocabulary:
             if self.made(rank):
                 self.ends.add_word(token.decode("latin-1"), (rank, len(token)))
         self.ends.make_automaton()
-        self.digits = [str(i) for i in range(len(self.tokens))]
+        self.digits = [f"{i}," for i in range(len(self.tokens))]
 
     def __reduce__(self):
         return Vocabulary, (self.ranks, self.pattern)
@@ -124,8 +129,18 @@ class Vocabulary:
         self.pairs[key] = answer
         return answer
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split.findall(text))))
+    def piece_ids(self, data: bytes) -> list[int]:
+        """Bytes that are a token as a whole are that token."""
+        rank = self.ranks.get(data)
+        return Prefixes(self, data).ids() if rank is None else [rank]
+
+    def encode(self, text: str) -> tuple[str, bytes]:
+        """The ids, joined by commas, and the bytes they decode to; each match of the pattern for itself."""
+        pieces = self.split.findall(text)
+        if not pieces:
+            return "", b""
+        ids, data = zip(*map(self.pieces.__getitem__, pieces))
+        return "".join(ids)[:-1], b"".join(data)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -185,20 +200,20 @@ class Prefixes:
 
 def coder(docs: DataFrame, vocabulary: Vocabulary, with_ids: bool = False) -> Column:
     """Struct column n_tokens, ids_sha256, decoded_sha256 (and ids) for the ``text`` column of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = share(docs.sparkSession, vocabulary)
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     @F.pandas_udf(kind)
     def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        v = shared.value
+        v = held(shared)
         sha = lambda data: hashlib.sha256(data).hexdigest()
         names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
         for batch in batches:
             rows = []
             for text in batch:
-                ids = v.encode(text)
-                row = (len(ids), sha(",".join(map(v.digits.__getitem__, ids)).encode()), sha(v.decode(ids)))
-                rows.append((*row, ids) if with_ids else row)
+                ids, data = v.encode(text)
+                row = (ids.count(",") + (ids != ""), sha(ids.encode()), sha(data))
+                rows.append((*row, [int(i) for i in ids.split(",") if i]) if with_ids else row)
             yield pd.DataFrame(rows, columns=names)
 
     return code(whole_text())

@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def share(spark: SparkSession, value: Any) -> Broadcast:
+    """Send a model of bounded size to all workers, its class by value: they need not have this package."""
+    return spark.sparkContext.broadcast({"sent": cloudpickle.dumps(value)})
+
+
+def held(shared: Broadcast) -> Any:
+    """The shared value; a worker builds it once and keeps it beside the broadcast for all its tasks."""
+    box = shared.value
+    if "value" not in box:
+        box["value"] = pickle.loads(box["sent"])
+    return box["value"]
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Exactly the named columns, whatever else the table holds.
 

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import pick, whole_text
+from rankloom.llm.common import held, pick, share, whole_text
 
 #: Parts that a worker remembers before it starts anew; longer ones than LONG characters are never kept.
 REMEMBERED = 500_000
@@ -124,12 +124,12 @@ def raised(scores: dict[str, float]) -> dict[str, float]:
 
 def counter(docs: DataFrame, vocabulary: Unigram) -> Column:
     """Long column: pieces of the ``text`` column of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = share(docs.sparkSession, vocabulary)
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([shared.value.count(t) for t in batch], dtype="int64")
+            yield pd.Series([held(shared).count(t) for t in batch], dtype="int64")
 
     return count(whole_text())
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import pick, whole_text
+from rankloom.llm.common import held, pick, share, whole_text
 
 #: Edits allowed as a share of the item's characters.
 RATE = 0.05
@@ -166,12 +166,12 @@ def item_blocks(benchmark: DataFrame, rate: float = RATE, block_chars: int = BLO
 
 def matcher(docs: DataFrame, items: Items) -> Column:
     """Array of matches for the ``text`` column of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared = share(docs.sparkSession, items)
 
     @F.pandas_udf("array<struct<item_id:long,distance:int,start:long,end:long>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([shared.value.find(t) for t in batch], dtype=object)
+            yield pd.Series([held(shared).find(t) for t in batch], dtype=object)
 
     return run(whole_text())
 

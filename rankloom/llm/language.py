@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import chunks, pick, whole_text
+from rankloom.llm.common import chunks, held, pick, share, whole_text
 
 BUCKETS = 1 << 16
 #: Nats that a change of language costs.
@@ -165,10 +165,11 @@ def train(docs: DataFrame) -> Model:
     Each task sends one row per language and cell, so the shuffle does not grow with the texts.
     """
     spark = docs.sparkSession
-    letters = spark.sparkContext.broadcast(alphabet())
+    letters = alphabet()
+    sent = share(spark, letters)
 
     def count(batches):
-        table, seen = letters.value, {}
+        table, seen = held(sent), {}
         for batch in batches:
             for lang, part in batch.groupby("lang"):
                 cells, scripts = seen.setdefault(lang, (np.zeros(BUCKETS, np.int64), np.zeros(table.n_scripts, np.int64)))
@@ -186,7 +187,7 @@ def train(docs: DataFrame) -> Model:
     # At most BUCKETS + scripts rows per language.
     found = counts.toPandas()
     languages = sorted(found["lang"].unique())
-    n_scripts = letters.value.n_scripts
+    n_scripts = letters.n_scripts
     table = np.zeros((BUCKETS + n_scripts, len(languages)))
     if languages:
         table[found["cell"], np.searchsorted(languages, found["lang"])] = found["n"]
@@ -195,8 +196,8 @@ def train(docs: DataFrame) -> Model:
     uses = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(0), 1)
     # A script that no language uses bars none.
     barred = np.where(uses | ~uses.any(1, keepdims=True), 0, BARRED)
-    model = Model(languages, log_p.astype(np.float32), barred.astype(np.float32), letters.value)
-    letters.unpersist()
+    model = Model(languages, log_p.astype(np.float32), barred.astype(np.float32), letters)
+    sent.unpersist()
     return model
 
 
@@ -295,13 +296,13 @@ def label_texts(texts: list[str], model: Model, spans: bool) -> list[tuple]:
 
 def labeller(docs: DataFrame, model: Model, spans: bool = False) -> Column:
     """Struct column lang_pred, score, spans for the ``text`` column of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     kind = "lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>"
 
     @F.pandas_udf(kind)
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame(label_texts(batch.tolist(), shared.value, spans), columns=["lang_pred", "score", "spans"])
+            yield pd.DataFrame(label_texts(batch.tolist(), held(shared), spans), columns=["lang_pred", "score", "spans"])
 
     return label(whole_text())
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import chunks, pick, whole_text
+from rankloom.llm.common import chunks, held, pick, share, whole_text
 from rankloom.session import durable
 
 #: Most frequent words that every task knows; counts of all others come by a join. This bounds what is sent.
@@ -234,18 +234,19 @@ def train(docs: DataFrame, path: str, head: int = HEAD) -> Model:
     counts = durable(count_words(pick(docs, "text")), "word_counts")
     end = F.col("word") == F.lit(b" ")
     n, v, ends = counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(end, F.col("c")))).first()
-    start = spark.sparkContext.broadcast(first_distribution(read_pieces(path)))
+    first = first_distribution(read_pieces(path))
+    start = share(spark, first)
 
     def expect(batches):
-        total = np.zeros(len(start.value.strings))
+        pieces = held(start)
+        total = np.zeros(len(pieces.strings))
         for batch in batches:
-            total += start.value.log_probs(batch["word"].tolist(), batch["c"].to_numpy(np.float64))[1]
+            total += pieces.log_probs(batch["word"].tolist(), batch["c"].to_numpy(np.float64))[1]
         at = np.flatnonzero(total)
         yield pd.DataFrame({"piece": at, "e": total[at]})
 
     # At most one row for each piece of the vocabulary.
     found = counts.where(~end).mapInPandas(expect, "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).toPandas()
-    first = start.value
     expected = np.zeros(len(first.strings))
     expected[found["piece"]] = found["e"]
     mass = expected + PRIOR * np.exp(first.log_p)
@@ -266,12 +267,12 @@ def train(docs: DataFrame, path: str, head: int = HEAD) -> Model:
 def scored(docs: DataFrame, model: Model, keep: list[Column]) -> DataFrame:
     """Columns ``keep`` of ``docs`` (text, doc_id) and n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.pieces, {w: math.log10(c + ADD) for w, c in model.head.items()}))
+    shared = share(spark, (model.pieces, {w: math.log10(c + ADD) for w, c in model.head.items()}))
     kind = "n_words long, known long, base double, lattice double, rare array<struct<word:binary,tf:int>>"
 
     @F.pandas_udf(kind)
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        pieces, head = shared.value
+        pieces, head = held(shared)
         memory: dict[bytes, float] = {}
         for batch in batches:
             rows = []

@@ -50,6 +50,6 @@ def context_columns(df) -> list[str]:
 
 
 def ordered_columns(columns: list[str]) -> list[str]:
-    """Canonical columns first, everything else after in its given order."""
-    front = [c for c in CANONICAL if c in columns]
-    return front + [c for c in columns if c not in front]
+    """The columns with the canonical ones in front, in their fixed order."""
+    place = {name: at for at, name in enumerate(CANONICAL)}
+    return sorted(columns, key=lambda name: place.get(name, len(place)))

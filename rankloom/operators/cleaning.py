@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,9 @@ from rankloom.operators.ordering import (
 )
 from rankloom.session import durable
 
+# Rounds after which the pairs of a k-core are rewritten without what went.
+COMPACT_EVERY = 4
+
 
 def clean_columns(df: DataFrame) -> DataFrame:
     """Lower-case headers, trim them, join words by ``_``, drop other signs."""
@@ -86,31 +90,34 @@ def kcore(
     min_interactions: int = MIN_INTERACTIONS,
     users: DataFrame | None = None,
     items: DataFrame | None = None,
+    compact_every: int = COMPACT_EVERY,
 ):
     """Drop rare users and items until every one left has enough interactions.
 
-    Both filters of a round use the counts of that round. The rounds work on the
-    distinct id pairs only, written to the shared folder so that plans stay short
-    and a lost executor costs one round; the full rows are read once at the end.
-    Returns the interactions, or ``(users, items, interactions)`` if tables are
-    given.
+    Both filters of a round use the counts of that round. Counts are kept as a table of users and items and only
+    lowered by the pairs that a round removes, so a round reads the distinct id pairs once, next to its (few) rare ids, and
+    writes counts, not pairs; pairs are rewritten once in ``compact_every`` rounds. All tables lie in the
+    shared folder, so a lost executor costs one round. The full rows are read once at the end.
+    Returns the interactions, or ``(users, items, interactions)`` if tables are given.
     """
-    pairs = interactions.select(USER, ITEM).dropna().distinct()
-    pairs, step = durable(pairs, "kcore-pairs"), 0
-    while True:
-        step += 1
-        # Users and items are counted by one job; each row holds one of the two ids.
-        found = _rare(pairs, USER, min_interactions).unionByName(
-            _rare(pairs, ITEM, min_interactions), allowMissingColumns=True
-        )
-        rare = durable(found, f"kcore-rare-{step}")
+    pairs = durable(interactions.select(USER, ITEM).dropna().distinct(), "kcore-pairs")
+    counts = durable(_ends(pairs).groupBy(USER, ITEM).agg(F.count(F.lit(1)).alias("n")), "kcore-counts")
+    removed: DataFrame | None = None
+    for step in itertools.count(1):
+        rare = counts.where(F.col("n") < min_interactions)
         if rare.isEmpty():
             break
-        rare_users = rare.select(USER).where(F.col(USER).isNotNull())
-        rare_items = rare.select(ITEM).where(F.col(ITEM).isNotNull())
-        kept = pairs.join(rare_users, USER, "left_anti").join(rare_items, ITEM, "left_anti")
-        pairs = durable(kept.select(USER, ITEM), f"kcore-pairs-{step}")
-    valid_users, valid_items = pairs.select(USER).distinct(), pairs.select(ITEM).distinct()
+        gone = _pairs_of(pairs, rare, removed)
+        lost = _ends(gone).select(USER, ITEM, F.lit(-1).alias("n"), F.lit(False).alias("kept"))
+        left = counts.where(F.col("n") >= min_interactions).select(USER, ITEM, "n", F.lit(True).alias("kept"))
+        # An id that was rare too has no row of its own any more; what it lost is of no interest.
+        lowered = left.unionByName(lost).groupBy(USER, ITEM).agg(F.sum("n").alias("n"), F.bool_or("kept").alias("kept"))
+        counts = durable(lowered.where("kept").select(USER, ITEM, "n"), f"kcore-counts-{step}")
+        removed = rare if removed is None else removed.unionByName(rare)
+        if step % compact_every == 0:
+            pairs, removed = durable(_without(pairs, removed), f"kcore-pairs-{step}"), None
+    valid_users = counts.select(USER).where(F.col(USER).isNotNull())
+    valid_items = counts.select(ITEM).where(F.col(ITEM).isNotNull())
     kept = interactions.join(valid_users, USER, "left_semi").join(valid_items, ITEM, "left_semi")
     kept = dedup_latest(kept.select(*interactions.columns))
     if users is None or items is None:
@@ -122,8 +129,28 @@ def kcore(
     )
 
 
-def _rare(pairs: DataFrame, key: str, min_interactions: int) -> DataFrame:
-    return pairs.groupBy(key).count().where(F.col("count") < min_interactions).select(key)
+def _ends(pairs: DataFrame) -> DataFrame:
+    """Two rows a pair: its user with no item, and its item with no user."""
+    empty = {c: F.lit(None).cast(pairs.schema[c].dataType) for c in (USER, ITEM)}
+    user = F.struct(F.col(USER).alias(USER), empty[ITEM].alias(ITEM))
+    item = F.struct(empty[USER].alias(USER), F.col(ITEM).alias(ITEM))
+    return pairs.select(F.inline(F.array(user, item)))
+
+
+def _ids(ends: DataFrame, key: str) -> DataFrame:
+    return ends.select(key).where(F.col(key).isNotNull())
+
+
+def _without(pairs: DataFrame, ends: DataFrame) -> DataFrame:
+    return pairs.join(_ids(ends, USER), USER, "left_anti").join(_ids(ends, ITEM), ITEM, "left_anti").select(USER, ITEM)
+
+
+def _pairs_of(pairs: DataFrame, rare: DataFrame, removed: DataFrame | None) -> DataFrame:
+    """Pairs that a rare user or item takes along, each once, but for those that went before."""
+    marked = pairs.join(_ids(rare, USER).withColumn("_u", F.lit(True)), USER, "left")
+    marked = marked.join(_ids(rare, ITEM).withColumn("_i", F.lit(True)), ITEM, "left")
+    found = marked.where("_u or _i").select(USER, ITEM)
+    return found if removed is None else _without(found, removed)
 
 
 def _sizes(n: Column, test_ratio: float, val_ratio: float) -> tuple[Column, Column]:

@@ -26,33 +26,31 @@ from rankloom.operators.cleaning import number
 from rankloom.operators.ordering import with_positions
 from rankloom.session import durable
 
-FEATURE_TYPES = ("numeric", "categorical", "text", "list")
-IGNORED_TYPES = ("time",)
+# The roles that a source declares for its columns, and the kind of feature that each becomes.
+KIND_OF_ROLE = {"num": "numeric", "bin": "categorical", "cat": "categorical", "text": "text", "list": "list"}
+FEATURE_TYPES = tuple(dict.fromkeys(KIND_OF_ROLE.values()))
+# Asked for in published settings, but no feature here.
+NO_FEATURE = "time"
 LITERAL_VOCABULARY = 4096
 
 
 def feature_types(names) -> tuple[str, ...]:
-    """Known feature types in first-mention order; ``time`` is accepted and skipped."""
-    wrong = sorted(set(names) - set(FEATURE_TYPES) - set(IGNORED_TYPES))
-    if wrong:
-        raise ValueError(f"unsupported feature types: {', '.join(wrong)}")
-    return tuple(dict.fromkeys(n for n in names if n in FEATURE_TYPES))
+    """The kinds of features asked for, each once; one that is not known is an error, ``time`` is passed over."""
+    asked = dict.fromkeys(names)
+    asked.pop(NO_FEATURE, None)
+    if not asked.keys() <= set(FEATURE_TYPES):
+        raise ValueError(f"features are of the kinds {', '.join(FEATURE_TYPES)}; asked for {', '.join(map(str, asked))}")
+    return tuple(asked)
 
 
 def resolve_roles(roles: dict[str, list[str]], columns: list[str], types=FEATURE_TYPES) -> dict[str, list[str]]:
-    """Columns per feature kind that exist, are not canonical, and are switched on."""
-    active = feature_types(types)
-
-    def pick(kind: str, *groups: str) -> list[str]:
-        wanted = [c for g in groups for c in roles.get(g, [])]
-        return [c for c in wanted if kind in active and c in columns and c not in CANONICAL]
-
-    return {
-        "numeric": pick("numeric", "num"),
-        "categorical": pick("categorical", "bin", "cat"),
-        "text": pick("text", "text"),
-        "list": pick("list", "list"),
-    }
+    """Columns of each kind of feature: declared by a role, present, not canonical, and of a kind asked for."""
+    present, asked = set(columns) - set(CANONICAL), feature_types(types)
+    found: dict[str, list[str]] = {kind: [] for kind in FEATURE_TYPES}
+    for role, kind in KIND_OF_ROLE.items():
+        if kind in asked:
+            found[kind] += [c for c in roles.get(role, ()) if c in present]
+    return found
 
 
 # --- numeric ----------------------------------------------------------------------

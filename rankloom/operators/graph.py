@@ -69,10 +69,13 @@ def smooth(
 ) -> DataFrame:
     """Mean of the input vectors and of ``layers`` rounds of neighbour sums.
 
+    Nodes are those of ``vectors`` and of ``edges``; a node without a vector starts from zero and still takes part.
     Rounds after the first start from a written table, which keeps the plan flat
     and survives lost executors.
     """
-    current = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"))
+    given = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    current = given.join(ends, "id", "full").select("id", F.coalesce("vector", V.zeros(dim)).alias("vector"))
     if normalize_input:
         current = current.withColumn("vector", V.layer_norm(F.col("vector")))
     if layers == 0:

@@ -17,7 +17,12 @@ from rankloom.operators.ordering import DETECT, HOT_ROWS, resolve_hot, with_posi
 from rankloom.operators.sequences import user_history
 from rankloom.session import durable
 
-KNN_BLOCK = 1024
+# Row items whose cells a task adds up at once, and how many such blocks of a user's items travel in one row.
+KNN_BLOCK = 256
+WIDE = 64
+# Cells up to which a block is a dense table; pairs that are added at once.
+DENSE_CELLS = 1 << 22
+PAIRS_AT_ONCE = 1 << 22
 USERS_PER_SALT = 1_000_000
 STRIPE_BLOCKS = 64
 
@@ -43,12 +48,16 @@ def static_target_ranks(
     """Target ranks under one fixed item order for all users.
 
     Histories are built over places instead of ids. A target's rank is its place
-    less the seen items in front of it, so nothing is scored per query.
+    less the seen items in front of it, so nothing is scored per query. Items outside
+    the catalog have no place: as targets they come last, in histories they count as events but mask nothing.
     """
     hot = resolve_hot(positives(labelled), [USER], hot, HOT_ROWS)
-    placed = positives(labelled).join(places.select(ITEM, "place"), ITEM)
-    rows = user_history(placed, length, F.col("place"), "seen_places", hot=hot)
-    ahead = F.size(F.filter(F.array_distinct("seen_places"), lambda p: p < F.col("place")))
+    outside = F.lit(0).cast("long")
+    placed = positives(labelled).join(places.select(ITEM, F.col("place").cast("long").alias("place")), ITEM, "left")
+    rows = user_history(placed, length, F.coalesce("place", outside), "seen_places", hot=hot)
+    last = places.agg(F.count(F.lit(1)) + 1).scalar()
+    rows = rows.withColumn("place", F.coalesce("place", last))
+    ahead = F.size(F.filter(F.array_distinct("seen_places"), lambda p: (p > outside) & (p < F.col("place"))))
     return rows.where(F.col(SPLIT) == split).select(
         F.col(ROW).alias("query_id"), (F.col("place") - ahead).alias("rank")
     )
@@ -57,83 +66,187 @@ def static_target_ranks(
 # --- item-kNN -------------------------------------------------------------------
 
 
-def _block_cells(batches: Iterator[pd.DataFrame], block: int) -> Iterator[pd.DataFrame]:
-    """Co-occurrence cells of item blocks from rows sorted by block pair."""
-    current, cells = None, None
-
-    def flush() -> pd.DataFrame:
-        a, b = current
-        i, j = np.nonzero(cells)
-        n = cells[i, j]
-        i, j = i.astype("int64") + a * block, j.astype("int64") + b * block
-        if a == b:
-            off = i != j
-            return pd.DataFrame({"i": i[off], "j": j[off], "n": n[off]})
-        return pd.DataFrame({"i": np.r_[i, j], "j": np.r_[j, i], "n": np.r_[n, n]})
-
+def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of rows with equal keys."""
+    change = np.zeros(len(keys[0]), bool)
+    for key in keys:
+        change[1:] |= key[1:] != key[:-1]
+    at = [0, *np.flatnonzero(change).tolist(), len(change)]
+    return list(zip(at, at[1:])) if len(change) else []
+
+
+def _flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """All entries in a row, and the length of each list."""
+    sizes = lists.map(len).to_numpy()
+    return np.concatenate(lists.to_list()) if sizes.sum() else np.zeros(0, np.int64), sizes
+
+
+class _Cells:
+    """Sums over the cells (row item, item) of one block of row items: a dense table if it is small, else sorted codes."""
+
+    def __init__(self, first: int, rows: int, n_items: int):
+        self.first, self.n_items = first, n_items
+        self.dense = np.zeros(rows * n_items, np.int64) if rows * n_items <= DENSE_CELLS else None
+        self.codes, self.sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting, self.held = [], 0
+
+    def add(self, left: np.ndarray, left_sizes: np.ndarray, right: np.ndarray, right_sizes: np.ndarray) -> None:
+        """One for each pair of a left and a right entry of the same row."""
+        bounds = np.searchsorted(np.cumsum(left_sizes * right_sizes), np.arange(PAIRS_AT_ONCE, (left_sizes * right_sizes).sum(), PAIRS_AT_ONCE)) + 1
+        starts = np.unique([0, *bounds, len(left_sizes)])
+        left_at, right_at = np.append(0, np.cumsum(left_sizes)), np.append(0, np.cumsum(right_sizes))
+        for i, j in zip(starts, starts[1:]):
+            times = np.repeat(right_sizes[i:j], left_sizes[i:j])
+            total = int(times.sum())
+            rows = np.repeat(left[left_at[i] : left_at[j]] - self.first, times)
+            # The left entry's row gives the place of its right list; the pair's number in the entry is added.
+            from_place = np.repeat(right_at[i:j], left_sizes[i:j]) - (np.cumsum(times) - times)
+            columns = right[np.repeat(from_place, times) + np.arange(total)]
+            codes = rows * self.n_items + columns
+            if self.dense is not None:
+                self.dense += np.bincount(codes, minlength=len(self.dense))
+            else:
+                self.waiting.append(codes)
+                self.held += total
+                if self.held >= PAIRS_AT_ONCE:
+                    self._squeeze()
+
+    def _squeeze(self) -> None:
+        codes, sums = np.unique(np.concatenate(self.waiting), return_counts=True) if self.waiting else (np.zeros(0, np.int64),) * 2
+        self.waiting, self.held = [], 0
+        both, at = np.unique(np.concatenate([self.codes, codes]), return_inverse=True)
+        self.sums = np.bincount(at, np.concatenate([self.sums, sums]), len(both)).astype(np.int64)
+        self.codes = both
+
+    def cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row item, item and sum of all cells but those of an item with itself, in order."""
+        if self.dense is not None:
+            codes = np.flatnonzero(self.dense)
+            sums = self.dense[codes]
+        else:
+            self._squeeze()
+            codes, sums = self.codes, self.sums
+        i, j = codes // self.n_items + self.first, codes % self.n_items
+        return i[i != j], j[i != j], sums[i != j]
+
+
+def _row_blocks(batches: Iterator[pd.DataFrame], block: int, n_items: int, finish) -> Iterator[pd.DataFrame]:
+    """``finish`` of the cells of each (block, salt) from rows sorted by them."""
+    current, cells, counts = None, None, np.zeros(n_items, np.int64)
     for pdf in batches:
-        for a, b, left, right in zip(pdf["block"], pdf["other"], pdf["places"], pdf["other_places"]):
-            if (a, b) != current:
+        for i, j in _runs(pdf["block"].to_numpy(), pdf["salt"].to_numpy()):
+            part = pdf.iloc[i:j]
+            key = (int(part["block"].iat[0]), int(part["salt"].iat[0]))
+            if key != current:
                 if current is not None:
-                    yield flush()
-                current, cells = (a, b), np.zeros((block, block), dtype=np.int64)
-            cells[np.ix_(np.asarray(left), np.asarray(right))] += 1
+                    yield finish(*cells.cells(), counts)
+                current, cells = key, _Cells(key[0] * block, block, n_items)
+            left, left_sizes = _flat(part["places"])
+            right, right_sizes = _flat(part["other_places"])
+            counts[right] = _flat(part["other_counts"])[0]
+            cells.add(left, left_sizes, right, right_sizes)
     if current is not None:
-        yield flush()
+        yield finish(*cells.cells(), counts)
+
+
+def _met(pairs: DataFrame, index: DataFrame, block: int, users_per_salt: int, stripe_blocks: int) -> DataFrame:
+    """Rows (block, salt, places, other_places, other_counts): a user's items of one block of row items, next to the user's items.
+
+    ``index``: ``(item_id, idx, c)``. Blocks with many users are salted by user, and the items of a user are cut into wide
+    blocks, so no row and no task grows with the most popular item or the busiest user.
+    """
+    placed = pairs.select(USER, ITEM).distinct().join(index.select(ITEM, "idx", "c"), ITEM)
+    packed = placed.groupBy(USER, F.floor(F.col("idx") / block).cast("int").alias("block")).agg(F.collect_list("idx").alias("places"))
+    loads = packed.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / users_per_salt).cast("int").alias("salts"))
+    left = packed.join(loads, "block").withColumn("salt", F.pmod(F.xxhash64(USER), F.col("salts")).cast("int"))
+    wide = F.floor(F.col("idx") / (block * WIDE)).cast("int").alias("other")
+    right = placed.groupBy(USER, wide).agg(F.collect_list("idx").alias("other_places"), F.collect_list("c").alias("other_counts"))
+    # A user's blocks meet in stripes, so one with very many blocks is spread too.
+    stripes = left.groupBy(USER).agg(F.ceil(F.count(F.lit(1)) / stripe_blocks).cast("int").alias("_stripes"))
+    left = left.join(stripes, USER).withColumn("stripe", F.pmod("block", F.col("_stripes")))
+    right = right.join(stripes, USER).withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("_stripes") - 1)))
+    return left.join(right, [USER, "stripe"]).select("block", "salt", "salts", "places", "other_places", "other_counts")
+
+
+def _per_block(met: DataFrame, block: int, n_items: int, finish, schema: str) -> DataFrame:
+    rows = met.repartition("block", "salt").sortWithinPartitions("block", "salt")
+    return rows.select("block", "salt", "places", "other_places", "other_counts").mapInPandas(
+        lambda batches: _row_blocks(batches, block, n_items, finish), schema
+    )
+
+
+def _all_cells(i, j, n, _counts) -> pd.DataFrame:
+    return pd.DataFrame({"i": i, "j": j, "n": n})
+
+
+def counted_index(pairs: DataFrame) -> DataFrame:
+    """``(item_id, idx, c)``: dense index in id order and users of each item."""
+    index = catalog_index(pairs, ITEM)
+    return durable(index.join(pairs.groupBy(ITEM).agg(F.count(F.lit(1)).alias("c")), ITEM), "item-index")
 
 
 def cooccurrence(
     pairs: DataFrame,
-    index: DataFrame,
+    index: DataFrame | None = None,
     block: int = KNN_BLOCK,
     users_per_salt: int = USERS_PER_SALT,
     stripe_blocks: int = STRIPE_BLOCKS,
 ) -> DataFrame:
     """Users shared by two items, as ``(i, j, n)`` over catalog indexes, both directions.
 
-    Item pairs of a user are never written out. A user's items are packed per
-    catalog block, a block pair of a user is one row, and tasks add these rows up
-    in one dense block. A user with very many items makes at most one row per
-    block pair, and the users of a popular block pair are salted over tasks.
+    Item pairs of a user are never written out: a user's items of one block of row items travel next to the user's items, and a task adds up
+    the cells of a block. ``index`` as ``counted_index`` gives it.
     """
-    placed = pairs.select(USER, ITEM).distinct().join(index, ITEM)
-    packed = placed.groupBy(USER, F.floor(F.col("idx") / block).cast("int").alias("block")).agg(
-        F.collect_list(F.pmod("idx", F.lit(block)).cast("int")).alias("places")
-    )
-    n_users = pairs.agg(F.approx_count_distinct(USER)).first()[0]
-    salts = max(1, -(-n_users // users_per_salt))
-    packed = packed.withColumn("salt", F.pmod(F.xxhash64(USER), F.lit(salts)).cast("int"))
-    # A user's blocks meet in stripes, so one with very many blocks is spread too.
-    stripes = F.ceil(F.count(F.lit(1)).over(W.partitionBy(USER)) / stripe_blocks).cast("int")
-    packed = packed.withColumn("_stripes", stripes)
-    left = packed.withColumn("stripe", F.pmod("block", F.col("_stripes")))
-    right = packed.select(
-        USER,
-        F.col("block").alias("other"),
-        F.col("places").alias("other_places"),
-        F.explode(F.sequence(F.lit(0), F.col("_stripes") - 1)).alias("stripe"),
-    )
-    met = left.join(right, [USER, "stripe"]).where("block <= other")
-    met = met.select("block", "other", "salt", "places", "other_places")
-    sorted_rows = met.repartition("block", "other", "salt").sortWithinPartitions("block", "other", "salt")
-    cells = sorted_rows.mapInPandas(lambda it: _block_cells(it, block), "i bigint, j bigint, n bigint")
-    # A block pair may come in several pieces (salts); one more sum completes it.
-    return cells if salts == 1 else cells.groupBy("i", "j").agg(F.sum("n").alias("n"))
+    index = counted_index(pairs.select(USER, ITEM).distinct()) if index is None else index
+    met = _met(pairs, index, block, users_per_salt, stripe_blocks)
+    cells = _per_block(met, block, index.count(), _all_cells, "i bigint, j bigint, n bigint")
+    # The cells of a salted block come in several pieces; one more sum completes them.
+    return cells.groupBy("i", "j").agg(F.sum("n").alias("n"))
 
 
-def item_neighbors(train: DataFrame, n_neighbors: int, block: int = KNN_BLOCK, **options) -> DataFrame:
-    """Top cosine neighbours ``(item_id, neighbor_id, similarity, rank)`` of every item."""
-    pairs = positives(train).select(USER, ITEM).distinct()
-    index = catalog_index(pairs, ITEM)
-    index = durable(index.join(pairs.groupBy(ITEM).agg(F.count(F.lit(1)).alias("c")), ITEM), "item-index")
-    cells = cooccurrence(pairs, index.select(ITEM, "idx"), block, **options)
+def item_neighbors(
+    train: DataFrame,
+    n_neighbors: int,
+    block: int = KNN_BLOCK,
+    users_per_salt: int = USERS_PER_SALT,
+    stripe_blocks: int = STRIPE_BLOCKS,
+) -> DataFrame:
+    """Top cosine neighbours ``(item_id, neighbor_id, similarity, rank)`` of every item; ties go to the smaller id.
+
+    A task that holds all users of a block of row items keeps only the best neighbours of each, so no table of
+    pairs leaves it. Only for blocks with more than ``users_per_salt`` users, whose tasks hold parts of the sums, are cells shuffled.
+    """
+    pairs = durable(positives(train).select(USER, ITEM).distinct(), "pairs")
+    index = counted_index(pairs)
+    n_items = index.count()
+
+    def best(i, j, n, counts) -> pd.DataFrame:
+        similarity = n / np.sqrt(counts[i].astype(np.float64) * counts[j].astype(np.float64))
+        order = np.lexsort((j, -similarity, i))
+        i, j, similarity = i[order], j[order], similarity[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
+        keep = rank <= n_neighbors
+        return pd.DataFrame({"i": i[keep], "j": j[keep], "similarity": similarity[keep], "rank": rank[keep].astype(np.int32)})
+
+    met = _met(pairs, index, block, users_per_salt, stripe_blocks)
+    whole = _per_block(met.where("salts = 1"), block, n_items, best, "i bigint, j bigint, similarity double, rank int")
     left = index.select(F.col("idx").alias("i"), F.col("c").alias("_ci"), F.col(ITEM))
     right = index.select(F.col("idx").alias("j"), F.col("c").alias("_cj"), F.col(ITEM).alias("neighbor_id"))
-    joined = cells.join(left, "i").join(right, "j")
-    root = F.sqrt(F.col("_ci").cast("double") * F.col("_cj").cast("double"))
-    scored = joined.select(ITEM, "neighbor_id", (F.col("n") / root).alias("similarity"))
-    best = W.partitionBy(ITEM).orderBy(F.col("similarity").desc(), F.col("neighbor_id").asc())
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n_neighbors)
+    out = whole
+    if _salted(index, block, users_per_salt):
+        parts = _per_block(met.where("salts > 1"), block, n_items, _all_cells, "i bigint, j bigint, n bigint")
+        sums = parts.groupBy("i", "j").agg(F.sum("n").alias("n")).join(left, "i").join(right, "j")
+        root = F.sqrt(F.col("_ci").cast("double") * F.col("_cj").cast("double"))
+        order = W.partitionBy("i").orderBy(F.col("similarity").desc(), F.col("j").asc())
+        ranked = sums.select("i", "j", (F.col("n") / root).alias("similarity")).withColumn("rank", F.row_number().over(order))
+        out = out.unionByName(ranked.where(F.col("rank") <= n_neighbors))
+    return out.join(left, "i").join(right, "j").select(ITEM, "neighbor_id", "similarity", "rank")
+
+
+def _salted(index: DataFrame, block: int, users_per_salt: int) -> bool:
+    """Whether any block of row items may have more than ``users_per_salt`` users: a bound from the counts of its items."""
+    load = index.groupBy(F.floor(F.col("idx") / block)).agg(F.sum("c").alias("_users"))
+    return not load.where(F.col("_users") > users_per_salt).isEmpty()
 
 
 def neighbor_scores(queries: DataFrame, neighbors: DataFrame) -> DataFrame:
@@ -161,6 +274,13 @@ def transition_counts(train: DataFrame, hot=DETECT, hot_rows: int = HOT_ROWS) ->
     return steps.groupBy("from_item", ITEM).agg(F.count(F.lit(1)).alias("n"))
 
 
+def transition_probabilities(train: DataFrame, **options) -> DataFrame:
+    """All next items of each item, ``(from_item, item_id, probability)``."""
+    counts = durable(transition_counts(train, **options), "transition-counts")
+    totals = counts.groupBy("from_item").agg(F.sum("n").alias("_all"))
+    return counts.join(totals, "from_item").select("from_item", ITEM, (F.col("n") / F.col("_all")).alias("probability"))
+
+
 def transition_top(train: DataFrame, k: int | None = None, **options) -> DataFrame:
     """Next items per item from the most likely on, with their probability; the first ``k`` if given, else all."""
     counts = transition_counts(train, **options)
@@ -187,27 +307,37 @@ def transition_scores(queries: DataFrame, transitions: DataFrame) -> DataFrame:
 
 
 def factor_vectors(train: DataFrame, rank: int = 16, iterations: int = 10, seed: int = 42, **params):
-    """Implicit alternating least squares; returns user and item ``(id, vector)``."""
+    """Implicit alternating least squares; returns user and item ``(id, vector)``.
+
+    Ids of any type that can be ordered: the model sees their dense numbers in ascending order. Rows without a user or item are left out.
+    """
     from pyspark.ml.recommendation import ALS
 
-    pairs = positives(train).select(F.col(USER).cast("int"), F.col(ITEM).cast("int"))
-    pairs = pairs.groupBy(USER, ITEM).agg(F.count(F.lit(1)).cast("float").alias("weight"))
+    known = positives(train).select(USER, ITEM).dropna()
+    counted = durable(known.groupBy(USER, ITEM).agg(F.count(F.lit(1)).cast("float").alias("weight")), "pairs")
+    user_ids = durable(catalog_index(counted, USER, "_user"), "user-ids")
+    item_ids = durable(catalog_index(counted, ITEM, "_item"), "item-ids")
+    pairs = counted.join(user_ids, USER).join(item_ids, ITEM)
+    # Numbers beyond 2^31 fail the cast under ANSI rules, and the model refuses them otherwise.
+    pairs = pairs.select(F.col("_user").cast("int"), F.col("_item").cast("int"), "weight")
     als = ALS(
         rank=rank,
         maxIter=iterations,
         seed=seed,
         implicitPrefs=True,
-        userCol=USER,
-        itemCol=ITEM,
+        userCol="_user",
+        itemCol="_item",
         ratingCol="weight",
         **params,
     )
     model = als.fit(pairs)
 
-    def vectors(df: DataFrame) -> DataFrame:
-        return df.select(F.col("id").cast("long"), F.col("features").cast("array<double>").alias("vector"))
+    def vectors(df: DataFrame, ids: DataFrame) -> DataFrame:
+        name, number = ids.columns
+        own = ids.select(F.col(name).alias("_name"), F.col(number).cast("int").alias("id"))
+        return df.join(own, "id").select(F.col("_name").alias("id"), F.col("features").cast("array<double>").alias("vector"))
 
-    return vectors(model.userFactors), vectors(model.itemFactors)
+    return vectors(model.userFactors, user_ids), vectors(model.itemFactors, item_ids)
 
 
 def queries_of(labelled: DataFrame, split: str = "test", length: int = HISTORY_LENGTH, hot=DETECT) -> DataFrame:

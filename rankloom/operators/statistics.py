@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -41,7 +41,8 @@ def collected(stored: DataFrame, requested: DataFrame) -> DataFrame:
 
 def metric_columns(columns: list[str], k: int) -> list[str]:
     """Columns ``metric@k`` of known metrics at one cutoff."""
-    return [c for c in columns if c.lower().endswith(f"@{k}") and c.split("@")[0].lower() in METRIC_ORDER]
+    named = {column: column.lower().rpartition("@") for column in columns}
+    return [column for column, (metric, _, cutoff) in named.items() if (metric, cutoff) in {(m, str(k)) for m in METRIC_ORDER}]
 
 
 def long_results(wide: DataFrame, k: int, ids=("dataset", "seed", "model")) -> DataFrame:
@@ -63,17 +64,17 @@ def seed_summary(results: DataFrame, by=("dataset", "model", "metric")) -> DataF
     )
 
 
-def summary_text(wide: DataFrame, order_by: str | None = None) -> DataFrame:
-    """One row per model with ``mean ± deviation`` text per metric column."""
-    columns = [c for c in wide.columns if c not in ("model", "seed", "evaluation_protocol", order_by)]
+def summary_text(wide: DataFrame, order_by: str | None = None, by: tuple[str, ...] = ("model",)) -> DataFrame:
+    """One row per model (or per ``by``) with ``mean ± deviation`` text per metric column."""
+    columns = [c for c in wide.columns if c not in (*by, "seed", "evaluation_protocol", order_by)]
     texts = []
     for c in columns:
         value = number(F.col(f"`{c}`"))
         texts.append(mean_and_deviation(F.avg(value), _deviation(value)).alias(c))
     if order_by is None:
-        return wide.groupBy("model").agg(*texts)
+        return wide.groupBy(*by).agg(*texts)
     first = F.min(order_by).alias("_first")
-    return wide.groupBy("model").agg(*texts, first).orderBy("_first").drop("_first")
+    return wide.groupBy(*by).agg(*texts, first).orderBy("_first").drop("_first")
 
 
 def sorted_summary(summary: DataFrame, models: list[str], metrics: list[str] = METRIC_ORDER) -> DataFrame:
@@ -171,26 +172,71 @@ def chi_square_tail(statistic: float, degrees: int) -> float:
     return math.exp(factor + math.log(value))
 
 
-def studentized_range_tail(q: float, models: int) -> float:
-    """Probability that the range of ``models`` standard normal values exceeds ``q``, by Simpson's rule."""
-    normal = lambda z: 0.5 * math.erfc(-z / math.sqrt(2.0))
-    n, low, high = 800, -9.0, 9.0 + q
-    step = (high - low) / n
-    total = 0.0
-    for i in range(n + 1):
-        z = low + i * step
-        weight = 1 if i in (0, n) else 4 if i % 2 else 2
-        total += weight * math.exp(-z * z / 2.0) * (normal(z) - normal(z - q)) ** (models - 1)
-    return 1.0 - models * total * step / 3.0 / math.sqrt(2.0 * math.pi)
+# Coefficients of the rational form of the normal tail (Hart 1968, algorithm 5666, as given by West 2005).
+TAIL_ABOVE = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+TAIL_BELOW = (
+    8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948,
+    440.413735824752,
+)
+#: Nodes of the quadrature over a standard normal value. The integrand is smooth and vanishes at both ends, so equal steps are exact to rounding.
+NODES = [i / 8.0 for i in range(-72, 73)]
+#: Halvings that locate a critical value to about 1e-12.
+HALVINGS = 45
 
 
-def nemenyi_critical(models: int, alpha: float = 0.05) -> float:
-    """Critical value: the studentized range at infinite degrees over root two, both to three places as in tables."""
-    low, high = 0.0, 20.0
-    while high - low > 1e-7:
-        middle = (low + high) / 2.0
-        low, high = (middle, high) if studentized_range_tail(middle, models) > alpha else (low, middle)
-    return round(round(low, 3) / math.sqrt(2.0), 3)
+def normal_below(x: Column) -> Column:
+    """Chance that a standard normal value lies below ``x``, to about 1e-15."""
+    size = F.abs(x)
+
+    def horner(coefficients) -> Column:
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * size + F.lit(c)
+        return out
+
+    far = F.lit(0.65) + size
+    for c in (4.0, 3.0, 2.0, 1.0):
+        far = size + F.lit(c) / far
+    bell = F.exp(-size * size / 2.0)
+    tail = F.when(size < 7.07106781186547, bell * horner(TAIL_ABOVE) / horner(TAIL_BELOW)).otherwise(bell / far / F.lit(math.sqrt(2 * math.pi)))
+    return F.when(x > 0, 1.0 - tail).otherwise(tail)
+
+
+def _node_table() -> Column:
+    below = lambda z: 0.5 * math.erfc(-z / math.sqrt(2.0))
+    step = NODES[1] - NODES[0]
+    rows = [F.struct(F.lit(z).alias("z"), F.lit(math.exp(-z * z / 2) / math.sqrt(2 * math.pi) * step).alias("w"), F.lit(below(z)).alias("p")) for z in NODES]
+    return F.array(*rows)
+
+
+def range_tail(q: Column, models: Column) -> Column:
+    """Chance that the range of ``models`` standard normal values exceeds ``q`` (infinite degrees of freedom).
+
+    The largest value z has the density k phi(z) Phi(z)^(k-1); the others miss the range below it with the chance
+    that is summed here, written so that small chances keep their digits.
+    """
+    power = models.cast("double") - 1.0
+
+    def part(total: Column, node: Column) -> Column:
+        share = F.least(normal_below(node["z"] - q) / node["p"], F.lit(1.0))
+        # 1 - (1 - share)^power, and 1 where nothing lies inside the range.
+        outside = F.when(share < 1.0, -F.expm1(power * F.log1p(-F.least(share, F.lit(1.0 - 1e-16))))).otherwise(F.lit(1.0))
+        return total + node["w"] * F.pow(node["p"], power) * outside
+
+    chance = models * F.aggregate(_node_table(), F.lit(0.0), part)
+    return F.when(q <= 0, F.lit(1.0)).otherwise(F.least(chance, F.lit(1.0)))
+
+
+def critical_range(models: Column, alpha: float) -> Column:
+    """The range of ``models`` standard normal values that is exceeded with chance ``alpha``, by halving."""
+    start = F.struct(F.lit(0.0).alias("low"), F.lit(40.0).alias("high"))
+
+    def halve(state: Column, _step: Column) -> Column:
+        middle = (state["low"] + state["high"]) / 2.0
+        above = range_tail(middle, models) > F.lit(alpha)
+        return F.struct(F.when(above, middle).otherwise(state["low"]).alias("low"), F.when(above, state["high"]).otherwise(middle).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve, lambda s: (s["low"] + s["high"]) / 2.0)
 
 
 def friedman(results: DataFrame, block: tuple[str, ...], group: tuple[str, ...] = ()) -> DataFrame:
@@ -233,23 +279,24 @@ def friedman_report(table: DataFrame) -> DataFrame:
 
 
 def nemenyi(results: DataFrame, block: tuple[str, ...], group: tuple[str, ...] = (), alpha: float = 0.05) -> DataFrame:
-    """Pairwise mean-rank differences against the critical distance at ``alpha``, for any number of models."""
+    """Pairwise mean-rank differences with their p-values and the critical distance at ``alpha``, for any number of models.
+
+    Everything is a column expression: no job runs before the result is read. The critical value is found once for each number of models.
+    """
     keys = tuple(dict.fromkeys([*group, *block]))
     ranks = model_ranks(complete_blocks(results, block, group), keys)
     means = ranks.groupBy(*group, "model").agg(F.avg("rank").alias("_mean"), F.count(F.lit(1)).alias("_n"))
     whole = W.partitionBy(*(group or [F.lit(0)]))
     means = means.withColumn("_k", F.count(F.lit(1)).over(whole)).withColumn("_g", F.lit(0))
+    sizes = means.where("_k > 1").select("_k").distinct().withColumn("_q", critical_range(F.col("_k"), alpha))
     other = means.select(*group, "_g", F.col("model").alias("other_model"), F.col("_mean").alias("_other"))
-    pairs = means.join(other, ["_g", *group]).where(F.col("model") < F.col("other_model"))
-    q = F.lit(None).cast("double")
-    # One number for each group size of the report.
-    for (models,) in means.where("_k > 1").select("_k").distinct().collect():
-        q = F.when(F.col("_k") == models, F.lit(nemenyi_critical(models, alpha))).otherwise(q)
+    pairs = means.join(sizes, "_k").join(other, ["_g", *group]).where(F.col("model") < F.col("other_model"))
     k = F.col("_k").cast("double")
-    distance = q * F.sqrt(k * (k + 1.0) / (6.0 * F.col("_n")))
+    unit = F.sqrt(k * (k + 1.0) / (12.0 * F.col("_n")))
     gap = F.abs(F.col("_mean") - F.col("_other"))
+    distance = F.col("_q") * unit
     return pairs.select(
-        *group, "model", "other_model", gap.alias("rank_difference"),
+        *group, "model", "other_model", gap.alias("rank_difference"), range_tail(gap / unit, F.col("_k")).alias("p_value"),
         distance.alias("critical_distance"), (gap > distance).alias("significant"),
     )
 

@@ -13,7 +13,7 @@ from rankloom.functions import vectors as V
 from rankloom.functions.hashing import digest, digest_number
 from rankloom.operators.fusion import history_vectors, masked_fusion, sum_fusion
 from rankloom.operators.graph import interaction_graph, smooth
-from rankloom.operators.ids import catalog_index
+from rankloom.operators.ids import catalog_index, map_ids
 from rankloom.operators.models import (
     factor_vectors,
     item_counts,
@@ -22,10 +22,11 @@ from rankloom.operators.models import (
     popularity_places,
     queries_of,
     static_target_ranks,
+    transition_probabilities,
     transition_scores,
     transition_top,
 )
-from rankloom.operators.ranking import ranking_metrics, target_ranks
+from rankloom.operators.ranking import Account, check_queries, ranking_metrics, target_ranks
 from rankloom.operators.scoring import catalog_target_ranks, popularity_prior
 from rankloom.session import durable
 
@@ -40,26 +41,36 @@ def popularity_ranks(labelled: DataFrame, catalog: DataFrame, split: str = "test
 
 def neighbor_ranks(labelled: DataFrame, catalog: DataFrame, split: str = "test", n_neighbors: int = 100) -> DataFrame:
     queries = durable(queries_of(labelled, split), "queries")
-    near = durable(item_neighbors(_train(labelled), n_neighbors), "neighbors")
-    scores = neighbor_scores(queries, near)
-    return target_ranks(scores, queries, durable(catalog_index(catalog, ITEM), "catalog"))
+    index = durable(catalog_index(catalog, ITEM), "catalog")
+    near = item_neighbors(_train(labelled), n_neighbors)
+    # Only items of the catalog are scored; history items outside it still point to them.
+    near = durable(near.join(index.select(F.col(ITEM).alias("neighbor_id")), "neighbor_id", "left_semi"), "neighbors")
+    return target_ranks(neighbor_scores(queries, near), queries, index)
 
 
 def transition_ranks(labelled: DataFrame, catalog: DataFrame, split: str = "test", k: int | None = None) -> DataFrame:
     queries = durable(queries_of(labelled, split), "queries")
-    scores = transition_scores(queries, durable(transition_top(_train(labelled), k), "transitions"))
-    return target_ranks(scores, queries, durable(catalog_index(catalog, ITEM), "catalog"))
+    index = durable(catalog_index(catalog, ITEM), "catalog")
+    # Ranks of next items are only needed for a cut.
+    steps = transition_probabilities(_train(labelled)) if k is None else transition_top(_train(labelled), k)
+    steps = durable(steps.join(index.select(ITEM), ITEM, "left_semi"), "transitions")
+    return target_ranks(transition_scores(queries, steps), queries, index)
 
 
 def factor_ranks(
     labelled: DataFrame, catalog: DataFrame, split: str = "test", rank: int = 16, iterations: int = 10, seed: int = 42, **params
 ) -> DataFrame:
-    """Target ranks under factors; items and users without factors get zero vectors."""
+    """Target ranks under factors; items and users without factors get zero vectors. Ids may be of any type.
+
+    The catalog is scored by its index, whose order is that of the ids, so ties fall alike; items outside it are -1.
+    """
     users, items = factor_vectors(_train(labelled), rank, iterations, seed, **params)
     zero = V.zeros(rank)
-    items = catalog.select(F.col(ITEM).cast("long").alias("id")).distinct().join(items, "id", "left")
+    index = durable(catalog_index(catalog, ITEM), "catalog")
+    items = index.join(items.withColumnRenamed("id", ITEM), ITEM, "left").select(F.col("idx").alias("id"), "vector")
     items = items.withColumn("vector", F.coalesce("vector", zero))
-    queries = queries_of(labelled, split).join(users.withColumnRenamed("id", USER), USER, "left")
+    coded = map_ids(labelled, index, ITEM)
+    queries = queries_of(coded, split).join(users.withColumnRenamed("id", USER), USER, "left")
     queries = queries.withColumn("vector", F.coalesce("vector", zero))
     return catalog_target_ranks(queries, items, rank)
 
@@ -75,17 +86,20 @@ SEQUENTIAL = {"transition"}
 
 
 def evaluate(
-    labelled: DataFrame, catalog: DataFrame, models=tuple(MODELS), split: str = "test", top_ks=TOP_KS, **params
+    labelled: DataFrame, catalog: DataFrame, models=tuple(MODELS), split: str = "test", top_ks=TOP_KS,
+    account: Account | None = None, **params
 ) -> DataFrame:
     """One metric row per model. Sequence models are skipped without a time order.
 
-    The loop is over model names; each model is one distributed plan.
+    The loop is over model names; each model is one distributed plan. Each ranks every positive row of the split;
+    ``account`` counts the ranks of each model.
     """
     out = None
     for name in dict.fromkeys(models):
         if name in SEQUENTIAL and not is_temporal(labelled):
             continue
         ranks = MODELS[name](labelled, catalog, split, **params.get(name, {}))
+        ranks = ranks if account is None else account.watch(ranks, name)
         row = ranking_metrics(ranks, top_ks).select(F.lit(name).alias("model"), "*")
         out = row if out is None else out.unionByName(row)
     return out.withColumn("evaluation_protocol", F.lit(EVALUATION_PROTOCOL))
@@ -162,36 +176,40 @@ def has_history(histories: DataFrame) -> bool:
     return bool(histories.agg(F.max(F.size("history") > 0)).first()[0])
 
 
+# What each source of the scorer needs: the switch that turns it on, and what the data must hold.
+SOURCES = {
+    "graph": (lambda c: c.graph_mode != "none", lambda c, d: True),
+    "user_features": (lambda c: c.use_user_features, lambda c, d: d.user_features > (0 if c.use_text_features else d.user_text)),
+    "item_features": (lambda c: c.use_item_features, lambda c, d: d.item_features > (0 if c.use_text_features else d.item_text)),
+    "sequence": (lambda c: c.use_seq_encoder, lambda c, d: d.history),
+    "context": (lambda c: c.use_context, lambda c, d: d.context > 0),
+}
+# Sources that reach a score here: the hybrid scorer has no context term.
+SCORED = ("graph", "user_features", "item_features", "sequence")
+
+
 def modules(config: HybridConfig, data: Availability) -> dict[str, bool]:
     """Sources that are both switched on and provided by the data."""
+    return {source: bool(on(config) and held(config, data)) for source, (on, held) in SOURCES.items()}
+
 
-    def features(total: int, text: int) -> bool:
-        return total - (0 if config.use_text_features else text) > 0
+def effects(config: HybridConfig, data: Availability) -> tuple:
+    """All that the scores of a setting depend on here, so settings with equal effects give equal results.
 
-    return {
-        "graph": config.graph_mode != "none",
-        "user_features": config.use_user_features and features(data.user_features, data.user_text),
-        "item_features": config.use_item_features and features(data.item_features, data.item_text),
-        "sequence": config.use_seq_encoder and data.history,
-        "context": config.use_context and data.context > 0,
-    }
+    Text counts only where it decides whether features are left; loss terms and the kind of scorer do not count at all,
+    because nothing is learned.
+    """
+    active = modules(config, data)
+    used = tuple(active[source] for source in SCORED)
+    mode = config.graph_mode if active["graph"] else None
+    fusion = config.fusion_type if sum(used) > 1 else None
+    return used, mode, fusion, config.use_item_bias
 
 
 def applicable(name: str, data: Availability) -> bool:
-    """Whether a variant changes anything for this data."""
-    full = modules(variant("full"), data)
-    tests = {
-        "no_graph": full["graph"],
-        "sum_fusion": sum(full.values()) >= 2,
-        "no_text": data.user_text + data.item_text > 0,
-        "no_features": full["user_features"] or full["item_features"],
-        "no_user_features": full["user_features"],
-        "no_item_features": full["item_features"],
-        "no_sequence": full["sequence"],
-        "no_context": full["context"],
-    }
-    variant(name)
-    return tests.get(name, True)
+    """Whether a variant changes any score for this data; the full setting is what others are held against."""
+    config = variant(name)
+    return name == "full" or effects(config, data) != effects(variant("full"), data)
 
 
 def seeded_vectors(ids: DataFrame, dim: int, seed: int) -> DataFrame:
@@ -222,7 +240,8 @@ def hybrid_ranks(
 
     Ids are dense. ``…_features`` hold ``(id, vector)`` of width ``dim``. Sources
     are fused per entity, users and items meet in a dot product, and the popularity
-    prior is added when switched on.
+    prior is added when switched on. Repeated query ids and targets outside ``num_items`` raise an error; a user
+    outside ``num_users`` has no graph vector.
     """
     spark = labelled.sparkSession
     train = _train(labelled)
@@ -258,11 +277,12 @@ def hybrid_ranks(
     queries = durable(queries_of(labelled, split), "queries")
     users = nodes.where(F.col("id") < num_users).select("id", F.col("vector").alias("_graph"))
     users, user_sources = side(users, user_features, config.use_user_features)
-    rows = queries.join(users.withColumnRenamed("id", USER), USER)
+    check_queries(queries, num_items)
+    rows = queries.join(users.withColumnRenamed("id", USER), USER, "left")
     if config.use_seq_encoder and is_temporal(labelled):
         seen = history_vectors(queries, items, dim)
         seen = seen.select("query_id", F.when(F.col("available"), F.col("vector")).alias("_seq"))
-        rows, user_sources = rows.join(seen, "query_id"), [*user_sources, "_seq"]
+        rows, user_sources = rows.join(seen, "query_id", "left"), [*user_sources, "_seq"]
     vector = fuse([F.col(s) for s in user_sources], [F.col(s).isNotNull() for s in user_sources])
     rows = rows.select("query_id", "target_item_id", "history", vector.alias("vector"))
     bias = popularity_prior(item_counts(train)) if config.use_item_bias else None

@@ -139,7 +139,7 @@ tr AS (SELECT from_item, item_id, n / CAST(sum(n) OVER (PARTITION BY from_item)
     row_number() OVER (PARTITION BY from_item ORDER BY n DESC, item_id) AS rank FROM tc)"""
 
 TRANS_SCORES = """trs AS (SELECT h.row_id AS query_id, tr.item_id, tr.probability AS score
-  FROM h JOIN tr ON tr.from_item = h.history[-1] WHERE tr.rank <= 20)"""
+  FROM h JOIN tr ON tr.from_item = h.history[-1])"""
 
 
 # --- negatives ----------------------------------------------------------------------------------
@@ -187,7 +187,7 @@ def layer_norm(v: str) -> str:
 
 WIDE = EV + """,
 wide AS (SELECT event_type AS dataset, 'm' || (item_id % 5) AS model, CAST(user_id % 4 AS INTEGER) AS seed,
-    round(avg(rating) / 100, 3) AS hit10, round(avg(sqrt(rating)) / 10, 2) AS mrr10
+    round(avg(rating) / 100, 3) AS hit10, round(avg(sqrt(rating)) / 10, 2) AS mrr10, round(max(rating) / 1000, 3) AS ndcg5
   FROM ev GROUP BY 1, 2, 3),
 long AS (SELECT dataset, seed, model, 'hit@10' AS metric, hit10 AS value FROM wide
   UNION ALL SELECT dataset, seed, model, 'mrr@10', mrr10 FROM wide)"""
@@ -213,6 +213,36 @@ ties AS (SELECT grp, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM (
 agg AS (SELECT grp, max(n) AS n, count(*) AS k, sum(r * r) AS sq, min(r / n) AS best_rank,
     arg_min(model, row(r, model)) AS best_model FROM sums GROUP BY 1)"""
 
+# The normal distribution as rational form, and the range of k normal values as a sum over equal steps of the largest one.
+ABOVE = ["3.52624965998911e-02", "0.700383064443688", "6.37396220353165", "33.912866078383", "112.079291497871", "221.213596169931", "220.206867912376"]
+BELOW = ["8.83883476483184e-02", "1.75566716318264", "16.064177579207", "86.7807322029461", "296.564248779674", "637.333633378831",
+         "793.826512519948", "440.413735824752"]
+
+
+def horner(coefficients: list[str], x: str) -> str:
+    out = f"CAST({coefficients[0]} AS DOUBLE)"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + CAST({c} AS DOUBLE))"
+    return out
+
+
+def normal_below(x: str) -> str:
+    size = f"abs({x})"
+    far = f"({size} + 0.65)"
+    for c in (4, 3, 2, 1):
+        far = f"({size} + {c} / {far})"
+    tail = f"""CASE WHEN {size} < 7.07106781186547 THEN exp(-{size} * {size} / 2) * {horner(ABOVE, size)} / {horner(BELOW, size)}
+      ELSE exp(-{size} * {size} / 2) / {far} / sqrt(2 * pi()) END"""
+    return f"(CASE WHEN {x} > 0 THEN 1 - ({tail}) ELSE {tail} END)"
+
+
+def range_tail(q: str, k: str) -> str:
+    return f"1 - {k} * sum(w * power(p - {normal_below(f'(z - ({q}))')}, {k} - 1))"
+
+
+QUADRATURE = f"""grid AS (SELECT CAST(i AS DOUBLE) / 8 AS z FROM range(-72, 73) t(i)),
+nodes AS (SELECT z, exp(-z * z / 2) / sqrt(2 * pi()) / 8 AS w, {normal_below('z')} AS p FROM grid)"""
+
 RUNS = EV + """,
 runs AS (SELECT event_type AS dataset, ['full', 'base', 'no_graph', 'no_sequence', 'sum_fusion'][item_id % 5 + 1] AS variant,
     user_id % 4 AS seed, round(avg(rating) / 100, 4) AS v, item_id % 5 <> 4 AS applicable
@@ -324,7 +354,8 @@ SQL: dict[str, str] = {
   WHERE {HASH.format("'13|' || least(src, dst) || '|' || greatest(src, dst)", 1)} / CAST(4294967296 AS DOUBLE) >= 0.2"""),
     "graph_smooth": sel(GRAPH + f""",
 {VEC}, {DIMS},
-x0 AS (SELECT id, dim, x FROM vd WHERE id <= (SELECT max(greatest(src, dst)) FROM edges)),
+x0 AS (SELECT n.id, i AS dim, coalesce(vd.x, 0) AS x FROM (SELECT id FROM vec UNION SELECT src FROM edges) n CROSS JOIN range(0, 64) t(i)
+  LEFT JOIN vd ON vd.id = n.id AND vd.dim = i),
 deg AS (SELECT dst AS id, count(*) AS d FROM edges GROUP BY 1),
 w AS (SELECT src, dst, 1 / sqrt(CAST(a.d AS DOUBLE) * b.d) AS w FROM edges JOIN deg a ON a.id = src JOIN deg b ON b.id = dst),
 x1 AS MATERIALIZED (SELECT x0.id, x0.dim, coalesce(s, 0) AS x FROM x0 LEFT JOIN (
@@ -390,8 +421,8 @@ s AS (SELECT a.id, b.id AS item, list_dot_product(a.v, b.v) / 8 AS score,
 {VEC},
 pr AS (SELECT DISTINCT user_id, CAST(item_id AS BIGINT) AS item_id FROM ev),
 c AS (SELECT item_id, ln(1 + count(*)) AS bias FROM pr GROUP BY 1)""",
-        """SELECT user_id, item_id, round(list_dot_product(u.v, i.v) / 8 + bias, 6) AS score
-  FROM pr JOIN vec u ON u.id = user_id JOIN vec i ON i.id = item_id JOIN c USING (item_id)"""),
+        """SELECT user_id, item_id, round(coalesce(list_dot_product(u.v, i.v), 0) / 8 + bias, 6) AS score
+  FROM pr LEFT JOIN vec u ON u.id = user_id LEFT JOIN vec i ON i.id = item_id JOIN c USING (item_id)"""),
     "history_vectors": sel(HIST + f""",
 {VEC}, {DIMS},
 hq AS (SELECT row_id, history FROM h WHERE split = 'test'),
@@ -479,7 +510,7 @@ nn AS (SELECT item_id, row_number() OVER (ORDER BY token) - 1 AS idx FROM tk)"""
   coalesce(a, 0) AS instructor_enrollments, coalesce(b, 0) AS instructor_reviews
   FROM part LEFT JOIN (SELECT l_partkey, count(DISTINCT l_suppkey) AS n, round(coalesce(sum(s_acctbal), 0), 2) AS a,
     CAST(coalesce(sum(s_nationkey), 0) AS DOUBLE) AS b
-    FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) s ON s_suppkey = l_suppkey GROUP BY 1) ON l_partkey = p_partkey""",
+    FROM lineitem LEFT JOIN supplier s ON s_suppkey = l_suppkey GROUP BY 1) ON l_partkey = p_partkey""",
     "enrollment_events": ENROLLED,
     "stream_enrollments": ENROLLED,
     "csv_scan": "SELECT c_custkey, c_mktsegment AS market_segment, c_acctbal FROM customer",
@@ -499,8 +530,9 @@ nn AS (SELECT item_id, row_number() OVER (ORDER BY token) - 1 AS idx FROM tk)"""
     "metric_files": sel(WIDE, "SELECT dataset, seed, model, metric, round(value, 6) AS value FROM long"),
     "unpivoted_results": sel(WIDE, "SELECT dataset, seed, model, metric, round(value, 6) AS value FROM long"),
     "seed_summary": sel(SUMMARY, "SELECT dataset, model, metric, round(mean, 6) AS mean, round(std, 6) AS std, n_seeds FROM summ"),
-    "summary_text": sel(WIDE, """SELECT model, printf('%.4f ± %.4f', round(avg(hit10), 12), round(coalesce(stddev_samp(hit10), 0), 12)) AS hit_10,
-  printf('%.4f ± %.4f', round(avg(mrr10), 12), round(coalesce(stddev_samp(mrr10), 0), 12)) AS mrr_10 FROM wide WHERE dataset = 'click' GROUP BY 1"""),
+    "summary_text": sel(WIDE, "SELECT dataset, model, " + ", ".join(
+        f"printf('%.4f ± %.4f', round(avg({c}), 12), round(coalesce(stddev_samp({c}), 0), 12)) AS {n}"
+        for c, n in (("hit10", "hit_10"), ("mrr10", "mrr_10"), ("ndcg5", "ndcg_5"))) + " FROM wide GROUP BY ALL"),
     "summary_order": sel(SUMMARY, "SELECT dataset, model, metric, n_seeds FROM summ"),
     "pending_pairs": sel(WIDE, """SELECT model, seed FROM (SELECT DISTINCT model FROM wide) CROSS JOIN (SELECT DISTINCT seed FROM wide)
   EXCEPT SELECT model, seed FROM wide WHERE dataset = 'click' AND hit10 > 0.49 AND model <> 'm0'"""),
@@ -517,13 +549,20 @@ stat AS (SELECT *, (12.0 / (CAST(n AS DOUBLE) * k * (k + 1)) * sq - 3.0 * n * (k
   FROM agg JOIN ties USING (grp) WHERE n >= 2 AND k = 5 AND grp <> 'all_metrics')""",
         """SELECT grp AS metric, n AS n_blocks, k AS n_models, round(x, 6) AS friedman_statistic, best_model, round(best_rank, 6) AS best_rank,
   round(exp(-x / 2) * (1 + x / 2), 9) AS friedman_pvalue FROM stat"""),
-    "nemenyi": sel(RANKS + """,
+    "nemenyi": sel(f"""RECURSIVE {RANKS},
+{QUADRATURE},
 mr AS (SELECT metric, model, avg(rank) AS m, count(*) AS n, count(*) OVER (PARTITION BY metric) AS k FROM ranks GROUP BY 1, 2),
-q AS (SELECT * FROM (VALUES (2, 1.960), (3, 2.343), (4, 2.569), (5, 2.728), (6, 2.850), (7, 2.949), (8, 3.031), (9, 3.102), (10, 3.164)) t(k, q)),
-pr AS (SELECT a.metric, a.model, b.model AS other_model, abs(a.m - b.m) AS gap,
-    CAST(q.q AS DOUBLE) * sqrt(CAST(a.k AS DOUBLE) * (a.k + 1) / (6.0 * a.n)) AS cd
-  FROM mr a JOIN mr b ON a.metric = b.metric AND a.model < b.model JOIN q ON q.k = a.k)""",
-        """SELECT metric, model, other_model, round(gap, 6) AS rank_difference, round(cd, 6) AS critical_distance, gap > cd AS significant FROM pr"""),
+halves(k, low, high, i) AS (
+  SELECT DISTINCT k, CAST(0 AS DOUBLE), CAST(40 AS DOUBLE), 0 FROM mr
+  UNION ALL
+  SELECT k, CASE WHEN tail > 0.05 THEN (low + high) / 2 ELSE low END, CASE WHEN tail > 0.05 THEN high ELSE (low + high) / 2 END, i + 1 FROM (
+    SELECT h.k, low, high, i, {range_tail("(low + high) / 2", "h.k")} AS tail FROM halves h CROSS JOIN nodes WHERE i < 45 GROUP BY h.k, low, high, i)),
+pr AS (SELECT a.metric, a.model, b.model AS other_model, abs(a.m - b.m) AS gap, a.k, sqrt(CAST(a.k AS DOUBLE) * (a.k + 1) / (12.0 * a.n)) AS unit
+  FROM mr a JOIN mr b ON a.metric = b.metric AND a.model < b.model),
+tails AS (SELECT metric, model, other_model, gap, unit, pr.k, {range_tail("gap / unit", "pr.k")} AS p FROM pr CROSS JOIN nodes GROUP BY metric, model, other_model, gap, unit, pr.k)""",
+        """SELECT metric, model, other_model, round(gap, 6) AS rank_difference, round(CASE WHEN gap = 0 THEN 1 ELSE p END, 9) AS p_value,
+  round(unit * (low + high) / 2, 6) AS critical_distance, gap > unit * (low + high) / 2 AS significant
+  FROM tails t JOIN halves h ON h.k = t.k AND h.i = 45"""),
     "relative_improvement": sel(SUMMARY + """,
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, metric ORDER BY mean DESC, model) AS rn
   FROM summ WHERE model <> 'm1') WHERE rn = 1)""",
@@ -535,9 +574,8 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, metri
   FROM summ s JOIN summ b ON b.dataset = s.dataset AND b.metric = s.metric AND b.model = 'm3' WHERE s.model = 'm1'"""),
     "importance": sel(RUNS, """SELECT dataset, variant, component, round(mean, 6) AS importance_mean, round(std, 6) AS importance_std,
   n AS n_seeds FROM named"""),
-    "importance_matrix": sel(RUNS, """SELECT component, round(max(mean) FILTER (WHERE dataset = 'click'), 6) AS click,
-  round(max(mean) FILTER (WHERE dataset = 'view'), 6) AS view, round(max(mean) FILTER (WHERE dataset = 'purchase'), 6) AS purchase
-  FROM named GROUP BY 1"""),
+    "importance_matrix": sel(RUNS, "SELECT component, " + ", ".join(
+        f"round(max(mean) FILTER (WHERE dataset = '{t}'), 6) AS {t}" for t in ("click", "error", "purchase", "signup", "view")) + " FROM named GROUP BY 1"),
     "stream_history": sel(EV, """SELECT row_id, user_id, CAST(item_id AS BIGINT) AS item_id, coalesce(array_to_string(list(item_id) OVER (
   PARTITION BY user_id ORDER BY t, row_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), ' '), '') AS history FROM ev"""),
     "epoch": """SELECT o_orderpriority, max(CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT)) AS latest FROM orders GROUP BY 1""",
@@ -588,5 +626,28 @@ sg AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS cod
   CAST(sg.code AS INTEGER) AS segment FROM cu JOIN ui ON ui.user_id = c_custkey JOIN sg USING (c_mktsegment)""")
 SQL["pivoted_results"] = sel(RANKS, "SELECT metric, dataset, seed, " + ", ".join(
     f"round(max(value) FILTER (WHERE model = 'm{i}'), 6) AS m{i}" for i in range(5)) + " FROM blocks GROUP BY 1, 2, 3")
+#: Positive orders over the catalog of items that have a vector: other items may be targets, and users may lack a vector.
+ORDER_HIST = ",\n".join([ORD_DEDUP, split("od", f"t DESC, {ORD_KEY}", "os"), label("os", "lab")]) + """,
+pos AS (SELECT * FROM lab WHERE relevant > 0),
+h AS (SELECT *, row_number() OVER (ORDER BY user_id, item_id) AS q, coalesce(list(item_id) OVER (PARTITION BY user_id ORDER BY t, l_orderkey, l_linenumber, item_id, l_suppkey, rating, l_extendedprice
+  ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), []) AS history FROM pos),
+train AS (SELECT * FROM pos WHERE split = 'train'),
+steps AS (SELECT lag(item_id) OVER (PARTITION BY user_id ORDER BY t, l_orderkey, l_linenumber, item_id, l_suppkey, rating, l_extendedprice) AS from_item, item_id
+  FROM train),
+tc AS (SELECT from_item, item_id, count(*) AS n FROM steps WHERE from_item IS NOT NULL GROUP BY 1, 2),
+tr AS (SELECT from_item, item_id, n / CAST(sum(n) OVER (PARTITION BY from_item) AS DOUBLE) AS p FROM tc),
+pop AS (SELECT item_id, count(*) AS n FROM train GROUP BY 1),
+seen AS (SELECT q, l_orderkey, l_linenumber, user_id, item_id AS target, history, c.id AS item, c.v AS iv
+  FROM h CROSS JOIN vec c WHERE split = 'test' AND (c.id = item_id OR NOT list_contains(history, c.id))),
+scored AS (SELECT s.*, coalesce(pop.n, 0) AS popularity, coalesce(tr.p, 0) AS transition, coalesce(list_dot_product(u.v, s.iv), 0) / 8 AS dot
+  FROM seen s LEFT JOIN pop ON pop.item_id = s.item LEFT JOIN tr ON tr.from_item = s.history[-1] AND tr.item_id = s.item
+  LEFT JOIN vec u ON u.id = s.user_id),
+own AS (SELECT q, popularity AS p0, transition AS t0, dot AS d0 FROM scored WHERE item = target)"""
+SQL["vector_catalog_ranks"] = sel(f"{ORDER_HIST.replace('pos AS', VEC + ', pos AS', 1)}", "\nUNION ALL ".join(
+    f"""SELECT '{m}' AS model, l_orderkey, l_linenumber, target AS l_partkey, count(*) FILTER (WHERE {o} IS NULL OR {m} > {o} OR ({m} = {o} AND item < target)) + 1 AS rank
+  FROM scored LEFT JOIN own USING (q) GROUP BY q, 2, 3, 4"""
+    for m, o in (("popularity", "p0"), ("transition", "t0"), ("dot", "d0"))))
+SQL["factor_ids"] = sel(LAB, """SELECT DISTINCT 'user' AS kind, 'U_' || user_id AS id, 16 AS width FROM lab WHERE split = 'train' AND relevant > 0
+  UNION ALL SELECT DISTINCT 'item', 'C_' || item_id, 16 FROM lab WHERE split = 'train' AND relevant > 0""")
 SQL["search_trials"] = _trials()
 SQL["best_trial"] = f"SELECT * FROM ({_trials()}) ORDER BY value DESC, trial LIMIT 1"

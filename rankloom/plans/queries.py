@@ -223,8 +223,7 @@ def edge_dropout_view(spark, d):
 
 def graph_smooth(spark, d):
     edges = durable(interaction_graph(spark, d), "edges")
-    nodes = vectors(spark, d).where(F.col("id") < edges.agg(F.max(F.greatest("src", "dst")) + 1).scalar())
-    smoothed = graph.smooth(edges, nodes, EMBEDDING_DIM, layers=2)
+    smoothed = graph.smooth(edges, vectors(spark, d), EMBEDDING_DIM, layers=2)
     long = smoothed.select("id", F.posexplode("vector").alias("dim", "value"))
     return long.withColumn("value", F.round("value", DIGITS))
 
@@ -310,9 +309,8 @@ def item_neighbors(spark, d):
 
 
 def item_cooccurrence(spark, d):
-    pairs = orders_view(spark, d).select(USER, ITEM).distinct()
-    index = durable(ids.catalog_index(pairs, ITEM), "index")
-    cells = models.cooccurrence(pairs, index)
+    pairs = durable(orders_view(spark, d).select(USER, ITEM).distinct(), "pairs")
+    cells = models.cooccurrence(pairs)
     return cells.groupBy(F.col("i").alias("idx")).agg(
         F.count(F.lit(1)).alias("n_neighbors"), F.sum("n").alias("n_shared"), F.max("n").alias("max_shared")
     )
@@ -329,7 +327,7 @@ def transition_top(spark, d):
 
 
 def transition_metrics(spark, d):
-    ranks = experiments.transition_ranks(labelled(spark, d), catalog(spark, d), k=20)
+    ranks = experiments.transition_ranks(labelled(spark, d), catalog(spark, d))
     return metric_rows(ranking.ranking_metrics(ranks))
 
 
@@ -337,7 +335,7 @@ def model_comparison(spark, d):
     rows, items = labelled(spark, d), catalog(spark, d)
     out = experiments.evaluate(
         rows, items, ("popularity", "item-knn", "transition"),
-        **{"item-knn": {"n_neighbors": 20}, "transition": {"k": 20}},
+        **{"item-knn": {"n_neighbors": 20}},
     )
     return metric_rows(out.drop("evaluation_protocol"), ("model",))
 
@@ -353,10 +351,36 @@ def best_trial(spark, d):
 
 
 def factor_metrics(spark, d):
-    ranks = experiments.factor_ranks(labelled(spark, d), catalog(spark, d), rank=8, iterations=5)
+    ranks = experiments.factor_ranks(labelled(spark, d), catalog(spark, d))
     return metric_rows(ranking.ranking_metrics(ranks))
 
 
+def factor_ids(spark, d):
+    """Factors over text ids: one vector of full width for each user and item with a positive training row."""
+    rows = labelled(spark, d).withColumns({USER: F.concat(F.lit("U_"), USER), ITEM: F.concat(F.lit("C_"), ITEM)})
+    users, items = models.factor_vectors(train_of(rows))
+    named = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id", F.size("vector").alias("width"))
+    return named(users, "user").unionByName(named(items, "item"))
+
+
+def vector_catalog_ranks(spark, d):
+    """Target ranks of three models over the items that have a vector; orders also name other items, and users without one."""
+    rows = durable(labelled_splits(orders_view(spark, d)), "labelled")
+    items = vectors(spark, d)
+    known = items.select(F.col("id").alias(ITEM))
+    asked = models.queries_of(rows).join(items.withColumnRenamed("id", USER), USER, "left")
+    asked = asked.withColumn("vector", F.coalesce("vector", V.zeros(EMBEDDING_DIM)))
+    ranks = {
+        "popularity": experiments.popularity_ranks(rows, known),
+        "transition": experiments.transition_ranks(rows, known),
+        "dot": scoring.catalog_target_ranks(asked, items, EMBEDDING_DIM),
+    }
+    out = [
+        r.select(F.lit(m).alias("model"), "query_id.l_orderkey", "query_id.l_linenumber", "query_id.l_partkey", F.col("rank").cast("long").alias("rank")) for m, r in ranks.items()
+    ]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def variant_metrics(spark, d):
     rows = labelled(spark, d)
     n_users, n_items = ev(spark, d).agg(F.max(USER) + 1, F.max(ITEM) + 1).first()
@@ -495,6 +519,7 @@ def passthrough(spark, d):
 
 
 def first_seen_ids(spark, d):
+    """Ids of an entity table that lacks some users (here by nation), then of the users that only events name."""
     events = ev(spark, d)
     customers = table(spark, d, "customer").where("c_nationkey < 13").select(F.col("c_custkey").alias(USER))
     return ids.first_seen_ids(customers, F.col(USER), events, F.col(ROW), USER)
@@ -604,7 +629,7 @@ def class_counts(spark, d):
 
 def entity_stats(spark, d):
     teach = table(spark, d, "lineitem").select(F.col("l_partkey").alias("course_id"), F.col("l_suppkey").alias("instructor_id"))
-    people = table(spark, d, "supplier").where("s_acctbal > 0").select(
+    people = table(spark, d, "supplier").select(
         F.col("s_suppkey").alias("instructor_id"), F.col("s_acctbal").alias("total_enrollments"),
         F.col("s_nationkey").alias("total_reviews"),
     )
@@ -802,8 +827,8 @@ def seed_summary(spark, d):
 
 
 def summary_text(spark, d):
-    wide = wide_results(spark, d).where("dataset = 'click'").drop("dataset", "ndcg@5")
-    return S.summary_text(wide).select("model", F.col("`hit@10`").alias("hit_10"), F.col("`mrr@10`").alias("mrr_10"))
+    out = S.summary_text(wide_results(spark, d), by=("dataset", "model"))
+    return out.select("dataset", "model", *[F.col(f"`{m}@{k}`").alias(f"{m}_{k}") for m, k in (("hit", 10), ("mrr", 10), ("ndcg", 5))])
 
 
 def summary_order(spark, d):
@@ -862,7 +887,8 @@ def friedman_report(spark, d):
 
 def nemenyi(spark, d):
     out = S.nemenyi(long_results(spark, d), ("dataset", "seed"), ("metric",))
-    return out.select("metric", "model", "other_model", rounded("rank_difference"), rounded("critical_distance"), "significant")
+    return out.select("metric", "model", "other_model", rounded("rank_difference"), F.round("p_value", 9).alias("p_value"),
+                      rounded("critical_distance"), "significant")
 
 
 def relative_improvement(spark, d):
@@ -891,8 +917,9 @@ def importance(spark, d):
 
 
 def importance_matrix(spark, d):
-    out = S.importance_matrix(S.importance(_runs(spark, d), "ndcg@10"), ["click", "view", "purchase"])
-    return out.select("component", rounded("click"), rounded("view"), rounded("purchase"))
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    out = S.importance_matrix(S.importance(_runs(spark, d), "ndcg@10"), kinds)
+    return out.select("component", *map(rounded, kinds))
 
 
 # --- streams ---------------------------------------------------------------------------
@@ -925,7 +952,7 @@ QUERIES: dict[str, Query] = {
         negative_samples, negative_lists, candidate_rows, candidate_metrics, popularity_metrics, popularity_ranks,
         popularity_prior, top_items_per_user, masked_top_items, item_neighbors, item_cooccurrence, neighbor_metrics,
         transition_top, transition_metrics, model_comparison, search_trials, best_trial, factor_metrics,
-        variant_metrics, dot_top_k, dot_target_ranks, candidate_scores, history_vectors, masked_fusion, sum_fusion,
+        factor_ids, vector_catalog_ranks, variant_metrics, dot_top_k, dot_target_ranks, candidate_scores, history_vectors, masked_fusion, sum_fusion,
         unit_vectors, encode_numeric, encode_categories, category_cardinalities, encode_lists, feature_vectors,
         feature_metadata, text_vectors, passthrough, first_seen_ids, translated_ids, clean_pages, clean_documents,
         text_documents, list_values, flattened_lists, categories, academic_years, valid_times, numbers, display_names,

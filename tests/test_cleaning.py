@@ -137,6 +137,18 @@ def test_kcore_is_the_largest_fixpoint(spark, events):
     assert {r[0] for r in u.collect()} == {a for a, _ in pairs}
     assert {r[0] for r in i.collect()} == {b for _, b in pairs}
     assert cleaning.kcore(events, 500).count() == 0
+    assert cleaning.kcore(events.limit(0), 4).count() == 0
+
+
+@pytest.mark.parametrize("compact_every", [1, 2, 100])
+def test_kcore_peels_a_long_chain(spark, compact_every):
+    """A chain loses its two ends a round, many rounds long; a block of three by three beside it stays, tied to the chain by one pair."""
+    chain = [(k // 2, (k + 1) // 2) for k in range(16)]
+    block = [(100 + u, 100 + i) for u in range(3) for i in range(3)]
+    rows = [*chain, *block, (100, 8), (None, 101), (101, None)]
+    table = spark.createDataFrame([(u, i, k) for k, (u, i) in enumerate(rows)], "user_id bigint, item_id int, row_id int")
+    kept = cleaning.kcore(table, 2, compact_every=compact_every)
+    assert sorted((r["user_id"], r["item_id"]) for r in kept.collect()) == block
 
 
 def test_number(spark):

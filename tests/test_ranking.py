@@ -112,6 +112,60 @@ def test_queries_with_only_seen_or_no_scored_items_keep_a_rank(spark):
     assert sorted(map(tuple, ranking.mask_seen(scores, queries).collect())) == [(4, 0, 3.0), (4, 2, 1.0)]
 
 
+def test_unknown_targets_come_after_all_eligible_items(spark):
+    """Target 9 is no item; item 7 of a history is none either. Queries in are ranks out."""
+    queries = spark.createDataFrame([(1, 9, [2, 3, 2, 7]), (2, 9, []), (3, 4, [7])], "query_id int, target_item_id int, history array<int>")
+    schema = "query_id int, item_id int, score double"
+    scores = spark.createDataFrame([(1, 2, 1.0), (1, 0, 2.0), (3, 2, 1.0), (3, 4, 0.5)], schema)
+    index = catalog_index(spark.range(6).withColumnRenamed("id", "item_id"), "item_id")
+    ranks = lambda df: {r["query_id"]: r["rank"] for r in df.collect()}
+    assert ranks(ranking.target_ranks(scores, queries, index)) == {1: 5, 2: 7, 3: 2}
+    # Without a catalog only scored items count.
+    assert ranks(ranking.target_ranks(scores, queries)) == {1: 2, 2: 1, 3: 2}
+
+
+def test_pairs_without_vectors_keep_a_score(spark):
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (3, 1), (3, 2)], "user_id bigint, item_id bigint")
+    vectors = spark.createDataFrame([(1, [2.0, 0.0])], "id bigint, vector array<double>")
+    bias = spark.createDataFrame([(2, 0.5)], "item_id bigint, bias double")
+    got = {(r["user_id"], r["item_id"]): r["score"] for r in scoring.score_candidates(pairs, vectors, vectors, 2, 1.0, bias=bias).collect()}
+    assert got == {(1, 1): 4.0, (1, 2): 0.5, (3, 1): 0.0, (3, 2): 0.5}
+
+
+def test_every_evaluator_ranks_every_query(spark, labelled, items):
+    """A catalog without most items: each model ranks all positive test rows, and unknown targets come last."""
+    few = items.where("item_id < 6")
+    queries = {r["query_id"]: r for r in models.queries_of(labelled).collect()}
+    unknown = {q: 7 - len({i for i in r["history"] if i < 6}) for q, r in queries.items() if r["target_item_id"] >= 6}
+    assert unknown and len(unknown) < len(queries)
+    account = ranking.Account()
+    table = experiments.evaluate(labelled, few, account=account, factors={"rank": 3, "iterations": 2}, **{"item-knn": {"n_neighbors": 5}})
+    assert len(table.collect()) == 4
+    assert account.rows() == dict.fromkeys(experiments.MODELS, len(queries))
+    for name, options in (("popularity", {}), ("item-knn", {"n_neighbors": 5}), ("transition", {}), ("factors", {"rank": 3, "iterations": 2})):
+        got = {r["query_id"]: r["rank"] for r in experiments.MODELS[name](labelled, few, **options).collect()}
+        assert got.keys() == queries.keys() and {q: got[q] for q in unknown} == unknown
+        assert all(1 <= got[q] <= 6 for q in queries if q not in unknown)
+    with pytest.raises(ValueError):
+        account.watch(labelled, "popularity")
+    with pytest.raises(ValueError):
+        experiments.hybrid_ranks(labelled, experiments.HybridConfig(), 12, 6, dim=4)
+    # Users without a node keep their queries.
+    assert experiments.hybrid_ranks(labelled, experiments.HybridConfig(), 0, 23, dim=4).count() == len(queries)
+
+
+def test_factors_over_text_ids(labelled, items):
+    """Text ids in the same order as the numbers give the same factors and ranks."""
+    named = labelled.withColumns({"user_id": F.format_string("U_%03d", "user_id"), "item_id": F.format_string("C_%03d", "item_id")})
+    users, things = models.factor_vectors(named.where("split = 'train'"), 3, 2, seed=1)
+    plain_users, plain_things = models.factor_vectors(labelled.where("split = 'train'"), 3, 2, seed=1)
+    for text, plain, sign in ((users, plain_users, "U"), (things, plain_things, "C")):
+        expected = {f"{sign}_{r['id']:03d}": r["vector"] for r in plain.collect()}
+        assert {r["id"]: r["vector"] for r in text.collect()} == expected
+    ranks = lambda rows, known: {r["query_id"]: r["rank"] for r in experiments.factor_ranks(rows, known, rank=3, iterations=2).collect()}
+    assert ranks(named, items.select(F.format_string("C_%03d", "item_id").alias("item_id"))) == ranks(labelled, items)
+
+
 def test_scores_must_be_finite(spark):
     queries = spark.createDataFrame([(1, 1, [2])], "query_id int, target_item_id int, history array<int>")
     for bad in (float("nan"), float("inf"), None):
@@ -190,8 +244,12 @@ def test_popularity(labelled, items):
     assert got == brute_ranks(labelled, items, lambda h, i: counts.get(i, 0)) and got
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 4, "users_per_salt": 3, "stripe_blocks": 2}])
-def test_neighbors(labelled, options):
+@pytest.mark.parametrize("options", [{}, {"block": 4, "users_per_salt": 3, "stripe_blocks": 2}, {"block": 4, "users_per_salt": 9}, {"block": 1}])
+@pytest.mark.parametrize("dense", [1 << 22, 0])
+def test_neighbors(labelled, options, dense, monkeypatch):
+    # Driver globals travel with the functions that read them.
+    monkeypatch.setattr(models, "DENSE_CELLS", dense)
+    monkeypatch.setattr(models, "PAIRS_AT_ONCE", 50 if not dense else 1 << 22)
     users = {}
     for r in train_rows(labelled):
         users.setdefault(r["item_id"], set()).add(r["user_id"])
@@ -301,9 +359,12 @@ def test_variants_and_availability():
     rich = experiments.Availability(3, 3, 1, 1, 1, True)
     bare = experiments.Availability()
     assert len(experiments.VARIANTS) == 13
-    assert all(experiments.applicable(v, rich) for v in experiments.VARIANTS)
-    off = {v for v in experiments.VARIANTS if not experiments.applicable(v, bare)}
-    assert off == {"no_features", "no_user_features", "no_item_features", "no_text", "no_sequence", "no_context", "sum_fusion"}
+    # Nothing is learned here: loss terms, the scorer's kind and the context change no score.
+    never = {"no_gcl", "dot_product", "no_context"}
+    off = lambda data: {v for v in experiments.VARIANTS if not experiments.applicable(v, data)}
+    assert off(rich) == never | {"no_text"}
+    assert off(experiments.Availability(1, 3, 1, 1, 1, True)) == never
+    assert off(bare) == never | {"no_features", "no_user_features", "no_item_features", "no_text", "no_sequence", "sum_fusion"}
     assert experiments.modules(experiments.variant("no_graph"), rich)["graph"] is False
     assert experiments.variant("base").fusion_type == "sum"
     with pytest.raises(ValueError):

@@ -221,6 +221,63 @@ def test_random_values_behind_names_and_paths_are_found(spark):
         assert sum(found) >= 0.8 * len(own), form
 
 
+def test_battery_follows_its_definition(spark):
+    """The three statistics and their combination against plain numpy, for each encoding."""
+    draw = random.Random(31)
+    letters = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "abcdefghijklmnopqrstuvwxyz0123456789"}
+    tokens = [(e, "".join(draw.choice(a) for _ in range(draw.randint(20, 60)))) for e, a in letters.items() for _ in range(20)]
+    tokens += [("base36", "user1table2chapter6name"), ("base36", "a" * 30 + "1"), ("base36", "1a" * 20)]
+
+    def two_sided(z):
+        x = abs(z)
+        return x * x / (2 * np.log(10)) - np.log10(4 / np.sqrt(2 * np.pi) / (x + np.sqrt(x * x + 8 / np.pi)))
+
+    def plain(encoding, token):
+        x = np.array([ord(c) for c in token.lower()], float)
+        n, a = len(token), secret_scan.ALPHABET[encoding]
+        pairs, every = sum(v * (v - 1) / 2 for v in collections.Counter(token).values()), n * (n - 1) / 2
+        even = (pairs - every / a) / np.sqrt(every / a * (1 - 1 / a))
+        digit = np.array([c.isdigit() for c in token])
+        ones, zeros = digit.sum(), n - digit.sum()
+        mean = 2 * ones * zeros / n
+        variance = mean * (2 * ones * zeros - n) / (n * (n - 1))
+        runs = ((digit[1:] != digit[:-1]).sum() - mean) / np.sqrt(variance) if variance > 0 else 0.0
+        off = x - x.mean()
+        serial = (off[1:] * off[:-1]).sum() / (off**2).sum() * np.sqrt(n)
+        return max(max(two_sided(max(even, 0.0)), two_sided(runs), two_sided(serial)) - np.log10(3), 0.0)
+
+    table = spark.createDataFrame(tokens, "e string, t string")
+    for r in table.select("*", secret_scan.battery(F.col("t"), F.col("e")).alias("p")).collect():
+        assert r.p == pytest.approx(plain(r.e, r.t), rel=1e-9, abs=1e-9)
+
+
+def test_thresholds_bound_both_sides():
+    rows = lambda p: list(collections.Counter(int(-np.log10(x) * secret_scan.STEPS) for x in p).items())
+    draw = np.random.default_rng(5)
+    spread = np.minimum(3 * draw.random((400, 3)).min(1), 1.0)
+    # Random tokens alone: nearly all are kept. A lone token is kept.
+    limit = secret_scan.ordinary_from(rows(spread))
+    assert limit is None or (spread > 10 ** (-limit / secret_scan.STEPS)).mean() > 0.9
+    assert secret_scan.ordinary_from([(10, 1)]) is None
+    # Ordinary tokens with middling p-values beside them: few of these are kept.
+    ordinary = 10 ** -draw.uniform(0.4, 2.5, 400)
+    limit = secret_scan.ordinary_from(rows(np.concatenate([spread, ordinary])))
+    kept = lambda p: (np.floor(-np.log10(p) * secret_scan.STEPS) < limit).sum()
+    assert kept(ordinary) <= 0.1 * (kept(ordinary) + kept(spread)) and kept(spread) > 100
+
+
+def test_texts_with_very_many_matches(spark):
+    """A key list of 16,000 hex strings: places by blocks are right, and the mask hides each."""
+    draw = random.Random(41)
+    keys = ["".join(draw.choice("0123456789abcdef") for _ in range(32)) for _ in range(16_000)]
+    text = "é " + ", ".join(keys) + " end"
+    table = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = secret_scan.scan(table).first()
+    assert [(s.kind, s.start, s.end) for s in row.base] == [("hex", 2 + 34 * i, 34 + 34 * i) for i in range(16_000)]
+    assert len(row.spans) == len(set(row.spans)) and {(s.start, s.end) for s in row.spans} == {(s.start, s.end) for s in row.base}
+    assert secret_scan.redact(table).first().text == "é " + ", ".join(["[secret]"] * 16_000) + " end"
+
+
 def test_padding_ends_a_token(spark):
     whole = "Zx9k+Qm2/Lp7vRt4Ws8yBn3c=="
     texts = [f"x {whole} y", f"name={whole}", f"{whole[:-2]}=name", "a1b2c3d4e5f6g7h8==i"]

@@ -5,6 +5,7 @@ Fitted state is small tables and numbers; applying it is projections and joins.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,9 @@ from rankloom.columns import (
     UNDEFINED,
     USER,
 )
+from rankloom.functions.hashing import draw
 from rankloom.functions.text import category, text_document, tokens_of
+from rankloom.functions.vectors import l2_normalize
 from rankloom.operators.cleaning import number
 from rankloom.operators.ordering import with_positions
 from rankloom.session import durable
@@ -151,38 +154,44 @@ def encode_lists(df: DataFrame, columns: list[str], vocabulary: DataFrame, key:
 
 @dataclass
 class HashedTextEncoder:
-    """Unit vectors from hashed word counts weighted by inverse document frequency."""
+    """Unit vectors from hashed word counts weighted by inverse document frequency.
 
-    dim: int = TEXT_DIM
-    model: object = None
+    A word's dimension is the first 32 bits of its md5 modulo ``dim``, so any engine can repeat it. Fitting keeps one
+    number a dimension: ln((documents + 1) / (documents with the dimension + 1)).
+    """
 
-    def _counts(self, documents: DataFrame) -> DataFrame:
-        from pyspark.ml.feature import HashingTF
+    dim: int = TEXT_DIM
+    weights: list[float] | None = None
 
-        words = documents.withColumn("_w", F.filter(F.split("document", " "), lambda w: w != ""))
-        return HashingTF(numFeatures=self.dim, inputCol="_w", outputCol="_tf").transform(words).drop("_w")
+    def _dimensions(self) -> Column:
+        words = F.filter(F.split(F.coalesce("document", F.lit("")), " "), lambda w: w != "")
+        return F.transform(words, lambda w: draw(self.dim, w).cast("int"))
 
     def fit(self, documents: DataFrame) -> "HashedTextEncoder":
-        from pyspark.ml.feature import IDF
-
-        self.model = IDF(inputCol="_tf", outputCol="_v").fit(self._counts(documents))
+        held = documents.select(F.array_distinct(self._dimensions()).alias("_d"))
+        # At most ``dim`` counts, and that of the documents.
+        counts = held.select(F.explode(F.concat("_d", F.array(F.lit(-1)))).alias("d")).groupBy("d").count().collect()
+        found = {r["d"]: r["count"] for r in counts}
+        total = found.get(-1, 0)
+        self.weights = [math.log((total + 1.0) / (found.get(i, 0) + 1.0)) for i in range(self.dim)]
         return self
 
     def transform(self, documents: DataFrame, name: str = "text") -> DataFrame:
-        from pyspark.ml.feature import Normalizer
+        from pyspark.ml.feature import CountVectorizerModel
         from pyspark.ml.functions import vector_to_array
 
-        if self.model is None:
+        if self.weights is None:
             raise RuntimeError("the text encoder is not fitted")
-        weighted = self.model.transform(self._counts(documents))
-        unit = Normalizer(p=2.0, inputCol="_v", outputCol="_u").transform(weighted)
-        return unit.withColumn(name, vector_to_array("_u", "float32")).drop("_tf", "_v", "_u")
+        # The library only counts: its words are the dimensions' numbers.
+        counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(self.dim)], inputCol="_d", outputCol="_n", minTF=1.0)
+        rows = documents.withColumn("_d", F.transform(self._dimensions(), lambda d: d.cast("string")))
+        counted = counter.transform(rows).withColumn("_n", vector_to_array("_n"))
+        weighted = F.zip_with("_n", F.lit(self.weights), lambda n, w: n * w)
+        return counted.withColumn(name, l2_normalize(weighted).cast("array<float>")).drop("_d", "_n")
 
 
 def encode_text(df: DataFrame, encoder, dim: int, name: str = "text") -> DataFrame:
     """Vectors of a user's Arrow ``pandas_udf`` encoder: checked width, unit length."""
-    from rankloom.functions.vectors import l2_normalize
-
     wrong = F.raise_error(F.lit(f"the text encoder must return {dim} numbers")).cast("array<double>")
     raw = df.withColumn("_raw", encoder(F.col("document")).cast("array<double>"))
     checked = F.when(F.size("_raw") == dim, F.col("_raw")).otherwise(wrong)

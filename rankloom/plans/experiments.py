@@ -39,7 +39,13 @@ def popularity_ranks(labelled: DataFrame, catalog: DataFrame, split: str = "test
     return static_target_ranks(labelled, popularity_places(_train(labelled), catalog), split)
 
 
-def neighbor_ranks(labelled: DataFrame, catalog: DataFrame, split: str = "test", n_neighbors: int = 100) -> DataFrame:
+def neighbor_ranks(
+    labelled: DataFrame, catalog: DataFrame, split: str = "test", n_neighbors: int = 100, history: int | None = None
+) -> DataFrame:
+    """Target ranks under item-kNN; ``history`` bounds the last items of a history that score (all mask)."""
+    if history is not None:
+        ranks = neighbor_trials(labelled, catalog, [{"n_neighbors": n_neighbors, "history": history}], split)
+        return ranks.drop("trial")
     queries = durable(queries_of(labelled, split), "queries")
     index = durable(catalog_index(catalog, ITEM), "catalog")
     near = item_neighbors(_train(labelled), n_neighbors)
@@ -310,13 +316,57 @@ def run_variants(
     return out
 
 
-def search(labelled: DataFrame, catalog: DataFrame, model: str, grid: dict[str, list], metric: str = "ndcg@20") -> DataFrame:
-    """Validation metric of every parameter combination, one row per trial, best first."""
+def neighbor_trials(labelled: DataFrame, catalog: DataFrame, trials: list[dict[str, int]], split: str = "val") -> DataFrame:
+    """Target ranks ``(trial, query_id, rank)`` of all item-kNN trials in one plan.
+
+    A trial has ``n_neighbors`` and, if wanted, ``history``. Neighbours are found once, as many as the largest trial needs: those of the
+    others come first in the same lists. An entry of a history and its neighbour then count for each trial that reaches both.
+    """
+    most = max(t["n_neighbors"] for t in trials)
+    index = durable(catalog_index(catalog, ITEM), "catalog")
+    near = item_neighbors(_train(labelled), most)
+    near = durable(near.join(index.select(F.col(ITEM).alias("neighbor_id")), "neighbor_id", "left_semi"), "neighbors")
+    queries = durable(queries_of(labelled, split), "queries")
+    settings = F.array(
+        *[F.struct(F.lit(i).alias("trial"), F.lit(t["n_neighbors"]).alias("n"), F.lit(t.get("history")).cast("int").alias("h")) for i, t in enumerate(trials)]
+    )
+    entries = queries.select("query_id", F.size("history").alias("_size"), F.posexplode("history").alias("_at", ITEM))
+    # Of an item's places in a history the last one reaches farthest.
+    entries = entries.groupBy("query_id", ITEM).agg(F.min(F.col("_size") - F.col("_at")).alias("_age"))
+    packed = near.groupBy(ITEM).agg(F.collect_list(F.struct(F.col("neighbor_id").alias("to"), "similarity", "rank")).alias("_near"))
+    reached = entries.join(packed, ITEM).select("query_id", "_age", F.inline("_near"))
+    counts = F.filter(settings, lambda t: (t["n"] >= F.col("rank")) & (t["h"].isNull() | (t["h"] >= F.col("_age"))))
+    each = reached.select("query_id", F.col("to").alias(ITEM), "similarity", F.explode(F.transform(counts, lambda t: t["trial"])).alias("trial"))
+    scores = each.groupBy(F.struct("trial", "query_id").alias("query_id"), ITEM).agg(F.round(F.sum("similarity"), 9).alias("score"))
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(len(trials) - 1))).alias("trial")
+    asked = queries.select("*", numbers).withColumn("query_id", F.struct("trial", "query_id")).drop("trial")
+    ranks = target_ranks(scores, asked, index)
+    return ranks.select("query_id.trial", "query_id.query_id", "rank")
+
+
+# Models whose trials share their work, and the parameters that may differ.
+SHARED = {"item-knn": (neighbor_trials, {"n_neighbors", "history"})}
+
+
+def search(
+    labelled: DataFrame, catalog: DataFrame, model: str, grid: dict[str, list], metric: str = "ndcg@20", top_ks=TOP_KS
+) -> DataFrame:
+    """Validation metric of every parameter combination, one row per trial, best first.
+
+    Trials of a model that can share its work are one plan, whose jobs do not depend on their number.
+    """
+    trials = [dict(zip(grid, values)) for values in product(*grid.values())]
+    shared, parameters = SHARED.get(model, (None, set()))
+    if shared is not None and "n_neighbors" in grid and set(grid) <= parameters:
+        ranks = shared(labelled, catalog, trials, "val")
+        rows = ranking_metrics(ranks, top_ks, ("trial",)).select("trial", F.col(f"`{metric}`").alias("value"))
+        texts = F.array(*[F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in t.items()])) for t in trials])
+        out = rows.select("trial", F.get(texts, F.col("trial")).alias("params"), "value")
+        return out.orderBy(F.col("value").desc(), "trial")
     out = None
-    for number, values in enumerate(product(*grid.values())):
-        params = dict(zip(grid, values))
+    for number, params in enumerate(trials):
         ranks = MODELS[model](labelled, catalog, "val", **params)
-        row = ranking_metrics(ranks).select(
+        row = ranking_metrics(ranks, top_ks).select(
             F.lit(number).alias("trial"),
             F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in params.items()])).alias("params"),
             F.col(f"`{metric}`").alias("value"),

@@ -583,14 +583,17 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, metri
 
 
 def _trials() -> str:
-    views = [KNN]
+    views, rows = [KNN], []
     for n in (5, 20):
-        views += [neighbors(n, f"near{n}"), knn_scores(f"near{n}", f"ks{n}"), dense_ranks(f"ks{n}", f"r{n}", "val")]
-    rows = [
-        f"""SELECT {i} AS trial, '{{"n_neighbors":{n}}}' AS params,
-  round(avg(CASE WHEN rank <= 10 THEN 1.0 / log2(rank + 1.0) ELSE 0.0 END), 6) AS value FROM r{n}"""
-        for i, n in enumerate((5, 20))
-    ]
+        views.append(neighbors(n, f"near{n}"))
+        for length in (3, 50):
+            name = f"{n}_{length}"
+            entries = f"(SELECT DISTINCT row_id AS query_id, unnest(history[-{length}:]) AS item_id FROM h WHERE len(history) > 0)"
+            views.append(f"""ks{name} AS (SELECT query_id, neighbor_id AS item_id, round(sum(similarity), 9) AS score
+  FROM {entries} e JOIN near{n} k USING (item_id) GROUP BY 1, 2)""")
+            views.append(dense_ranks(f"ks{name}", f"r{name}", "val"))
+            rows.append(f"""SELECT {len(rows)} AS trial, '{{"n_neighbors":{n},"history":{length}}}' AS params,
+  round(avg(CASE WHEN rank <= 10 THEN 1.0 / log2(rank + 1.0) ELSE 0.0 END), 6) AS value FROM r{name}""")
     return sel(",\n".join(views), "\nUNION ALL ".join(rows))
 
 
@@ -649,5 +652,13 @@ SQL["vector_catalog_ranks"] = sel(f"{ORDER_HIST.replace('pos AS', VEC + ', pos A
     for m, o in (("popularity", "p0"), ("transition", "t0"), ("dot", "d0"))))
 SQL["factor_ids"] = sel(LAB, """SELECT DISTINCT 'user' AS kind, 'U_' || user_id AS id, 16 AS width FROM lab WHERE split = 'train' AND relevant > 0
   UNION ALL SELECT DISTINCT 'item', 'C_' || item_id, 16 FROM lab WHERE split = 'train' AND relevant > 0""")
+SQL["text_vectors"] = f"""WITH w AS (SELECT doc_id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 64 AS dim
+    FROM (SELECT doc_id, unnest(string_split('text: ' || t, ' ')) AS word FROM (SELECT doc_id, {clean('text')} AS t FROM documents) WHERE t <> '')
+    WHERE word <> ''),
+tf AS (SELECT doc_id, dim, count(*) AS n FROM w GROUP BY 1, 2),
+idf AS (SELECT dim, ln(((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1.0)) AS x FROM tf GROUP BY 1),
+v AS (SELECT doc_id, dim, n * x AS y FROM tf JOIN idf USING (dim)),
+u AS (SELECT doc_id, dim, CAST(CAST(y / sqrt(sum(y * y) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE) AS value FROM v WHERE y <> 0)
+SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(value, 6) AS value FROM u WHERE value <> 0"""
 SQL["search_trials"] = _trials()
 SQL["best_trial"] = f"SELECT * FROM ({_trials()}) ORDER BY value DESC, trial LIMIT 1"

@@ -340,14 +340,18 @@ def model_comparison(spark, d):
     return metric_rows(out.drop("evaluation_protocol"), ("model",))
 
 
+def _searched(spark, d):
+    grid = {"n_neighbors": [5, 20], "history": [3, 50]}
+    return experiments.search(labelled(spark, d), catalog(spark, d), "item-knn", grid, "ndcg@10")
+
+
 def search_trials(spark, d):
-    trials = experiments.search(labelled(spark, d), catalog(spark, d), "item-knn", {"n_neighbors": [5, 20]}, "ndcg@10")
+    trials = _searched(spark, d)
     return trials.select("trial", "params", rounded("value"))
 
 
 def best_trial(spark, d):
-    trials = experiments.search(labelled(spark, d), catalog(spark, d), "item-knn", {"n_neighbors": [5, 20]}, "ndcg@10")
-    return experiments.best_trial(trials).select("trial", "params", rounded("value"))
+    return experiments.best_trial(_searched(spark, d)).select("trial", "params", rounded("value"))
 
 
 def factor_metrics(spark, d):
@@ -503,7 +507,8 @@ def feature_metadata(spark, d):
 def text_vectors(spark, d):
     docs = texts(spark, d, "documents").withColumn("document", text_document(["text"]))
     encoder = encoding.HashedTextEncoder(64).fit(docs)
-    return encoder.transform(docs).select("doc_id", joined("text"))
+    rows = encoder.transform(docs).select("doc_id", F.posexplode("text").alias("dim", "value"))
+    return rows.where("value <> 0").withColumn("value", F.round(F.col("value").cast("double"), DIGITS))
 
 
 def passthrough(spark, d):

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,7 +214,7 @@ def items(labelled):
     return labelled.select("item_id").distinct()
 
 
-def brute_ranks(labelled, items, score):
+def brute_ranks(labelled, items, score, split="test"):
     """Ranks from a full scan of the catalog; ``score(history, item)``."""
     rows = sorted(
         (r.asDict() for r in labelled.where("relevant > 0").collect()),
@@ -222,7 +223,7 @@ def brute_ranks(labelled, items, score):
     catalog, past, out = sorted(r[0] for r in items.collect()), {}, {}
     for r in rows:
         history = past.setdefault(r["user_id"], [])
-        if r["split"] == "test":
+        if r["split"] == split:
             last = history[-50:]
             order = sorted(
                 (i for i in catalog if i == r["item_id"] or i not in last), key=lambda i: (-score(last, i), i)
@@ -296,6 +297,38 @@ def test_evaluate_runs_all_models_on_the_same_queries(labelled, items):
     assert [r["model"] for r in no_time] == ["popularity"]
 
 
+def test_shared_trials_equal_trials_on_their_own(labelled, items):
+    trials = [{"n_neighbors": n, "history": h} for n in (1, 4) for h in (1, 3, 50)]
+    got = {}
+    for r in experiments.neighbor_trials(labelled, items, trials, "val").collect():
+        got.setdefault(r["trial"], {})[r["query_id"]] = r["rank"]
+    for number, t in enumerate(trials):
+        near = {}
+        for r in models.item_neighbors(labelled.where("split = 'train'"), t["n_neighbors"]).collect():
+            near.setdefault(r["item_id"], {})[r["neighbor_id"]] = r["similarity"]
+        score = lambda h, i: round(sum(near.get(x, {}).get(i, 0.0) for x in set(h[-t["history"] :])), 9)  # noqa: B023,E731
+        assert got[number] == brute_ranks(labelled, items, score, "val")
+    assert got[2] == {r["query_id"]: r["rank"] for r in experiments.neighbor_ranks(labelled, items, "val", 1).collect()}
+    rows = experiments.search(labelled, items, "item-knn", {"n_neighbors": [1, 4], "history": [1, 50]}, "ndcg@5").collect()
+    assert sorted(r["trial"] for r in rows) == [0, 1, 2, 3] and rows[0]["params"].startswith('{"n_neighbors":')
+
+
+def test_blocks_of_short_vectors_are_passed_over():
+    rng = np.random.default_rng(8)
+    matrix = rng.normal(size=(3000, 8)) * rng.exponential(size=(3000, 1)) ** 2
+    ids, bias = np.arange(3000) * 3, np.zeros(3000)
+    part = pd.DataFrame({"query_id": range(40), "vector": list(rng.normal(size=(40, 8)))})
+    blocks = scoring._pruned_blocks(ids, matrix, bias, 100)
+    vectors = np.stack(part["vector"])
+    kth, found, computed = scoring.pruned_top_k(part, blocks, 10, 1.0, np.full(40, 1e-9))
+    scores = vectors @ matrix.T
+    assert computed < 0.5 * scores.size
+    assert np.allclose(kth, np.sort(scores, 1)[:, -10])
+    rows, names = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    for q in range(40):
+        assert set(ids[np.argsort(-scores[q])[:10]]) <= set(names[rows == q])
+
+
 def test_search_keeps_the_best_trial(labelled, items):
     trials = experiments.search(labelled, items, "item-knn", {"n_neighbors": [1, 4]}, "ndcg@5")
     rows = trials.collect()

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom.operators import statistics as S
 
@@ -54,7 +55,10 @@ def test_friedman_and_nemenyi(results):
     assert report["friedman_pvalue"] == pytest.approx(math.exp(-statistic / 2))
     pairs = {(r["model"], r["other_model"]): r for r in S.nemenyi(results, ("dataset", "seed"), ("metric",)).where("metric = 'hit@10'").collect()}
     assert pairs["A", "C"]["rank_difference"] == pytest.approx(abs(sums[0] - sums[2]) / 4)
-    assert pairs["A", "C"]["critical_distance"] == pytest.approx(2.343 * math.sqrt(12 / 24))
+    assert pairs["A", "C"]["critical_distance"] == pytest.approx(2.3437 * math.sqrt(12 / 24), abs=1e-4)
+    for r in pairs.values():
+        assert r["p_value"] == pytest.approx(plain_tail(r["rank_difference"] / math.sqrt(12 / 48), 3), abs=1e-9)
+        assert r["significant"] == (r["p_value"] < 0.05)
 
 
 def test_chi_square_tail():
@@ -69,11 +73,36 @@ def test_chi_square_tail():
     assert S.chi_square_tail(3000.0, 4) < 1e-300
 
 
-def test_nemenyi_critical_values():
+def plain_tail(q, models):
+    """Chance that the range of normal values exceeds ``q``, by Simpson's rule over the smallest one."""
+    below = lambda z: 0.5 * math.erfc(-z / math.sqrt(2))
+    n, low = 4000, -9.0
+    step = 18.0 / n
+    total = sum(
+        (1 if i in (0, n) else 4 if i % 2 else 2) * math.exp(-((low + i * step) ** 2) / 2) * (below(low + i * step + q) - below(low + i * step)) ** (models - 1)
+        for i in range(n + 1)
+    )
+    return 1 - models * total * step / 3 / math.sqrt(2 * math.pi)
+
+
+def test_range_tail(spark):
+    cases = [(q, k) for k in (2, 5, 12, 40) for q in (0.0, 0.3, 1.0, 2.5, 3.9, 5.0, 7.0)]
+    table = spark.createDataFrame(cases, "q double, k int")
+    for r in table.select("*", S.range_tail(F.col("q"), F.col("k")).alias("p")).collect():
+        assert r["p"] == pytest.approx(plain_tail(r["q"], r["k"]), abs=1e-10)
+    # Two models: the difference of two normal values; far out the small chance keeps its digits.
+    far = spark.range(1).select(S.range_tail(F.lit(14.0), F.lit(2)).alias("p"), S.normal_below(F.lit(-8.0)).alias("n")).first()
+    assert far["p"] == pytest.approx(math.erfc(14 / 2), rel=1e-6)
+    assert far["n"] == pytest.approx(0.5 * math.erfc(8 / math.sqrt(2)), rel=1e-6)
+
+
+def test_nemenyi_critical_values(spark):
     published = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031, 9: 3.102, 10: 3.164, 12: 3.268, 20: 3.544}
-    for models, value in published.items():
-        assert S.nemenyi_critical(models) == pytest.approx(value, abs=1.1e-3)
-    assert S.nemenyi_critical(3, 0.1) == pytest.approx(2.052, abs=1.1e-3)
+    table = spark.createDataFrame([(k,) for k in published], "k int")
+    got = table.select("k", S.critical_range(F.col("k"), 0.05).alias("q"), S.critical_range(F.col("k"), 0.1).alias("q10")).collect()
+    for r in got:
+        assert r["q"] / math.sqrt(2) == pytest.approx(published[r["k"]], abs=1.1e-3)
+    assert {r["k"]: r["q10"] for r in got}[3] / math.sqrt(2) == pytest.approx(2.052, abs=1.1e-3)
 
 
 def test_improvement(results):

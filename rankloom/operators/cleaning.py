@@ -298,3 +298,20 @@ def profile(interactions: DataFrame, users: DataFrame, items: DataFrame) -> Data
         "sparsity",
         F.when(cells == 0, F.lit(0.0)).otherwise(1.0 - F.col("num_interactions") / cells),
     )
+
+
+def processed_profile(interactions: DataFrame, user_ids: DataFrame, item_ids: DataFrame, metadata: DataFrame) -> DataFrame:
+    """The profile of prepared tables: sizes count encoded ids, feature numbers are widths of the encoded vectors.
+
+    ``num_user_text`` and ``num_item_text`` say how many of the entries hold text.
+    """
+    sized = F.when(F.col("kind") == "text", F.col("cardinality")).otherwise(F.lit(1))
+    wide = lambda group, name: F.coalesce(F.sum(F.when(F.col("grp") == group, sized)), F.lit(0)).alias(name)
+    text = F.when(F.col("kind") == "text", F.col("cardinality"))
+    of_text = lambda group, name: F.coalesce(F.sum(F.when(F.col("grp") == group, text)), F.lit(0)).alias(name)
+    widths = metadata.agg(F.struct(
+        wide("users", "num_user_feats"), wide("items", "num_item_feats"), wide("inter", "num_ctx_feats"),
+        of_text("users", "num_user_text"), of_text("items", "num_item_text"),
+    ).alias("widths")).scalar()
+    base = profile(interactions, user_ids, item_ids).drop("num_user_feats", "num_item_feats", "num_ctx_feats")
+    return base.withColumn("_w", widths).select(*base.columns, "_w.*")

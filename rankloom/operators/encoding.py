@@ -22,7 +22,7 @@ from rankloom.columns import (
     UNDEFINED,
     USER,
 )
-from rankloom.functions.hashing import draw
+from rankloom.functions.hashing import digest, digest_number, draw
 from rankloom.functions.text import category, text_document, tokens_of
 from rankloom.functions.vectors import l2_normalize
 from rankloom.operators.cleaning import number
@@ -198,6 +198,66 @@ def encode_text(df: DataFrame, encoder, dim: int, name: str = "text") -> DataFra
     return raw.withColumn(name, l2_normalize(checked).cast("array<float>")).drop("_raw")
 
 
+# --- feature vectors of any width -----------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Places of a feature vector: numbers and tokens, then text, then category codes."""
+
+    dense: int = 0
+    text: int = 0
+    codes: int = 0
+
+    @property
+    def width(self) -> int:
+        return self.dense + self.text + self.codes
+
+
+def layouts(metadata: DataFrame) -> dict[str, Layout]:
+    """The layout of each group that feature metadata describe."""
+    of = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0)).cast("int").alias(kind)
+    rows = metadata.groupBy("grp").agg(of("dense", F.lit(1)), of("text", F.col("cardinality")), of("categorical", F.lit(1)))
+    return {r["grp"]: Layout(r["dense"], r["text"], r["categorical"]) for r in rows.collect()}
+
+
+def seeded_signs(dim: int, seed: Column, *parts: Column) -> tuple[Column, list[Column]]:
+    """Digests to be named ``_h``, and ``dim`` signs (1 or -1) read from a column of that name."""
+    hexes = F.array(*[digest(seed, *parts, b) for b in range((dim + 3) // 4)])
+    even = [F.pmod(digest_number(F.get("_h", F.lit(i // 4)), i % 4), F.lit(2)) == 0 for i in range(dim)]
+    return hexes, [F.when(e, F.lit(1.0)).otherwise(F.lit(-1.0)) for e in even]
+
+
+def project(features: DataFrame, layout: Layout, dim: int, seeds) -> DataFrame:
+    """Seeded random projections ``(seed, id, vector, plain)`` of ``(id, features)`` to ``dim`` numbers, for each seed.
+
+    A number or a text entry counts with its value in the signs of its place, a category with 1 in the signs of its place and
+    code. ``plain`` leaves the text out. Entries are added up per dimension before the shuffle, so neither the width of a vector nor
+    the size of a vocabulary reaches it. A null vector gives no row, another width than the layout's is an error.
+    """
+    wrong = F.raise_error(F.lit(f"feature vectors must have {layout.width} entries")).cast("array<double>")
+    whole = F.when(F.size("features") == layout.width, F.col("features").cast("array<double>")).otherwise(wrong)
+    given = features.where(F.col("features").isNotNull()).select("id", whole.alias("_f"))
+    entries = given.select("id", F.posexplode("_f").alias("_at", "_x"))
+    code = F.col("_at") >= layout.dense + layout.text
+    spelled = F.when(code, F.concat_ws(":", "_at", F.col("_x").cast("long"))).otherwise(F.col("_at").cast("string"))
+    amount = F.when(code, F.lit(1.0)).otherwise(F.nanvl(F.coalesce("_x", F.lit(0.0)), F.lit(0.0)))
+    plain = code | (F.col("_at") < layout.dense)
+    entries = entries.select("id", spelled.alias("_token"), amount.alias("_x"), plain.alias("_plain"))
+    # A vector of zeros keeps one entry, so that its entity is known.
+    entries = entries.where((F.col("_x") != 0) | (F.col("_token") == "0"))
+    entries = entries.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    hexes, signs = seeded_signs(dim, F.col("seed"), F.lit("feature"), F.col("_token"))
+    root = F.lit(dim**0.5)
+    sums = []
+    for i, sign in enumerate(signs):
+        part = F.col("_x") * sign / root
+        sums += [F.sum(part).alias(f"_d{i}"), F.sum(F.when(F.col("_plain"), part).otherwise(F.lit(0.0))).alias(f"_p{i}")]
+    summed = entries.withColumn("_h", hexes).groupBy("seed", "id").agg(*sums)
+    arrays = [F.array(*[F.col(f"_{c}{i}") for i in range(dim)]).alias(name) for c, name in (("d", "vector"), ("p", "plain"))]
+    return summed.select("seed", "id", *arrays)
+
+
 # --- everything together ------------------------------------------------------------
 
 
@@ -272,6 +332,11 @@ class FeatureEncoder:
         empty = F.array().cast("array<float>")
         return encoded.select(self.key, F.concat(empty, *parts).cast("array<float>").alias("features"))
 
+    def layout(self) -> "Layout":
+        tokens = 0 if self.vocabulary is None else self.vocabulary.count()
+        g = self.groups
+        return Layout(len(g["numeric"]) + tokens, self.text_dim if g["text"] else 0, len(g["categorical"]))
+
     def metadata(self, group: str, spark) -> DataFrame:
         """Rows ``(grp, column, kind, cardinality)`` that describe the feature vector.
 

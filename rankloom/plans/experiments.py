@@ -8,10 +8,10 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.columns import EVALUATION_PROTOCOL, GRAPH_LAYERS, ITEM, SPLIT, TOP_KS, USER, is_temporal
+from rankloom.columns import EVALUATION_PROTOCOL, GRAPH_LAYERS, ITEM, ROW, SPLIT, TOP_KS, USER, is_temporal
 from rankloom.functions import vectors as V
-from rankloom.functions.hashing import digest, digest_number
 from rankloom.operators.fusion import history_vectors, masked_fusion, sum_fusion
+from rankloom.operators.encoding import Layout, layouts, project, seeded_signs
 from rankloom.operators.graph import interaction_graph, smooth
 from rankloom.operators.ids import catalog_index, map_ids
 from rankloom.operators.models import (
@@ -190,10 +190,6 @@ SOURCES = {
     "sequence": (lambda c: c.use_seq_encoder, lambda c, d: d.history),
     "context": (lambda c: c.use_context, lambda c, d: d.context > 0),
 }
-# Sources that reach a score here: the hybrid scorer has no context term.
-SCORED = ("graph", "user_features", "item_features", "sequence")
-
-
 def modules(config: HybridConfig, data: Availability) -> dict[str, bool]:
     """Sources that are both switched on and provided by the data."""
     return {source: bool(on(config) and held(config, data)) for source, (on, held) in SOURCES.items()}
@@ -202,14 +198,15 @@ def modules(config: HybridConfig, data: Availability) -> dict[str, bool]:
 def effects(config: HybridConfig, data: Availability) -> tuple:
     """All that the scores of a setting depend on here, so settings with equal effects give equal results.
 
-    Text counts only where it decides whether features are left; loss terms and the kind of scorer do not count at all,
-    because nothing is learned.
+    Loss terms and the kind of scorer do not count, because nothing is learned.
     """
     active = modules(config, data)
-    used = tuple(active[source] for source in SCORED)
+    text = config.use_text_features and (
+        active["user_features"] and data.user_text > 0 or active["item_features"] and data.item_text > 0
+    )
     mode = config.graph_mode if active["graph"] else None
-    fusion = config.fusion_type if sum(used) > 1 else None
-    return used, mode, fusion, config.use_item_bias
+    fused = any(active[source] for source in SOURCES if source != "context")
+    return tuple(active.values()), text, mode, config.fusion_type if fused else None, config.use_item_bias
 
 
 def applicable(name: str, data: Availability) -> bool:
@@ -218,102 +215,227 @@ def applicable(name: str, data: Availability) -> bool:
     return name == "full" or effects(config, data) != effects(variant("full"), data)
 
 
-def seeded_vectors(ids: DataFrame, dim: int, seed: int) -> DataFrame:
-    """Signs drawn per id and dimension, scaled to unit length: start of the smoothing."""
-    hexes = F.array(*[digest(seed, F.col("id"), b) for b in range((dim + 3) // 4)])
-    named = ids.select("id", hexes.alias("_h"))
-    signs = [
-        F.when(F.pmod(digest_number(F.get("_h", F.lit(i // 4)), i % 4), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-        / F.lit(dim**0.5)
-        for i in range(dim)
-    ]
-    return named.select("id", F.array(*signs).alias("vector"))
+def seeded_vectors(ids: DataFrame, dim: int, seeds) -> DataFrame:
+    """Signs drawn per id and dimension, scaled to unit length: start of the smoothing. Seeds follow one another in a vector."""
+    out, parts = ids.select("id"), []
+    for k, seed in enumerate(seeds):
+        hexes, signs = seeded_signs(dim, F.lit(seed), F.col("id"))
+        out = out.withColumn("_h", hexes).withColumn(f"_v{k}", F.array(*[s / F.lit(dim**0.5) for s in signs])).drop("_h")
+        parts.append(F.col(f"_v{k}"))
+    return out.select("id", F.concat(*parts).alias("vector"))
+
+
+def _by_seed(wide: DataFrame, dim: int, seeds, name: str) -> DataFrame:
+    each = [F.struct(F.lit(s).alias("seed"), F.slice("vector", k * dim + 1, dim).alias(name)) for k, s in enumerate(seeds)]
+    return wide.select("id", F.inline(F.array(*each)))
+
+
+# Sums per node that one round of smoothing makes at once; seeds beyond it take another pass.
+SMOOTHED_AT_ONCE = 64
+
+
+def graph_vectors(train: DataFrame, num_users: int, num_items: int, dim: int, seeds, layers: int, modes) -> DataFrame:
+    """Node vectors ``(seed, id, _id, _graph)``: the start of each seed, and its smoothing if a mode asks for it."""
+    spark, step, out = train.sparkSession, max(1, SMOOTHED_AT_ONCE // dim), None
+    edges = durable(interaction_graph(train, F.lit(num_users)), "edges") if "lightgcn" in modes else None
+    for at in range(0, len(seeds), step):
+        some = seeds[at : at + step]
+        start = seeded_vectors(spark.range(num_users + num_items), dim, some)
+        part = _by_seed(start, dim, some, "_id")
+        if edges is None:
+            part = part.withColumn("_graph", F.col("_id"))
+        else:
+            smoothed = durable(smooth(edges, start, dim * len(some), layers), "nodes")
+            part = part.join(_by_seed(smoothed, dim, some, "_graph"), ["id", "seed"], "left")
+        out = part if out is None else out.unionByName(part)
+    return durable(out, "graph-vectors")
 
 
-def hybrid_ranks(
+@dataclass(frozen=True)
+class Features:
+    """Feature vectors of any width: a table ``(id, features)`` and what their places hold."""
+
+    table: DataFrame
+    layout: Layout
+
+
+def _width(features: Features | None) -> Layout:
+    return Layout() if features is None else features.layout
+
+
+def grid_ranks(
     labelled: DataFrame,
-    config: HybridConfig,
+    configs: list[HybridConfig],
+    seeds,
     num_users: int,
     num_items: int,
     dim: int = 16,
-    seed: int = 42,
     layers: int = GRAPH_LAYERS,
-    user_features: DataFrame | None = None,
-    item_features: DataFrame | None = None,
+    user_features: Features | None = None,
+    item_features: Features | None = None,
+    context: Features | None = None,
     split: str = "test",
+    queries: DataFrame | None = None,
 ) -> DataFrame:
-    """Target ranks of a hybrid of graph, feature and sequence vectors.
+    """Target ranks ``(run, query_id, rank)`` of all settings and seeds from one plan; run = place of seed × settings + place of setting.
 
-    Ids are dense. ``…_features`` hold ``(id, vector)`` of width ``dim``. Sources
-    are fused per entity, users and items meet in a dot product, and the popularity
-    prior is added when switched on. Repeated query ids and targets outside ``num_items`` raise an error; a user
-    outside ``num_users`` has no graph vector.
+    Ids are dense, those of ``context`` are row ids. Features are projected to ``dim`` by signs of the seed, with or without their text.
+    Sources are fused per entity, context is added to the user's vector, users and items meet in a dot product, and the
+    popularity prior is added when switched on. Queries, smoothing and projections are made once for all settings. Repeated query ids and
+    targets outside ``num_items`` raise an error; a user outside ``num_users`` has no graph vector.
     """
-    spark = labelled.sparkSession
-    train = _train(labelled)
-    nodes = seeded_vectors(spark.range(num_users + num_items), dim, seed)
-    if config.graph_mode == "lightgcn":
-        nodes = smooth(interaction_graph(train, F.lit(num_users)), nodes, dim, layers)
-    nodes = durable(nodes, "nodes")
-    use_graph = config.graph_mode != "none"
-
-    def fuse(sources: list[Column], available: list[Column]) -> Column:
-        if not sources:
+    seeds, train = list(seeds), _train(labelled)
+    if queries is None:
+        queries = durable(queries_of(labelled, split), "queries")
+    check_queries(queries, num_items)
+    nodes = graph_vectors(train, num_users, num_items, dim, seeds, layers, {c.graph_mode for c in configs})
+    of_seed = F.explode(F.array(*[F.lit(s) for s in seeds]))
+    place = F.array_position(F.array(*[F.lit(s) for s in seeds]), F.col("seed")).cast("int") - 1
+    setting = F.explode(F.sequence(F.lit(0), F.lit(len(configs) - 1)))
+
+    def projected(features: Features, name: str) -> DataFrame:
+        found = durable(project(features.table, features.layout, dim, seeds), name)
+        return found.select("seed", "id", F.col("vector").alias("_feat"), F.col("plain").alias("_plain"))
+
+    def sources(config: HybridConfig, features: Features | None, on: bool) -> list[Column]:
+        graph = {"none": [], "id": [F.col("_id")], "lightgcn": [F.col("_graph")]}[config.graph_mode]
+        width = _width(features)
+        held = width.width - (0 if config.use_text_features else width.text)
+        return graph + ([F.col("_feat" if config.use_text_features else "_plain")] if on and held else [])
+
+    def fuse(config: HybridConfig, vectors: list[Column]) -> Column:
+        if not vectors:
             return V.zeros(dim)
         if config.fusion_type == "sum":
-            return sum_fusion([F.coalesce(s, V.zeros(dim)) for s in sources])
-        return masked_fusion(sources, available, dim=dim)
-
-    def side(base: DataFrame, features: DataFrame | None, on: bool) -> tuple[DataFrame, list[str]]:
-        names = ["_graph"] if use_graph else []
-        if features is not None and on:
-            base = base.join(features.select("id", F.col("vector").alias("_feat")), "id", "left")
-            names.append("_feat")
-        return base, names
-
-    items = nodes.where(F.col("id") >= num_users).select(
-        (F.col("id") - num_users).alias("id"), F.col("vector").alias("_graph")
-    )
-    items, item_sources = side(items, item_features, config.use_item_features)
-    items = items.select(
-        "id", fuse([F.col(s) for s in item_sources], [F.col(s).isNotNull() for s in item_sources]).alias("vector")
-    )
+            return sum_fusion([F.coalesce(v, V.zeros(dim)) for v in vectors])
+        return masked_fusion(vectors, [v.isNotNull() for v in vectors], dim=dim)
+
+    def by_setting(of) -> Column:
+        """One expression that takes the branch of the row's setting."""
+        out = F.when(F.col("setting") == 0, of(configs[0]))
+        for k, config in enumerate(configs[1:], 1):
+            out = out.when(F.col("setting") == k, of(config))
+        return out
+
+    run = (place * len(configs) + F.col("setting")).alias("run")
+    inside = F.col("id").between(num_users, num_users + num_items - 1)
+    items = nodes.where(inside).withColumn("id", F.col("id") - num_users)
+    if item_features is not None:
+        items = items.join(projected(item_features, "item-features"), ["seed", "id"], "left")
+    items = items.withColumn("setting", setting)
+    vector = by_setting(lambda c: fuse(c, sources(c, item_features, c.use_item_features)))
+    items = items.select(run, "setting", "id", vector.alias("vector"))
+    if any(c.use_item_bias for c in configs):
+        prior = popularity_prior(item_counts(train)).select(F.col(ITEM).alias("id"), F.col("bias").alias("_prior"))
+        biased = by_setting(lambda c: F.lit(c.use_item_bias))
+        items = items.join(prior, "id", "left").withColumn("bias", F.when(biased, F.coalesce("_prior", F.lit(0.0))).otherwise(0.0))
+        items = items.drop("_prior")
     items = durable(items, "item-vectors")
 
-    queries = durable(queries_of(labelled, split), "queries")
-    users = nodes.where(F.col("id") < num_users).select("id", F.col("vector").alias("_graph"))
-    users, user_sources = side(users, user_features, config.use_user_features)
-    check_queries(queries, num_items)
-    rows = queries.join(users.withColumnRenamed("id", USER), USER, "left")
-    if config.use_seq_encoder and is_temporal(labelled):
-        seen = history_vectors(queries, items, dim)
-        seen = seen.select("query_id", F.when(F.col("available"), F.col("vector")).alias("_seq"))
-        rows, user_sources = rows.join(seen, "query_id", "left"), [*user_sources, "_seq"]
-    vector = fuse([F.col(s) for s in user_sources], [F.col(s).isNotNull() for s in user_sources])
-    rows = rows.select("query_id", "target_item_id", "history", vector.alias("vector"))
-    bias = popularity_prior(item_counts(train)) if config.use_item_bias else None
-    return catalog_target_ranks(rows, items, dim, bias=bias)
+    users = nodes.where(F.col("id") < num_users).withColumnRenamed("id", USER)
+    rows = queries.withColumn("seed", of_seed).join(users, ["seed", USER], "left")
+    if user_features is not None:
+        own = projected(user_features, "user-features").withColumnRenamed("id", USER)
+        rows = rows.join(own, ["seed", USER], "left")
+    around = V.zeros(dim)
+    if context is not None:
+        near = projected(context, "context").select("seed", F.col("id").alias("query_id"), F.col("_feat").alias("_ctx"), F.col("_plain").alias("_ctx_plain"))
+        rows = rows.join(near, ["seed", "query_id"], "left")
+    rows = rows.withColumn("setting", setting).select("*", run)
+    sequential = [k for k, c in enumerate(configs) if c.use_seq_encoder] if is_temporal(labelled) else []
+    if sequential:
+        wanted = F.col("setting").isin(sequential)
+        # Histories and items of one run meet by (run, item).
+        asked = queries.select("query_id", "history").withColumn("seed", of_seed).withColumn("setting", setting).where(wanted)
+        asked = asked.select(run, "query_id", "history")
+        keyed = F.transform("history", lambda i: F.struct(F.col("run").alias("run"), i.cast("long").alias("id")))
+        asked = asked.select(F.struct("run", "query_id").alias("key"), keyed.alias("history"))
+        known = items.where(wanted).select(F.struct("run", "id").alias("id"), "vector")
+        seen = history_vectors(asked, known, dim, key="key")
+        seen = seen.select("key.run", "key.query_id", F.when(F.col("available"), F.col("vector")).alias("_seq"))
+        rows = rows.join(seen, ["run", "query_id"], "left")
+
+    def query_vector(config: HybridConfig) -> Column:
+        found = sources(config, user_features, config.use_user_features)
+        if sequential and config.use_seq_encoder:
+            found = [*found, F.col("_seq")]
+        fused = fuse(config, found)
+        if context is None or not config.use_context:
+            return fused
+        return V.add(fused, F.coalesce("_ctx" if config.use_text_features else "_ctx_plain", around))
+
+    rows = rows.select("run", "query_id", "target_item_id", "history", by_setting(query_vector).alias("vector"))
+    return catalog_target_ranks(rows, items.drop("setting"), dim)
+
+
+def hybrid_ranks(labelled: DataFrame, config: HybridConfig, num_users: int, num_items: int, dim: int = 16, seed: int = 42, **options) -> DataFrame:
+    """Target ranks of one setting of the hybrid scorer; options are those of ``grid_ranks``."""
+    return grid_ranks(labelled, [config], [seed], num_users, num_items, dim, **options).drop("run")
+
+
+def available(
+    user_features: Features | None = None, item_features: Features | None = None, context: Features | None = None, history: bool = False
+) -> Availability:
+    """What given features offer."""
+    user, item = _width(user_features), _width(item_features)
+    return Availability(user.width, item.width, user.text, item.text, _width(context).width, history)
+
+
+def availability(profile: DataFrame, rows: DataFrame) -> Availability:
+    """What a processed profile and the model rows offer."""
+    p = profile.first()
+    return Availability(
+        p["num_user_feats"], p["num_item_feats"], p["num_user_text"], p["num_item_text"], p["num_ctx_feats"],
+        p["split_strategy"] == "temporal" and has_history(rows.where(F.col(SPLIT) == "train")),
+    )
+
+
+def hybrid_inputs(prepared) -> dict:
+    """Arguments of ``run_variants`` and ``grid_ranks`` from prepared tables: encoded ids, features of any width, context."""
+    layout = layouts(prepared.metadata)
+    named = lambda df, key: df.select(F.col(key).alias("id"), "features")
+    tables = {
+        "user_features": ("users", named(prepared.user_features, "idx")),
+        "item_features": ("items", named(prepared.item_features, "idx")),
+        "context": ("inter", None if prepared.context is None else named(prepared.context, ROW)),
+    }
+    found = {n: Features(t, layout[g]) if t is not None and g in layout and layout[g].width else None for n, (g, t) in tables.items()}
+    return {
+        "labelled": prepared.interactions.where((F.col(ITEM) >= 0) & (F.col(USER) >= 0)),
+        "num_users": prepared.user_ids.count(),
+        "num_items": prepared.item_ids.count(),
+        **found,
+    }
 
 
 def run_variants(
-    labelled: DataFrame, num_users: int, num_items: int, data: Availability, names=tuple(VARIANTS), seeds=(13, 42, 77), top_ks=TOP_KS, **params
+    labelled: DataFrame, num_users: int, num_items: int, names=tuple(VARIANTS), seeds=(13, 42, 77), top_ks=TOP_KS,
+    split: str = "test", user_features: Features | None = None, item_features: Features | None = None, context: Features | None = None, **params,
 ) -> DataFrame:
-    """One metric row per (variant, seed) with its switches and active sources."""
-    out = None
-    for name, seed in product(names, seeds):
-        config = variant(name)
-        ranks = hybrid_ranks(labelled, config, num_users, num_items, seed=seed, **params)
-        active = modules(config, data)
-        row = ranking_metrics(ranks, top_ks).select(
-            F.lit(name).alias("variant"),
-            F.lit(seed).alias("seed"),
-            F.lit(int(applicable(name, data))).alias("applicable"),
-            *[F.lit(int(on)).alias(f"module_{m}") for m, on in active.items()],
-            *[F.lit(v if isinstance(v, str) else int(v)).alias(k) for k, v in asdict(config).items()],
-            "*",
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    """One metric row per (variant, seed) with its switches and active sources, all from one plan.
+
+    Variants of equal effect share one run; those that change nothing for this data are marked as not applicable.
+    """
+    spark = labelled.sparkSession
+    queries = durable(queries_of(labelled, split), "queries")
+    data = available(user_features, item_features, context, is_temporal(labelled) and has_history(queries))
+    configs = {name: variant(name) for name in dict.fromkeys(names)}
+    kinds = list(dict.fromkeys(effects(c, data) for c in configs.values()))
+    chosen = [next(c for c in configs.values() if effects(c, data) == kind) for kind in kinds]
+    ranks = grid_ranks(
+        labelled, chosen, seeds, num_users, num_items, user_features=user_features, item_features=item_features,
+        context=context, split=split, queries=queries, **params,
+    )
+    metrics = ranking_metrics(ranks, top_ks, ("run",))
+    labels = []
+    for (name, config), (at, seed) in product(configs.items(), enumerate(seeds)):
+        active = {f"module_{m}": int(on) for m, on in modules(config, data).items()}
+        switches = {k: v if isinstance(v, str) else int(v) for k, v in asdict(config).items()}
+        run = at * len(chosen) + kinds.index(effects(config, data))
+        labels.append({"_place": len(labels), "run": run, "variant": name, "seed": seed, "applicable": int(applicable(name, data)), **active, **switches})
+    schema = ", ".join(f"{k} {'string' if isinstance(v, str) else 'int'}" for k, v in labels[0].items())
+    table = spark.createDataFrame([tuple(r.values()) for r in labels], schema)
+    return table.join(metrics, "run", "left").orderBy("_place").drop("_place", "run")
 
 
 def neighbor_trials(labelled: DataFrame, catalog: DataFrame, trials: list[dict[str, int]], split: str = "val") -> DataFrame:

@@ -90,6 +90,7 @@ class Prepared:
     metadata: DataFrame
     rows: DataFrame
     parameters: dict = field(default_factory=dict)
+    context: DataFrame | None = None
 
     def save(self, folder: str) -> None:
         tables = {
@@ -178,6 +179,6 @@ def prepare(
     }
     return Prepared(
         interactions, user_ids, item_ids, features["users"], features["items"], metadata,
-        rows, parameters,
+        rows, parameters, context.vector(interactions),
     )
 

@@ -385,11 +385,25 @@ def vector_catalog_ranks(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+def _encoded(df, roles, key, text_dim=32):
+    """Feature vectors of a table by ``key`` and what they hold."""
+    encoder = encoding.FeatureEncoder(roles, key, text_dim=text_dim).fit(df)
+    found = encoder.vector(encoder.transform(df)).withColumnRenamed(key, "id")
+    return experiments.Features(found, encoder.layout())
+
+
 def variant_metrics(spark, d):
-    rows = labelled(spark, d)
+    """All variants and seeds of the hybrid scorer, with features of customers and parts and the kind of event as context."""
+    rows = durable(labelled(spark, d), "labelled")
     n_users, n_items = ev(spark, d).agg(F.max(USER) + 1, F.max(ITEM) + 1).first()
-    data = experiments.Availability(context=1, history=True)
-    return experiments.run_variants(rows, n_users, n_items, data, ("full", "no_graph", "sum_fusion"), (13,), (10,))
+    users = table(spark, d, "customer").withColumn("c_custkey", F.col("c_custkey").cast("long"))
+    things = parts(spark, d).withColumn("p_partkey", F.col("p_partkey").cast("long"))
+    return experiments.run_variants(
+        rows, n_users, n_items,
+        user_features=_encoded(users, {"num": ["c_acctbal"], "cat": ["c_mktsegment"]}, "c_custkey"),
+        item_features=_encoded(things, PART_ROLES, "p_partkey"),
+        context=_encoded(rows, {"cat": ["event_type"]}, ROW),
+    )
 
 
 def dot_top_k(spark, d):

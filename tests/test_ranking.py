@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.columns import METRICS
 from rankloom.functions import vectors as V
-from rankloom.operators import fusion, models, ranking, scoring
+from rankloom.operators import encoding, fusion, models, ranking, scoring
 from rankloom.operators.ids import catalog_index
 from rankloom.plans import experiments
 from rankloom.plans.preparation import labelled_splits
@@ -392,12 +392,13 @@ def test_variants_and_availability():
     rich = experiments.Availability(3, 3, 1, 1, 1, True)
     bare = experiments.Availability()
     assert len(experiments.VARIANTS) == 13
-    # Nothing is learned here: loss terms, the scorer's kind and the context change no score.
-    never = {"no_gcl", "dot_product", "no_context"}
+    # Nothing is learned here: loss terms and the scorer's kind change no score.
+    never = {"no_gcl", "dot_product"}
     off = lambda data: {v for v in experiments.VARIANTS if not experiments.applicable(v, data)}
-    assert off(rich) == never | {"no_text"}
-    assert off(experiments.Availability(1, 3, 1, 1, 1, True)) == never
-    assert off(bare) == never | {"no_features", "no_user_features", "no_item_features", "no_text", "no_sequence", "sum_fusion"}
+    assert off(rich) == never
+    assert off(experiments.Availability(1, 3, 0, 0, 1, True)) == never | {"no_text"}
+    assert off(experiments.Availability(1, 3, 1, 1, 0, True)) == never | {"no_context"}
+    assert off(bare) == never | {"no_features", "no_user_features", "no_item_features", "no_text", "no_sequence", "no_context"}
     assert experiments.modules(experiments.variant("no_graph"), rich)["graph"] is False
     assert experiments.variant("base").fusion_type == "sum"
     with pytest.raises(ValueError):
@@ -465,8 +466,70 @@ def test_hybrid_matches_dense_algebra(spark, labelled, name):
 
 
 def test_hybrid_variants_run(labelled):
-    data = experiments.Availability(history=True)
-    rows = experiments.run_variants(labelled, 12, 23, data, ("full", "no_sequence"), (13,), (5,), dim=4).collect()
-    assert [r["variant"] for r in rows] == ["full", "no_sequence"]
-    assert rows[0]["module_sequence"] == 1 and rows[1]["module_sequence"] == 0
+    rows = experiments.run_variants(labelled, 12, 23, ("full", "no_sequence", "no_gcl"), (13, 5), (5,), dim=4).collect()
+    assert [(r["variant"], r["seed"]) for r in rows] == [(v, s) for v in ("full", "no_sequence", "no_gcl") for s in (13, 5)]
+    assert rows[0]["module_sequence"] == 1 and rows[2]["module_sequence"] == 0
+    assert [r["applicable"] for r in rows] == [1, 1, 1, 1, 0, 0]
+    assert rows[0]["ndcg@5"] == rows[4]["ndcg@5"] and rows[1]["ndcg@5"] == rows[5]["ndcg@5"]
     assert all(0 <= r["ndcg@5"] <= 1 for r in rows)
+    for r in rows[:4]:
+        alone = experiments.hybrid_ranks(labelled, experiments.variant(r["variant"]), 12, 23, dim=4, seed=r["seed"])
+        assert ranking.ranking_metrics(alone, (5,)).first()["ndcg@5"] == pytest.approx(r["ndcg@5"], abs=1e-12)
+
+
+def md5_signs(dim, *parts):
+    import hashlib
+
+    hexes = [hashlib.md5("|".join(map(str, (*parts, b))).encode()).hexdigest() for b in range((dim + 3) // 4)]
+    return np.array([1 if int(hexes[j // 4][j % 4 * 8 : j % 4 * 8 + 8], 16) % 2 == 0 else -1 for j in range(dim)])
+
+
+def test_projection_matches_plain_sums(spark):
+    layout = encoding.Layout(2, 1, 1)
+    rows = [(1, [0.5, 0.0, 2.0, 3.0]), (2, [0.0, 0.0, 0.0, -1.0]), (3, None), (4, [1.0, 1.0, 1.0, 0.0])]
+    table = spark.createDataFrame(rows, "id bigint, features array<float>")
+    got = {(r["seed"], r["id"]): (r["vector"], r["plain"]) for r in encoding.project(table, layout, 6, (7, 8)).collect()}
+    assert got.keys() == {(s, i) for s in (7, 8) for i in (1, 2, 4)}
+    for (seed, i), (whole, plain) in got.items():
+        f = rows[i - 1][1]
+        sign = lambda token: md5_signs(6, seed, "feature", token) / math.sqrt(6)  # noqa: B023,E731
+        expected = f[0] * sign("0") + f[1] * sign("1") + sign(f"3:{int(f[3])}")
+        assert np.allclose(plain, expected) and np.allclose(whole, expected + f[2] * sign("2"))
+    with pytest.raises(Exception, match="must have 5 entries"):
+        encoding.project(table, encoding.Layout(3, 1, 1), 6, (7,)).collect()
+    assert encoding.project(table.limit(0), layout, 6, (7,)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["no_sequence", "no_text", "no_context", "no_graph"])
+def test_features_and_context_reach_the_scores(spark, labelled, name):
+    """Ranks with projected features and context against plain sums, without a graph."""
+    config = experiments.variant(name, experiments.HybridConfig(graph_mode="none", use_seq_encoder=False, fusion_type="sum"))
+    dim, seed = 4, 9
+    layout = encoding.Layout(1, 1, 0)
+    feature = lambda i, k: [float((i * k) % 5 - 2), float((i + k) % 3)]
+    rows = {r["row_id"]: r for r in labelled.collect()}
+    make = lambda ids, k: experiments.Features(
+        spark.createDataFrame([(i, feature(i, k)) for i in ids], "id bigint, features array<double>"), layout
+    )
+    got = experiments.hybrid_ranks(
+        labelled, config, 12, 23, dim, seed, user_features=make(range(12), 3), item_features=make(range(23), 4), context=make(rows, 5)
+    )
+    got = {r["query_id"]: r["rank"] for r in got.collect()}
+    prior = {}
+    for r in train_rows(labelled):
+        prior[r["item_id"]] = prior.get(r["item_id"], 0) + 1
+
+    def vector(i, k):
+        f = feature(i, k)
+        text = md5_signs(dim, seed, "feature", 1) * f[1] if config.use_text_features else 0
+        return (md5_signs(dim, seed, "feature", 0) * f[0] + text) / math.sqrt(dim)
+
+    assert got
+    catalog = spark.range(23).withColumnRenamed("id", "item_id")
+    for query, rank in got.items():
+        near = vector(query, 5) if config.use_context else 0
+        asked = vector(rows[query]["user_id"], 3) + near
+        score = lambda h, i: round(float(asked @ vector(i, 4)) / math.sqrt(dim) + math.log1p(prior.get(i, 0)), 9)  # noqa: B023,E731
+        mine = labelled.where((F.col("user_id") == rows[query]["user_id"]))
+        if query in sorted(got)[:6]:
+            assert brute_ranks(mine, catalog, score)[query] == rank

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import ast
-import html
+from html.entities import html5, name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankloom.functions.vectors import bound
+
 # White space of Unicode plus the four separator controls.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
@@ -18,17 +20,69 @@ LINK = rf"https?://{NOT_SPACE}+|www\.{NOT_SPACE}+"
 SEPARATOR = " [SEP] "
 LIST_SEPARATORS = (",", ";", "|")
 MARK = "\u0001"
-QUOTED = r"'[^'\\]*'|\"[^\"\\]*\""
+# Quoted text with the escapes that list writers use, and constants that are spelled as they are shown.
+ESCAPED = r"(?:\\[\\'\"nrt]"
+QUOTED = "|".join(rf"{q}[^{q}\\\n\r]*+{ESCAPED}[^{q}\\\n\r]*+)*+{q}" for q in ("'", '"'))
+CONSTANT = "-?[1-9][0-9]*|0|True|False|None"
+
+
+# What a character reference may look like.
+REFERENCE = r"^&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+REPLACED = 0xFFFD
+
+
+def _names(table: dict[str, str]) -> Column:
+    return F.str_to_map(F.lit("\u0002".join(f"{k}\u0001{v}" for k, v in table.items())), F.lit("\u0002"), F.lit("\u0001"))
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; the mark in front keeps U+FEFF itself."""
+    return F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code.cast("long")), 8, "0"))), "UTF-32")
+
 
+def _numeric_reference(ref: Column) -> Column:
+    """Text of ``#…`` as browsers read it: codes 128 to 159 are those of Windows-1252, controls and non-characters vanish."""
+    digits = F.regexp_extract(ref, "^#[xX]?0*([0-9a-fA-F]*)", 1)
+    base16 = ref.rlike("^#[xX]")
+    number = F.when(base16, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long")
+    code = F.when(digits == "", F.lit(0)).when(F.length(digits) > 7, F.lit(0x110000)).otherwise(number)
+    windows = [ord(bytes([i]).decode("cp1252", "ignore") or chr(i)) for i in range(0x80, 0xA0)]
 
-@F.pandas_udf(T.StringType())
-def _unescape(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+    def read(n: Column) -> Column:
+        absent = n.between(1, 8) | (n == 0x0B) | n.between(0x0E, 0x1F) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF)
+        absent = absent | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        moved = F.get(F.array(*[F.lit(w) for w in windows]), (n - 0x80).cast("int"))
+        known = F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit(REPLACED)).when(n.between(0x80, 0x9F), moved).otherwise(n)
+        return F.when((n <= 0x10FFFF) & absent, F.lit("")).otherwise(_character(known))
+
+    return bound(code, read)
+
+
+def _named_reference(ref: Column) -> Column:
+    """Text of a named reference, or of the longest old name in front that needs no semicolon; null if there is none."""
+    old = {k: v for k, v in html5.items() if not k.endswith(";")}
+    common = {f"{k};": html5[f"{k};"] for k in name2codepoint}
+    front = F.regexp_extract(ref, "^(" + "|".join(sorted(old, key=len, reverse=True)) + ")", 1)
+    whole = F.when(ref.endswith(";"), F.coalesce(F.try_element_at(_names(common), ref), F.try_element_at(_names(html5), ref)))
+    rest = F.struct(front.alias("name"), ref.alias("ref"))
+    part = bound(rest, lambda r: F.when(r["name"] != "", F.concat(F.try_element_at(_names(old), r["name"]), F.substr(r["ref"], F.length(r["name"]) + 1))))
+    return F.coalesce(whole, part)
 
 
 def unescape_html(c: Column) -> Column:
-    """Replace HTML entities. Only text that holds ``&`` is sent to Python."""
-    return F.coalesce(_unescape(F.when(c.contains("&"), c)), c)
+    """Replace character references, numeric and named, as browsers do; text without ``&`` stays as it is."""
+
+    # What a lambda needs travels in its argument: arguments of a user's UDF may not hold lambdas that look outside.
+    def replaced(p: Column) -> Column:
+        text = F.when(p["ref"].startswith("#"), _numeric_reference(p["ref"])).otherwise(_named_reference(p["ref"]))
+        whole = F.concat(text, F.substr(p["piece"], F.length(p["ref"]) + 2))
+        return F.when(p["ref"] == "", p["piece"]).otherwise(F.coalesce(whole, p["piece"]))
+
+    def decoded(piece: Column) -> Column:
+        return bound(F.struct(piece.alias("piece"), F.regexp_extract(piece, REFERENCE, 1).alias("ref")), replaced)
+
+    pieces = F.transform(F.split(c, "(?=&)"), decoded)
+    return F.when(c.contains("&"), F.array_join(pieces, "")).otherwise(c)
 
 
 def missing(c: Column, data_type: T.DataType | None = None) -> Column:
@@ -85,23 +139,33 @@ def _parse_literal(text: str) -> list[str] | None:
     return [str(item) for item in parsed] if isinstance(parsed, list | tuple | set) else None
 
 
+def _shown(item: Column) -> Column:
+    inner = F.substring(item, 2, F.length(item) - 2)
+    plain = F.replace(inner, F.lit("\\\\"), F.lit(MARK))
+    for sign, meant in (("'", "'"), ('"', '"'), ("n", "\n"), ("r", "\r"), ("t", "\t")):
+        plain = F.replace(plain, F.lit(f"\\{sign}"), F.lit(meant))
+    plain = F.replace(plain, F.lit(MARK), F.lit("\\"))
+    return F.when(~item.rlike("^['\"]"), item).when(inner.contains("\\"), plain).otherwise(inner)
+
+
 def literal_list(c: Column) -> Column:
     """Items of a list written as text, or null if the text is no list literal.
 
-    Flat lists of plainly quoted strings are read by expressions; any other text
-    in brackets goes to Python's literal parser.
+    Flat lists of quoted strings, whole numbers and constants are read by expressions; any other text
+    in brackets (nested lists, fractions, rare escapes) goes to Python's literal parser.
     """
     text = strip(c)
     bracketed = text.startswith("[") & text.endswith("]")
-    skeleton = F.regexp_replace(F.regexp_replace(text, QUOTED, MARK), SPACE, "")
+    skeleton = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, QUOTED, MARK), CONSTANT, MARK), SPACE, "")
     plain = (
-        skeleton.rlike(rf"^\[[,{MARK}]*\]$")
+        ~text.contains(MARK)
+        & skeleton.rlike(rf"^\[[,{MARK}]*\]$")
         & ~skeleton.contains(MARK + MARK)
         & ~skeleton.contains(",,")
         & ~skeleton.contains("[,")
     )
-    quoted = F.regexp_extract_all(text, F.lit(f"({QUOTED})"), 1)
-    by_rule = F.transform(quoted, lambda q: F.substring(q, 2, F.length(q) - 2))
+    written = F.regexp_extract_all(text, F.lit(f"({QUOTED}|{CONSTANT})"), 1)
+    by_rule = F.transform(written, _shown)
     by_parser = _literal_items(F.when(bracketed & ~plain, text))
     return F.when(bracketed, F.when(plain, by_rule).otherwise(by_parser))
 

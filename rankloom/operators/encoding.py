@@ -34,7 +34,6 @@ KIND_OF_ROLE = {"num": "numeric", "bin": "categorical", "cat": "categorical", "t
 FEATURE_TYPES = tuple(dict.fromkeys(KIND_OF_ROLE.values()))
 # Asked for in published settings, but no feature here.
 NO_FEATURE = "time"
-LITERAL_VOCABULARY = 4096
 
 
 def feature_types(names) -> tuple[str, ...]:
@@ -122,31 +121,41 @@ def fit_vocabulary(df: DataFrame, columns: list[str]) -> DataFrame:
     return _codes(lists.select("column", F.explode("tokens").alias("value")))
 
 
-def encode_lists(df: DataFrame, columns: list[str], vocabulary: DataFrame, key: str) -> DataFrame:
-    """Add ``list__<column>``: a 0/1 vector over the sorted vocabulary.
+def encode_lists(df: DataFrame, columns: list[str], vocabulary: DataFrame) -> DataFrame:
+    """Add ``list__<column>``: the sorted codes of a row's tokens; tokens outside the vocabulary count for nothing.
 
-    A vocabulary up to ``LITERAL_VOCABULARY`` tokens is checked and written into
-    the expression; a larger one is joined token by token.
+    One join on (column, token) serves all columns. Rows with the same tokens in every column are looked up once, by what they
+    hold and not by a key, which may repeat or be null. ``dense_list`` gives the 0/1 vector.
     """
-    sizes = {r["column"]: r["n"] for r in vocabulary.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    for c in columns:
-        name, size, tokens = f"list__{c}", sizes.get(c, 0), tokens_of(df, c)
-        words = vocabulary.where(F.col("column") == c)
-        if size <= LITERAL_VOCABULARY:
-            listed = [r["value"] for r in words.orderBy("code").collect()]
-            flags = F.array(*[F.array_contains(F.col("_t"), w).cast("float") for w in listed]).cast("array<float>")
-            df = df.withColumn("_t", tokens).withColumn(name, flags).drop("_t")
-            continue
-        # By what a row holds, not by its key: keys may repeat or be null.
-        df = df.withColumn("_set", F.array_sort(F.array_distinct(tokens)))
-        hits = df.select("_set").distinct().select("_set", F.explode("_set").alias("value"))
-        hits = hits.join(words.select("value", "code"), "value")
-        hits = hits.groupBy("_set").agg(F.collect_list("code").alias("_on"))
-        places = F.sequence(F.lit(0), F.lit(size - 1))
-        on = F.coalesce("_on", F.array().cast("array<int>"))
-        df = df.join(hits, "_set", "left")
-        df = df.withColumn(name, F.transform(places, lambda i: F.array_contains(on, i).cast("float"))).drop("_on", "_set")
-    return df
+    if not columns:
+        return df
+    sets = F.array(*[F.array_sort(F.array_distinct(tokens_of(df, c))) for c in columns])
+    given = df.withColumn("_sets", sets)
+    entries = given.select("_sets").distinct().select("_sets", F.posexplode("_sets").alias("_at", "_set"))
+    named = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("_at") + 1).alias("column")
+    entries = entries.select("_sets", "_at", named, F.explode("_set").alias("value"))
+    found = entries.join(vocabulary.select("column", "value", "code"), ["column", "value"])
+    found = found.groupBy("_sets").agg(F.sort_array(F.collect_list(F.struct("_at", "code"))).alias("_found"))
+    rows = given.join(found, "_sets", "left")
+    held = F.coalesce("_found", F.array().cast("array<struct<_at:int,code:int>>"))
+
+    def codes_at(place: int) -> Column:
+        return F.transform(F.filter(held, lambda h: h["_at"] == place), lambda h: h["code"])
+
+    codes = {f"list__{c}": codes_at(i) for i, c in enumerate(columns)}
+    return rows.withColumns(codes).select(*df.columns, *codes)
+
+
+def dense_list(codes: Column, size: int) -> Column:
+    """The 0/1 vector over a vocabulary of ``size`` tokens, for exports."""
+    if size == 0:
+        return F.array().cast("array<float>")
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains(codes, i).cast("float"))
+
+
+def vocabulary_sizes(vocabulary: DataFrame) -> dict[str, int]:
+    """Tokens per column; one row per column."""
+    return {r["column"]: r["n"] for r in vocabulary.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 # --- text -------------------------------------------------------------------------
@@ -278,6 +287,7 @@ class FeatureEncoder:
     numeric: list = field(default_factory=list)
     codes: DataFrame | None = None
     vocabulary: DataFrame | None = None
+    sizes: dict[str, int] = field(default_factory=dict)
     fitted: bool = False
 
     def fit(self, df: DataFrame) -> "FeatureEncoder":
@@ -289,6 +299,7 @@ class FeatureEncoder:
             self.codes = durable(fit_categories(df, g["categorical"]), "categories")
         if g["list"]:
             self.vocabulary = durable(fit_vocabulary(df, g["list"]), "vocabulary")
+            self.sizes = vocabulary_sizes(self.vocabulary)
         if g["text"] and self.text_encoder is None:
             self.text_encoder = HashedTextEncoder(self.text_dim).fit(self._documents(df))
         self.fitted = True
@@ -298,7 +309,7 @@ class FeatureEncoder:
         return df.withColumn("document", text_document(self.groups["text"], self.max_tokens))
 
     def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-        """Encoded columns ``num__…``, ``list__…``, ``text`` and ``cat__…`` per row."""
+        """Encoded columns ``num__…``, ``list__…``, ``text`` and ``cat__…`` per row; lists are codes until ``vector``."""
         if not self.fitted:
             raise RuntimeError("the encoder is not fitted")
         g, keep = self.groups, keep or [self.key]
@@ -306,7 +317,7 @@ class FeatureEncoder:
         if g["categorical"]:
             out = encode_categories(out, g["categorical"], self.codes)
         if g["list"]:
-            out = encode_lists(out, g["list"], self.vocabulary, self.key)
+            out = encode_lists(out, g["list"], self.vocabulary)
         if g["text"]:
             out = self._documents(out)
             if isinstance(self.text_encoder, HashedTextEncoder):
@@ -328,14 +339,16 @@ class FeatureEncoder:
         """One ``(key, features)`` row per entity: numbers, lists, text, then codes."""
         parts = []
         for c in self.columns():
-            parts.append(F.col(c) if c.startswith("list__") or c == "text" else F.array(F.col(c).cast("float")))
+            if c.startswith("list__"):
+                parts.append(dense_list(F.col(c), self.sizes.get(c.removeprefix("list__"), 0)))
+            else:
+                parts.append(F.col(c) if c == "text" else F.array(F.col(c).cast("float")))
         empty = F.array().cast("array<float>")
         return encoded.select(self.key, F.concat(empty, *parts).cast("array<float>").alias("features"))
 
     def layout(self) -> "Layout":
-        tokens = 0 if self.vocabulary is None else self.vocabulary.count()
         g = self.groups
-        return Layout(len(g["numeric"]) + tokens, self.text_dim if g["text"] else 0, len(g["categorical"]))
+        return Layout(len(g["numeric"]) + sum(self.sizes.values()), self.text_dim if g["text"] else 0, len(g["categorical"]))
 
     def metadata(self, group: str, spark) -> DataFrame:
         """Rows ``(grp, column, kind, cardinality)`` that describe the feature vector.

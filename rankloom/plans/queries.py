@@ -498,9 +498,10 @@ def category_cardinalities(spark, d):
 
 def encode_lists(spark, d):
     df = parts(spark, d)
-    words = encoding.fit_vocabulary(df, ["words"])
-    coded = encoding.encode_lists(df, ["words"], durable(words, "words"), "p_partkey")
-    bits = F.array_join(F.transform("list__words", lambda x: x.cast("int").cast("string")), "")
+    words = durable(encoding.fit_vocabulary(df, ["words"]), "words")
+    coded = encoding.encode_lists(df, ["words"], words)
+    flags = encoding.dense_list(F.col("list__words"), encoding.vocabulary_sizes(words).get("words", 0))
+    bits = F.array_join(F.transform(flags, lambda x: x.cast("int").cast("string")), "")
     return coded.select("p_partkey", bits.alias("bits"))
 
 

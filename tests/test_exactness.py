@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom.operators import encoding, negatives, scoring, sequences
 
@@ -55,14 +56,17 @@ def test_array_context(spark):
     assert rows == {3: [0.5, 1.0, 2.0], 4: [None]}
 
 
-def test_lists_of_repeated_and_null_keys(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "a, b"), (1, "c"), (None, "b"), (2, None)], "id long, tags string")
-    vocabulary = encoding.fit_vocabulary(df, ["tags"])
-    few = encoding.encode_lists(df, ["tags"], vocabulary, "id")
-    expected = sorted(map(str, few.collect()))
-    monkeypatch.setattr(encoding, "LITERAL_VOCABULARY", 0)
-    many = encoding.encode_lists(df, ["tags"], vocabulary, "id").select(*few.columns)
-    assert sorted(map(str, many.collect())) == expected
+def test_lists_of_repeated_and_null_keys(spark):
+    df = spark.createDataFrame([(1, "a, b", "x"), (1, "c", None), (None, "b", "y; x"), (2, None, "z")], "id long, tags string, more string")
+    vocabulary = encoding.fit_vocabulary(df.where("more is null or more <> 'z'"), ["tags", "more"])
+    coded = encoding.encode_lists(df, ["tags", "more"], vocabulary)
+    assert coded.columns == [*df.columns, "list__tags", "list__more"]
+    got = sorted((r["tags"] or "", r["list__tags"], r["list__more"]) for r in coded.collect())
+    assert got == [("", [], []), ("a, b", [0, 1], [0]), ("b", [1], [0, 1]), ("c", [2], [])]
+    dense = coded.select("tags", encoding.dense_list(F.col("list__tags"), 3).alias("d")).collect()
+    assert {r["tags"]: r["d"] for r in dense} == {"a, b": [1, 1, 0], "c": [0, 0, 1], "b": [0, 1, 0], None: [0, 0, 0]}
+    assert encoding.encode_lists(df.limit(0), ["tags"], vocabulary).count() == 0
+    assert encoding.vocabulary_sizes(vocabulary) == {"tags": 3, "more": 2}
 
 
 def test_text_ids_of_candidates(spark):

@@ -17,6 +17,8 @@ from rankloom.columns import ITEM, RATING, ROW, TIME, USER
 from rankloom.functions.text import flatten_list_text
 from rankloom.functions.times import academic_year, epoch_seconds
 from rankloom.operators.cleaning import number
+from rankloom.operators.ordering import HOT_ROWS, running_sums
+from rankloom.session import durable
 
 KINDS = ("bin", "num", "cat", "text", "list")
 
@@ -55,7 +57,7 @@ def read_csv(spark: SparkSession, paths, columns: str, ordered: bool = False, mu
     """CSV files with a header as text columns; only the listed columns are kept.
 
     Columns are matched by header name, so files may hold others in any order.
-    ``multiline`` allows line breaks inside quotes; such a file is read by one task, so deal a large one out over several files.
+    ``multiline`` allows line breaks inside quotes; such a file is read by one task; ``read_quoted_csv`` splits it.
     """
     wanted = [n.strip() for n in columns.split(",")]
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
@@ -71,6 +73,36 @@ def read_csv(spark: SparkSession, paths, columns: str, ordered: bool = False, mu
     return out
 
 
+def read_quoted_csv(spark: SparkSession, path: str, columns: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Like an ordered ``read_csv`` with ``multiline``, but many tasks read one file.
+
+    Files are read as lines. A line begins a record if an even number of quotes lies before it in its file, which a running sum over
+    ranges of lines tells; the lines of a record are put together and parsed. So a quote may stand only around a value or, doubled, inside
+    a quoted one, and the header is one line. ``row_id`` is the place of a record's first line. A file without records gives no rows.
+    """
+    wanted = [n.strip() for n in columns.split(",")]
+    names = spark.read.option("header", True).option("escape", '"').csv(path).columns
+    place = ["start", "line"]
+    lines = spark.read.option("lineSep", "\n").text(path).select(file_order().alias("_o"), F.regexp_replace("value", "\r$", "").alias("text"))
+    # Numbers of lines are fixed here, before several jobs read them.
+    lines = durable(lines.select("_o.*", "text"), "csv-lines")
+    order = [F.col(c) for c in place]
+    quotes = F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit("")))
+    counted = running_sums(lines, ["file"], order, {"_quotes": quotes}, hot_rows=hot_rows)
+    begins = (F.pmod(F.col("_quotes") - quotes, F.lit(2)) == 0).cast("long")
+    records = running_sums(counted.withColumn("_begins", begins).drop("_quotes"), ["file"], order, {"_record": F.col("_begins")}, hot_rows=hot_rows)
+    parts = F.sort_array(F.collect_list(F.struct(*place, "text")))
+    whole = records.groupBy("file", "_record").agg(parts.alias("_parts"))
+    text = F.array_join(F.transform("_parts", lambda p: p["text"]), "\n")
+    first = F.col("_parts")[0]
+    rows = whole.where(F.col("_record") > 1).select(
+        text.alias("_text"), F.struct("file", first["start"].alias("start"), first["line"].alias("line")).alias(ROW)
+    )
+    schema = ", ".join(f"_c{i} string" for i in range(len(names)))
+    parsed = rows.where(F.trim("_text") != "").select(F.from_csv("_text", schema, {"escape": '"'}).alias("_r"), ROW)
+    return parsed.select(*[F.col(f"_r._c{names.index(n)}").alias(n) for n in wanted if n in names], ROW)
+
+
 def first_per_id(df: DataFrame, key: str) -> DataFrame:
     """One row per entity: the first in source order, which ``row_id`` keeps."""
     columns = [c for c in df.columns if c != key]
@@ -295,13 +327,8 @@ def class_counts(rows: DataFrame, key: str, column: str, classes: dict[str, str]
 
 def coco(spark: SparkSession, folder: str, limit: int | None = None) -> Bundle:
     """Course reviews with curriculum and instructor statistics per course."""
-    events = read_csv(
-        spark,
-        f"{folder}/evaluate_latest.csv",
-        "learner_id, course_id, learner_rating, learner_timestamp",
-        ordered=True,
-        multiline=True,  # comments may hold line breaks
-    )
+    # Comments may hold line breaks.
+    events = read_quoted_csv(spark, f"{folder}/evaluate_latest.csv", "learner_id, course_id, learner_rating, learner_timestamp")
     events = capped(events, limit).dropna()
     events = events.withColumnsRenamed(
         {"learner_id": USER, "course_id": ITEM, "learner_rating": RATING, "learner_timestamp": TIME}

@@ -229,3 +229,24 @@ def test_stream_enrollments_match_batch(spark, raw, tmp_path):
     put(tmp_path / "in", "user.json", (raw / "mooccubex/entities/user.json").read_text())
     got = ingest.run_available(ingest.stream_enrollments(spark, str(tmp_path / "in")).select("user_id", "item_id", "timestamp"), str(tmp_path / "out"))
     assert sorted((r["user_id"], r["item_id"]) for r in got.collect()) == [("U_1", "C_1"), ("U_1", "C_2"), ("U_1", "C_3"), ("U_3", "C_2")]
+
+
+def test_quoted_csv_is_split(spark, tmp_path):
+    """Many small ranges of a file with line breaks inside quotes give the rows of the one-task reader, in the same order."""
+    rows = [f'{i},"a ""{i}"" b{"" if i % 3 else chr(10) + ", c" + chr(10) * (i % 2)}",{"" if i % 5 else i},"é, {i}"' for i in range(60)]
+    for name, text in (("one.csv", "id,note,n,extra\n" + "\n".join(rows) + "\n\n"), ("two.csv", "id,note,n,extra\r\n7,\"x\r\ny\",,z\r\n"), ("none.csv", "id,note,n,extra\n")):
+        (tmp_path / name).write_bytes(text.encode())
+    whole = datasets.read_csv(spark, [str(tmp_path)], "n, note, id", ordered=True, multiline=True)
+    expected = sorted([(r["row_id"]["file"], r["id"], r["note"], r["n"]) for r in whole.collect()], key=str)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for hot_rows in (10, 1_000_000):
+            got = datasets.read_quoted_csv(spark, str(tmp_path), "n, note, id", hot_rows).collect()
+            assert sorted([(r["row_id"]["file"], r["id"], r["note"], r["n"]) for r in got], key=str) == expected
+            ordered = [int(r["id"]) for r in sorted(got, key=lambda r: r["row_id"]) if r["row_id"]["file"] == "one.csv"]
+            assert ordered == list(range(60)) and len({r["row_id"]["start"] for r in got}) > 10
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from rankloom.operators.cleaning import processed_profile
 from rankloom.operators.sequences import positive_history, user_history
-from rankloom.plans import preparation
+from rankloom.plans import experiments, preparation
 from rankloom.plans.preparation import labelled_splits
 from rankloom.sources import artifacts, datasets
 from rankloom.streaming import histories, ingest
@@ -158,6 +159,24 @@ def test_prepare_and_reload(spark, events, tmp_path, explicit):
         artifacts.feature_columns(back["item_features"], "idx", ["a", "b"]).collect()
 
 
+def test_prepared_tables_reach_the_hybrid_scorer(spark, events):
+    done = preparation.prepare(bundle(spark, events, True), seed=7, min_interactions=4, text_dim=8)
+    given = experiments.hybrid_inputs(done)
+    held = {k: next(iter(v.table.select(F.size("features")).distinct().collect()))[0] for k, v in given.items() if isinstance(v, experiments.Features)}
+    assert held and all(given[k].layout.width == n for k, n in held.items())
+    shown = processed_profile(done.interactions, done.user_ids, done.item_ids, done.metadata)
+    row = shown.first()
+    assert (row["num_users"], row["num_items"]) == (given["num_users"], given["num_items"])
+    assert row["num_item_feats"] == held["item_features"] and row["num_item_text"] == given["item_features"].layout.text
+    data = experiments.availability(shown, done.rows)
+    assert data.item_features == held["item_features"] and data.history
+    assert data.context == (given["context"].layout.width if given["context"] else 0)
+    table = experiments.run_variants(**given, names=("full", "no_text", "no_features"), seeds=(3,), top_ks=(5,), dim=8).collect()
+    assert [r["variant"] for r in table] == ["full", "no_text", "no_features"]
+    assert [r["applicable"] for r in table] == [int(experiments.applicable(r["variant"], data)) for r in table]
+    assert all(0 <= r["ndcg@5"] <= 1 for r in table) and table[2]["module_item_features"] == 0
+
+
 def test_prepare_from_files(spark, raw):
     done = preparation.prepare(load(spark, raw, "explicit_mars"), min_interactions=1, text_dim=4)
     assert done.interactions.count() == 2  # one latest event per pair and language

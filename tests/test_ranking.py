@@ -533,3 +533,25 @@ def test_features_and_context_reach_the_scores(spark, labelled, name):
         mine = labelled.where((F.col("user_id") == rows[query]["user_id"]))
         if query in sorted(got)[:6]:
             assert brute_ranks(mine, catalog, score)[query] == rank
+
+
+def plan_of(df) -> str:
+    """The physical plan before any adaptive step."""
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_cells_of_whole_blocks_are_not_shuffled_again(spark):
+    pairs = spark.createDataFrame([(u, (u * 3 + k) % 11) for u in range(20) for k in range(4)], "user_id bigint, item_id bigint")
+    whole = models.cooccurrence(pairs)
+    assert "HashAggregate" not in plan_of(whole).split("MapInPandas")[0]
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, models.cooccurrence(pairs, block=2, users_per_salt=3).collect()))
+
+
+def test_tables_of_users_and_queries_are_not_sent_whole(spark, labelled, items):
+    pairs = labelled.select("user_id", "item_id").distinct()
+    met = models._met(pairs, models.counted_index(pairs), 4, 1000, 64, 23)
+    assert "BroadcastHashJoin [user_id" not in plan_of(met)
+    queries = models.queries_of(labelled)
+    scores = queries.select("query_id", F.lit(1).cast("long").alias("item_id"), F.lit(1.0).alias("score"))
+    ranks = ranking.target_ranks(scores, queries, catalog_index(items, "item_id"))
+    assert "BroadcastHashJoin [query_id" not in plan_of(ranks)

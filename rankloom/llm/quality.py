@@ -1,8 +1,9 @@
 """Quality scores by Bradley-Terry pairwise ranking.
 
-Each pair of a good and a bad labelled text is a preference. A linear score over features of the text is fitted by logistic
+Each pair of a good and a bad labelled text is a preference. Every labelled text takes part, in pairs with the texts of the
+other class in its group, a bounded part of the table by a hash of the id. A linear score over features of the text is fitted by logistic
 loss on the feature differences, so only the order of scores is learned; the cut between good and bad is then put at the
-quantile of the training scores that the share of bad labels names.
+quantile of the scores of all labelled texts that the share of bad labels names. Tasks add up the sums of each step; only sums reach the driver.
 """
 
 from __future__ import annotations
@@ -16,10 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import held, pick, share, whole_text
-
-#: Labelled texts of each class that are fitted on, and preference pairs drawn from them. This bounds the driver's work.
-SAMPLE = 4000
-PAIRS = 40_000
+from rankloom.session import durable
+
+#: Labelled texts of a group, about, inside which every good text is compared with every bad one; texts of the rarer class in it.
+GROUP = 128
+RARE = 16
+#: Bins that a cut is searched in at once, and passes; what is left is less than a 10^9th of the range.
+BINS = 4096
+PASSES = 3
+#: Tasks of a step of the fit at most: each sends its sums to the driver.
+TASKS = 64
 RIDGE = 1e-2
 #: Score at the cut.
 CUT = 0.3
@@ -70,77 +77,140 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
-def fit_pairs(differences: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
-    """Weights with the least mean log(1 + exp(-difference @ weight)) + ridge / 2 * |weight|², by Newton steps."""
-    n, d = differences.shape
-    weight = np.zeros(d)
+def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """Feature rows of each group, good ones first, how many are good, and which rows are texts of this group, not copies."""
+    for batch in batches:
+        for good, own, x in zip(batch["good"], batch["own"], batch["x"]):
+            mine = np.frombuffer(own, bool)
+            yield np.frombuffer(x, np.float32).reshape(len(mine), -1).astype(np.float64), good, mine
+
+
+def summed(groups: DataFrame, sums) -> np.ndarray:
+    """The sum of ``sums`` (a vector for a matrix of rows, its good rows, its own rows) over all groups; each task sends one vector."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for one in matrices(batches):
+            part = sums(*one)
+            total = part if total is None else total + part
+        yield pd.DataFrame({"sums": [] if total is None else [total.tobytes()]})
+
+    tasks = min(groups.sparkSession.sparkContext.defaultParallelism, TASKS)
+    found = groups.coalesce(tasks).mapInPandas(run, "sums binary").collect()
+    return np.sum([np.frombuffer(r.sums) for r in found], axis=0)
+
+
+def moments(x: np.ndarray, _good: int, own: np.ndarray) -> np.ndarray:
+    return np.concatenate([[own.sum()], x[own].sum(0), (x[own] ** 2).sum(0)])
+
 
-    def loss(w: np.ndarray) -> float:
-        return np.logaddexp(0, -differences @ w).mean() + ridge / 2 * (w @ w)
+def fit_pairs(groups: DataFrame, scale: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """Weights with the least mean log(1 + exp(-difference @ weight)) + ridge / 2 * |weight|² over the pairs of all groups, by Newton steps."""
+    d = len(scale)
 
-    now = loss(weight)
+    def step_at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def sums(x: np.ndarray, good: int, _own: np.ndarray) -> np.ndarray:
+            x = x / scale
+            z, a, b = x @ w, x[:good], x[good:]
+            z = z[:good, None] - z[None, good:]
+            p = 1 / (1 + np.exp(np.clip(z, -700, 700)))
+            bend = p * (1 - p)
+            across = a.T @ bend @ b
+            whole = (a * bend.sum(1)[:, None]).T @ a + (b * bend.sum(0)[:, None]).T @ b - across - across.T
+            return np.concatenate([[z.size, np.logaddexp(0, -z).sum()], a.T @ p.sum(1) - b.T @ p.sum(0), whole.ravel()])
+
+        n, loss, *_ = total = summed(groups, sums)
+        slope = ridge * w - total[2 : d + 2] / n
+        return loss / n + ridge / 2 * (w @ w), slope, total[d + 2 :].reshape(d, d) / n + ridge * np.eye(d)
+
+    weight = np.zeros(d)
+    now, slope, bend = step_at(weight)
     for _ in range(50):
-        p = 1 / (1 + np.exp(np.clip(differences @ weight, -700, 700)))
-        slope = ridge * weight - differences.T @ p / n
-        bend = (differences * (p * (1 - p))[:, None]).T @ differences / n + ridge * np.eye(d)
         step, size = np.linalg.solve(bend, slope), 1.0
-        while (new := loss(weight - size * step)) > now and size > 1e-6:
+        while (new := step_at(weight - size * step))[0] > now and size > 1e-6:
             size /= 2
-        if now - new < 1e-10:
+        if now - new[0] < 1e-10:
             break
-        weight, now = weight - size * step, new
+        weight, (now, slope, bend) = weight - size * step, new
     return weight
 
 
-def fit(good: np.ndarray, bad: np.ndarray, share_bad: float, pairs: int = PAIRS, seed: int = 7) -> Model:
-    """Model from the features of good and bad texts; ``share_bad`` of all labelled texts are bad."""
-    every = np.concatenate([good, bad])
-    mean, scale = every.mean(0), every.std(0)
-    scale[scale < 1e-9] = 1.0
-    model = Model(mean, scale, np.zeros(every.shape[1]), 0.0)
-    draw = np.random.default_rng(seed)
-    i, j = draw.integers(0, len(good), pairs), draw.integers(0, len(bad), pairs)
-    model.weight = fit_pairs((good[i] - bad[j]) / scale)
-    # Weighted quantile: both samples stand for their whole class.
-    raw = np.concatenate([model.raw(good), model.raw(bad)])
-    mass = np.concatenate([np.full(len(good), (1 - share_bad) / len(good)), np.full(len(bad), share_bad / len(bad))])
-    order = np.argsort(raw, kind="stable")
-    at = int(np.searchsorted(np.cumsum(mass[order]), share_bad))
-    pair = raw[order][[min(at, len(raw) - 1), min(at + 1, len(raw) - 1)]]
-    model.cut = float(pair.mean())
-    return model
+def cut_at(scores: DataFrame, below: int) -> float:
+    """Half way between the ``below``-th least value of ``raw`` and the next greater one, found by counts in ever finer bins."""
+    raw = F.col("raw")
+    low, high = scores.agg(F.min("raw"), F.max("raw")).first()
+    high = float(np.nextafter(high, np.inf))
+    for _ in range(PASSES):
+        width = (high - low) / BINS
+        if low + width / BINS == low or high - width / BINS == high:
+            break
+        place = F.floor((raw - F.lit(low)) / F.lit(width))
+        counts = np.zeros(BINS + 1, np.int64)
+        for row in scores.where(raw < high).groupBy(F.greatest(F.lit(-1), F.least(place, F.lit(BINS - 1))).alias("bin")).count().collect():
+            counts[row["bin"] + 1] = row["count"]
+        at = int(np.searchsorted(np.cumsum(counts), below)) - 1
+        # One bin more on each side, against the rounding of the edges.
+        low, high = max(low, low + (at - 1) * width), min(high, low + (at + 2) * width)
+    rank = scores.where(raw < low).count()
+    for value, n in scores.where((raw >= low) & (raw < high)).groupBy("raw").count().orderBy("raw").collect():
+        rank += n
+        if rank >= below:
+            break
+    after = scores.where(raw > value).agg(F.min("raw")).first()[0]
+    return value if after is None else (value + after) / 2
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit on at most ``sample`` texts of each class, chosen by a hash of the id from all labelled rows.
+def train(docs: DataFrame, labels: DataFrame, group: int = GROUP, rare: int = RARE) -> Model | None:
+    """Fit on all labelled texts.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and quality (0 or 1). Null ids and labels and ids with both labels teach
-    nothing. Without texts of both classes there is no model.
+    nothing. Without texts of both classes there is no model. Texts of the rarer class are copied to as many groups as
+    it takes to give each about ``rare`` of them.
     """
     marks = (
         pick(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)")
         .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     )
-    plain = pick(docs, "doc_id", "text").where("doc_id is not null")
-    known = marks.join(plain.select("doc_id").distinct(), "doc_id")
-    total = {int(q): n for q, n in known.groupBy("quality").count().collect()}
+    plain = pick(docs, "doc_id", "text")
+    total = {int(q): n for q, n in plain.select("doc_id").join(marks, "doc_id").groupBy("quality").count().collect()}
     if len(total) < 2:
         return None
-    chosen = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
-    # At most 2 x sample rows.
-    rows = plain.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    fewer = min(total, key=lambda q: (total[q], q))
+    n_groups = -(-sum(total.values()) // group)
+    copies = min(n_groups, max(1, -(-rare * n_groups // total[fewer])))
+    kind = plain.schema["doc_id"].dataType.simpleString()
 
-    def compute(batches):
+    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = class_table()
         for batch in batches:
-            if len(batch):
-                yield pd.DataFrame({"quality": batch["quality"], "x": [features(t, table).tobytes() for t in batch["text"].fillna("")]})
-
-    found = rows.select("quality", whole_text().alias("text")).mapInPandas(compute, "quality int, x binary").toPandas()
-    x = np.stack([np.frombuffer(b) for b in found["x"]])
-    order = np.lexsort((*x.T[::-1], found["quality"]))
-    x, quality = x[order], found["quality"].to_numpy()[order]
-    return fit(x[quality == 1], x[quality == 0], total[0] / (total[0] + total[1]))
+            x = [features(t, table).astype(np.float32).tobytes() for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": x})
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["g", "quality", "doc_id", "x"], ascending=[True, False, True, True], kind="stable")
+        out = [(int(r["quality"].sum()), r["own"].to_numpy(bool).tobytes(), b"".join(r["x"])) for _, r in rows.groupby("g")]
+        return pd.DataFrame(out, columns=["good", "own", "x"])
+
+    known = plain.join(marks, "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), whole_text().alias("text"))
+    known = known.mapInPandas(compute, f"doc_id {kind}, quality int, x binary")
+    turns = F.when(F.col("quality") == fewer, copies).otherwise(1)
+    known = known.select("*", F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"))
+    place = F.pmod(F.xxhash64("doc_id") + F.col("turn") * (n_groups // copies), F.lit(n_groups)).alias("g")
+    known = known.select("doc_id", "quality", "x", place, (F.col("turn") == 0).alias("own"))
+    groups = durable(known.groupBy("g").applyInPandas(packed, "good int, own binary, x binary"), "quality_groups")
+
+    n, *rest = summed(groups, moments)
+    mean, square = np.split(np.array(rest) / n, 2)
+    scale = np.sqrt(np.maximum(square - mean * mean, 0))
+    scale[scale < 1e-6] = 1.0
+    model = Model(mean, scale, fit_pairs(groups, scale), 0.0)
+
+    def raw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x, _, own in matrices(batches):
+            yield pd.DataFrame({"raw": model.raw(x[own])})
+
+    model.cut = cut_at(durable(groups.mapInPandas(raw, "raw double"), "quality_scores"), total[0])
+    return model
 
 
 def scorer(docs: DataFrame, model: Model | None) -> Column:

@@ -341,3 +341,22 @@ def test_quality_ranks_held_out_texts(spark):
     assert np.mean([rows[i].predicted == int(i < 60) for i in range(0, 120, 2)]) > 0.9
     assert quality.train(table, labels.where("quality = 1")) is None
     assert {r.score for r in quality.rate(table, None).collect()} == {0.5}
+
+
+def test_quality_learns_from_every_labelled_text(spark):
+    # More than 4,000 texts of each class.
+    rows = [(i, ("a b " * (i % 7 + 1) + f"w{i} ") * 3 if i % 2 else f"{i}#" * 9) for i in range(8400)]
+    labels = [(i, i % 2, 0) for i in range(8400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model, table_of = quality.train(table, marks), quality.class_table()
+    x = np.stack([quality.features(t, table_of) for _, t in rows]).astype(np.float32).astype(float)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.where(x.std(0) < 1e-6, 1, x.std(0)), atol=1e-6)
+    raw = np.sort(model.raw(x))
+    assert model.cut == pytest.approx(raw[4199:4201].mean())
+    draw = np.random.default_rng(3).normal(size=999).round(2).tolist()
+    for below in (1, 400, 999):
+        # Values are repeated; what lies below the cut is the least one and its like.
+        ranked = sorted(draw)
+        over = [v for v in ranked if v > ranked[below - 1]][:1]
+        assert quality.cut_at(spark.createDataFrame([(v,) for v in draw], "raw double"), below) == pytest.approx(np.mean([ranked[below - 1], *over]))

@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, group: int = GROUP, rare: int = RA
         pick(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)")
         .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     )
-    plain = pick(docs, "doc_id", "text")
+    plain = pick(docs, "doc_id", "text").where("doc_id is not null")
     total = {int(q): n for q, n in plain.select("doc_id").join(marks, "doc_id").groupBy("quality").count().collect()}
     if len(total) < 2:
         return None
@@ -184,15 +184,16 @@ def train(docs: DataFrame, labels: DataFrame, group: int = GROUP, rare: int = RA
         table = class_table()
         for batch in batches:
             x = [features(t, table).astype(np.float32).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": x})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "x": x})
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["g", "quality", "doc_id", "x"], ascending=[True, False, True, True], kind="stable")
         out = [(int(r["quality"].sum()), r["own"].to_numpy(bool).tobytes(), b"".join(r["x"])) for _, r in rows.groupby("g")]
         return pd.DataFrame(out, columns=["good", "own", "x"])
 
-    known = plain.join(marks, "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), whole_text().alias("text"))
-    known = known.mapInPandas(compute, f"doc_id {kind}, quality int, x binary")
+    # Features meet the labels, so no text is shuffled.
+    scanned = plain.select("doc_id", whole_text().alias("text")).mapInPandas(compute, f"doc_id {kind}, x binary")
+    known = scanned.join(marks.hint("merge"), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "x")
     turns = F.when(F.col("quality") == fewer, copies).otherwise(1)
     known = known.select("*", F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"))
     place = F.pmod(F.xxhash64("doc_id") + F.col("turn") * (n_groups // copies), F.lit(n_groups)).alias("g")

@@ -329,6 +329,40 @@ def test_blocks_of_short_vectors_are_passed_over():
         assert set(ids[np.argsort(-scores[q])[:10]]) <= set(names[rows == q])
 
 
+def test_zero_vectors_are_ranked_by_bias_without_scores(monkeypatch):
+    rng = np.random.default_rng(9)
+    ids, bias = np.arange(300) * 2, rng.integers(0, 5, 300).astype(float)
+    matrix = rng.normal(size=(300, 8))
+    targets = rng.choice([*ids, 601], 50)
+    histories = [rng.choice([*ids, 7], 12).tolist() for _ in range(50)]
+    score = dict(zip(ids.tolist(), bias))
+    part = pd.DataFrame({"query_id": range(50), "vector": list(np.zeros((50, 8))), "target_item_id": targets, "history": histories})
+    part["target_score"] = [score.get(t, -np.inf) for t in targets.tolist()]
+    blocks = scoring._pruned_blocks(ids, matrix, bias, 64)
+    expected = [
+        sum((-b, i) < (-own, t) for i, b in score.items() if i != t and i not in h)
+        for t, own, h in zip(targets.tolist(), part["target_score"], histories)
+    ]
+    monkeypatch.setattr(scoring, "_products", lambda *a: pytest.fail("a score was computed"))
+    got = pd.concat(scoring._count_step(part, blocks, 0, 1.0))
+    assert got["above"].tolist() == expected
+
+
+def test_ties_leave_k_cells_a_query():
+    rng = np.random.default_rng(10)
+    matrix = np.repeat(rng.normal(size=(3, 8)), 400, axis=0)
+    ids, asked = rng.permutation(1200), rng.normal(size=(20, 8))
+    order = np.argsort(ids)
+    blocks = scoring._pruned_blocks(ids[order], matrix[order], np.zeros(1200), 100)
+    part = pd.DataFrame({"query_id": range(20), "vector": list(asked)})
+    kth, found, _ = scoring.pruned_top_k(part, blocks, 10, 1.0, np.full(20, 1e-9))
+    rows, names = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    assert len(rows) == 200
+    kind = (asked @ matrix[::400].T).argmax(1)
+    for q in range(20):
+        assert sorted(names[rows == q]) == sorted(ids[kind[q] * 400 : kind[q] * 400 + 400])[:10]
+
+
 def test_search_keeps_the_best_trial(labelled, items):
     trials = experiments.search(labelled, items, "item-knn", {"n_neighbors": [1, 4]}, "ndcg@5")
     rows = trials.collect()

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -189,6 +190,21 @@ def test_large_group_of_near_copies(spark, monkeypatch):
         assert sorted(r.doc_id for r in near_copies.one_of_each(table, block).collect()) == sorted(set(label))
 
 
+def test_fingerprints_bring_sets_together(spark):
+    """Without a common key only covering SimHash finds the copy; the exact share still decides."""
+    draw = random.Random(31)
+    base = words(draw, 2000).split()
+    for k in range(2000):
+        changed = [*base[:k], "zz", *base[k + 1 :]]
+        if 0 < (simhash.fingerprint(" ".join(base)) ^ simhash.fingerprint(" ".join(changed))).bit_count() <= 3:
+            break
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(changed)), (3, words(draw, 2000)), (4, None)], DOCS)
+    rows = near_copies.signed(docs).withColumn("bands", F.transform("bands", lambda b: F.xxhash64(b, "doc_id")))
+    keys = {r["doc_id"]: r["key"] for r in rows.collect()}
+    root = {r["id"]: r["root"] for r in near_copies.roots(docs, rows).collect()}
+    assert set(root) == {keys[1], keys[2]} and len(set(root.values())) == 1
+
+
 def brute_dedup(rows, width):
     data = [(i, (t or "").encode()) for i, t in rows]
     seen = collections.Counter(b[s : s + width] for _, b in data for s in range(len(b) - width + 1))
@@ -284,3 +300,15 @@ def test_pipeline_stages(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_memory_of_a_shard():
+    draw = np.random.default_rng(32)
+    base = bytes(draw.integers(97, 123, 20_000).astype(np.uint8))
+    pieces = [base[a : a + 430] for a in draw.integers(0, 19_000, 1000).tolist()]
+    tracemalloc.start()
+    try:
+        suffix.shard_windows(pieces, np.full(1000, 31), np.ones(1000, np.int64), 400)
+        assert tracemalloc.get_traced_memory()[1] < 70 * sum(map(len, pieces))
+    finally:
+        tracemalloc.stop()

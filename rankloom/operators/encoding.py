@@ -5,9 +5,13 @@ Fitted state is small tables and numbers; applying it is projections and joins.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +26,7 @@ from rankloom.columns import (
     UNDEFINED,
     USER,
 )
-from rankloom.functions.hashing import digest, digest_number, draw
+from rankloom.functions.hashing import digest, digest_number
 from rankloom.functions.text import category, text_document, tokens_of
 from rankloom.functions.vectors import l2_normalize
 from rankloom.operators.cleaning import number
@@ -161,6 +165,36 @@ def vocabulary_sizes(vocabulary: DataFrame) -> dict[str, int]:
 # --- text -------------------------------------------------------------------------
 
 
+COUNTS = "_counts"
+#: Words whose dimension a task remembers.
+HELD_WORDS = 1 << 18
+
+
+def word_counts(dim: int):
+    """Words of a text by dimension, as a function of a column. A word is hashed once while a task remembers it."""
+
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        places: dict[str, int] = {}
+        for batch in batches:
+            out = []
+            for text in batch:
+                counts = [0] * dim
+                for word, n in Counter(text.split(" ")).items():
+                    place = places.get(word)
+                    if place is None and word:
+                        if len(places) >= HELD_WORDS:
+                            places.clear()
+                        digest = hashlib.md5(word.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
+                        place = places[word] = int(digest[:8], 16) % dim
+                    if word:
+                        counts[place] += n
+                out.append(counts)
+            yield pd.Series(out)
+
+    return run
+
+
 @dataclass
 class HashedTextEncoder:
     """Unit vectors from hashed word counts weighted by inverse document frequency.
@@ -172,12 +206,15 @@ class HashedTextEncoder:
     dim: int = TEXT_DIM
     weights: list[float] | None = None
 
-    def _dimensions(self) -> Column:
-        words = F.filter(F.split(F.coalesce("document", F.lit("")), " "), lambda w: w != "")
-        return F.transform(words, lambda w: draw(self.dim, w).cast("int"))
+    def counted(self, documents: DataFrame) -> DataFrame:
+        """``documents`` with the number of words of each dimension; written once, they serve the fit and the vectors."""
+        if COUNTS in documents.columns:
+            return documents
+        return documents.withColumn(COUNTS, word_counts(self.dim)(F.coalesce("document", F.lit(""))))
 
     def fit(self, documents: DataFrame) -> "HashedTextEncoder":
-        held = documents.select(F.array_distinct(self._dimensions()).alias("_d"))
+        places = F.sequence(F.lit(0), F.lit(self.dim - 1))
+        held = self.counted(documents).select(F.filter(places, lambda i: F.get(COUNTS, i) > 0).alias("_d"))
         # At most ``dim`` counts, and that of the documents.
         counts = held.select(F.explode(F.concat("_d", F.array(F.lit(-1)))).alias("d")).groupBy("d").count().collect()
         found = {r["d"]: r["count"] for r in counts}
@@ -186,17 +223,10 @@ class HashedTextEncoder:
         return self
 
     def transform(self, documents: DataFrame, name: str = "text") -> DataFrame:
-        from pyspark.ml.feature import CountVectorizerModel
-        from pyspark.ml.functions import vector_to_array
-
         if self.weights is None:
             raise RuntimeError("the text encoder is not fitted")
-        # The library only counts: its words are the dimensions' numbers.
-        counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(self.dim)], inputCol="_d", outputCol="_n", minTF=1.0)
-        rows = documents.withColumn("_d", F.transform(self._dimensions(), lambda d: d.cast("string")))
-        counted = counter.transform(rows).withColumn("_n", vector_to_array("_n"))
-        weighted = F.zip_with("_n", F.lit(self.weights), lambda n, w: n * w)
-        return counted.withColumn(name, l2_normalize(weighted).cast("array<float>")).drop("_d", "_n")
+        weighted = F.zip_with(COUNTS, F.lit(self.weights), lambda n, w: n * w)
+        return self.counted(documents).withColumn(name, l2_normalize(weighted).cast("array<float>")).drop(COUNTS)
 
 
 def encode_text(df: DataFrame, encoder, dim: int, name: str = "text") -> DataFrame:

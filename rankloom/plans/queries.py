@@ -521,8 +521,9 @@ def feature_metadata(spark, d):
 
 def text_vectors(spark, d):
     docs = texts(spark, d, "documents").withColumn("document", text_document(["text"]))
-    encoder = encoding.HashedTextEncoder(64).fit(docs)
-    rows = encoder.transform(docs).select("doc_id", F.posexplode("text").alias("dim", "value"))
+    encoder = encoding.HashedTextEncoder(64)
+    docs = durable(encoder.counted(docs).select("doc_id", encoding.COUNTS), "text-counts")
+    rows = encoder.fit(docs).transform(docs).select("doc_id", F.posexplode("text").alias("dim", "value"))
     return rows.where("value <> 0").withColumn("value", F.round(F.col("value").cast("double"), DIGITS))
 
 

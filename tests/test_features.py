@@ -265,3 +265,12 @@ def test_passthrough_rejects_bad_times(spark):
     assert (row["user_id"], row["item_id"], row["rating"], row["timestamp"]) == (0, -1, 0.0, 12)
     with pytest.raises(Exception, match="timestamps"):
         E.encode_passthrough(good.withColumn("timestamp", F.lit("soon")), users, items).collect()
+
+
+def test_counted_texts_are_read_once(spark):
+    docs = spark.createDataFrame([(i, d) for i, d in enumerate(["a b a", "b c", None, ""])], "i int, document string")
+    counted = E.HashedTextEncoder(6).counted(docs).drop("document")
+    got = E.HashedTextEncoder(6).fit(counted).transform(counted).orderBy("i").collect()
+    whole = E.HashedTextEncoder(6).fit(docs).transform(docs).orderBy("i").collect()
+    assert [r["text"] for r in got] == [r["text"] for r in whole]
+    assert sum(counted.orderBy("i").first()[E.COUNTS]) == 3

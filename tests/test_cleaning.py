@@ -151,6 +151,20 @@ def test_kcore_peels_a_long_chain(spark, compact_every):
     assert sorted((r["user_id"], r["item_id"]) for r in kept.collect()) == block
 
 
+def test_kcore_makes_the_rows_once(spark, events):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def watched(item):
+        seen.add(1)
+        return item
+
+    rows = events.withColumn("item_id", watched.asNondeterministic()("item_id"))
+    kept = cleaning.kcore(rows, 4)
+    assert kept.count() == cleaning.kcore(events, 4).count() > 0
+    assert seen.value == events.count()
+
+
 def test_number(spark):
     df = spark.createDataFrame([("1.5",), ("x",), ("NaN",), (None,)], "a string")
     assert [r[0] for r in df.select(cleaning.number(F.col("a"))).collect()] == [1.5, None, None, None]

@@ -589,3 +589,18 @@ def test_tables_of_users_and_queries_are_not_sent_whole(spark, labelled, items):
     scores = queries.select("query_id", F.lit(1).cast("long").alias("item_id"), F.lit(1.0).alias("score"))
     ranks = ranking.target_ranks(scores, queries, catalog_index(items, "item_id"))
     assert "BroadcastHashJoin [query_id" not in plan_of(ranks)
+
+
+def test_settings_with_equal_items_share_history_vectors(labelled, monkeypatch):
+    runs, whole = [], experiments.history_vectors
+
+    def watched(histories, *args, **options):
+        runs.append(histories.select("key.run").distinct().count())
+        return whole(histories, *args, **options)
+
+    monkeypatch.setattr(experiments, "history_vectors", watched)
+    configs = [experiments.variant(v) for v in ("full", "no_item_bias", "no_sequence", "sum_fusion")]
+    ranks = experiments.grid_ranks(labelled, configs, [13, 5], 12, 23, dim=4).collect()
+    assert runs == [4]
+    alone = experiments.hybrid_ranks(labelled, configs[1], 12, 23, dim=4, seed=5).collect()
+    assert {r["query_id"]: r["rank"] for r in ranks if r["run"] == 5} == {r["query_id"]: r["rank"] for r in alone}

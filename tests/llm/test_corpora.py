@@ -205,6 +205,20 @@ def test_fingerprints_bring_sets_together(spark):
     assert set(root) == {keys[1], keys[2]} and len(set(root.values())) == 1
 
 
+def test_one_python_worker_a_task_signs_texts(spark, near):
+    """Two functions in one task take two workers, which live on with what they hold."""
+    signed = near_copies.signed(spark.createDataFrame(near, DOCS))
+    assert signed._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    rows = signed.collect()
+    assert sorted(r["fp"] % (1 << 64) for r in rows) == sorted(brute_fingerprint(t) for _, t in near)
+    tracemalloc.start()
+    try:
+        own = [near_copies.signature(f"{i} is a text") for i in range(500)]
+        assert tracemalloc.get_traced_memory()[0] < 1000 * len(own)
+    finally:
+        tracemalloc.stop()
+
+
 def brute_dedup(rows, width):
     data = [(i, (t or "").encode()) for i, t in rows]
     seen = collections.Counter(b[s : s + width] for _, b in data for s in range(len(b) - width + 1))

@@ -1,9 +1,11 @@
 """Exact top-k inner products by exhaustive term-at-a-time accumulation.
 
-A vector is a sparse row of integer weights, one term for each non-zero component. Candidates are packed into
-blocks; a task turns a block into postings (by term: rows and weights). Each block of queries scatters its weighted postings
-into one dense array of scores, partition selection keeps the k best of every query, and a ranked window merges the
-blocks. Query blocks are dealt to every group of candidate blocks, so each query meets every candidate once.
+A vector is a sparse row of integer weights, one term for each non-zero component. Vectors are dealt to tasks as they are; a
+task packs them into blocks of postings (by term: rows and weights). The queries of a part come first and stay; each block of
+candidates is packed once, scattered block by block of queries into one dense array of scores, and merged with the k best of every
+query so far, so a task holds a bounded chunk of queries, one block of candidates and one array of scores, however many vectors
+it reads. A ranked window merges the parts. Every chunk of queries is dealt to every group of candidates, so each query meets
+every candidate once.
 """
 
 from __future__ import annotations
@@ -16,14 +18,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import pick
+from rankloom.session import durable
 
 SCALE = 1024
-#: Vectors of a packed block; with the components they bound the memory of a task.
-CANDIDATES = 1024
+#: Vectors of a packed block; scores of a pair of blocks fit the cache.
+CANDIDATES = 256
 QUERIES = 256
 #: Non-zero components of a packed block at most, for very long vectors.
 COMPONENTS = 1 << 17
-PACKED = "ids binary, row binary, term binary, weight binary"
+#: Queries that a task holds while candidates pass, and their components.
+HELD = 1 << 15
+HELD_COMPONENTS = 1 << 22
 
 
 def weights(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -34,38 +39,31 @@ def weights(vectors: DataFrame, id_column: str = "vec_id", vector_column: str =
     return plain.where(whole).select("id", F.transform("vector", lambda x: F.floor(x.cast("double") * SCALE)).alias("w"))
 
 
-def pack(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of at most ``size`` vectors (and about COMPONENTS weights) as sparse triples."""
-
-    def blocks(batches):
-        ids, vectors, held = [], [], 0
-        for batch in batches:
-            for i, w in zip(batch["id"], batch["w"]):
-                if ids and (len(ids) == size or held + len(w) > COMPONENTS):
-                    yield packed(ids, vectors)
-                    ids, vectors, held = [], [], 0
-                ids.append(i)
-                vectors.append(np.asarray(w, np.int64))
-                held += len(w)
-        if ids:
-            yield packed(ids, vectors)
-
-    return rows.mapInPandas(blocks, PACKED)
-
-
-def packed(ids: list[int], vectors: list[np.ndarray]) -> pd.DataFrame:
-    length = np.array([len(v) for v in vectors], np.int64)
-    weight = np.concatenate(vectors) if len(vectors) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(ids), dtype=np.int32), length)
+def blocks(ids: list[int], vectors: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, dict]]:
+    """Ids and postings of runs of at most ``size`` vectors (and about COMPONENTS weights), by ascending id."""
+    order = np.argsort(np.asarray(ids, np.int64), kind="stable")
+    first, held = 0, 0
+    for i, at in enumerate(order):
+        if i > first and (i - first == size or held + len(vectors[at]) > COMPONENTS):
+            yield packed(ids, vectors, order[first:i])
+            first, held = i, 0
+        held += len(vectors[at])
+    if len(order):
+        yield packed(ids, vectors, order[first:])
+
+
+def packed(ids: list[int], vectors: list[np.ndarray], order: np.ndarray) -> tuple[np.ndarray, dict]:
+    own = [np.asarray(vectors[at], np.int64) for at in order]
+    length = np.array([len(v) for v in own], np.int64)
+    weight = np.concatenate(own)
+    row = np.repeat(np.arange(len(own), dtype=np.int32), length)
     term = (np.arange(len(weight)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)
     some = weight != 0
-    cells = (np.asarray(ids, np.int64), row[some], term[some], weight[some])
-    return pd.DataFrame([[c.tobytes() for c in cells]], columns=["ids", "row", "term", "weight"])
+    return np.asarray(ids, np.int64)[order], postings(row[some], term[some], weight[some])
 
 
-def postings(row: bytes, term: bytes, weight: bytes) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def postings(rows: np.ndarray, terms: np.ndarray, values: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By term the rows that hold it and their weights."""
-    rows, terms, values = np.frombuffer(row, np.int32), np.frombuffer(term, np.int32), np.frombuffer(weight, np.int64)
     order = np.argsort(terms, kind="stable")
     rows, terms, values = rows[order], terms[order], values[order]
     start = np.flatnonzero(np.diff(terms, prepend=-1))
@@ -75,24 +73,117 @@ def postings(row: bytes, term: bytes, weight: bytes) -> dict[int, tuple[np.ndarr
 def accumulate(queries: dict, n_queries: int, candidates: dict, n_candidates: int) -> np.ndarray:
     """Scores of all queries and candidates, one term after the other."""
     scores = np.zeros((n_queries, n_candidates), np.int64)
+    products = np.empty_like(scores)
     for term, (own, weight) in queries.items():
         if term in candidates:
             rows, values = candidates[term]
-            if len(rows) == n_candidates:
+            if len(own) == n_queries and len(rows) == n_candidates:
+                np.multiply(weight[:, None], values[None, :], out=products)
+                scores += products
+            elif len(rows) == n_candidates:
                 scores[own] += weight[:, None] * values[None, :]
             else:
                 scores[np.ix_(own, rows)] += weight[:, None] * values[None, :]
     return scores
 
 
-def select(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best scores, best first, ties to the smaller id."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= least)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
+class Matches:
+    """The k best candidates so far of one block of queries; an id counts once, with its best row, and never for itself."""
+
+    def __init__(self, ids: np.ndarray, terms: dict, k: int):
+        self.ids, self.terms, self.k = ids, terms, k
+        self.found = np.zeros(len(ids), np.int64)
+        self.best = np.zeros((len(ids), k), np.int64)
+        self.names = np.zeros((len(ids), k), np.int64)
+
+    def meet(self, ids: np.ndarray, terms: dict) -> None:
+        """Merge the scores of a block of candidates of ascending ids."""
+        scores = accumulate(self.terms, len(self.ids), terms, len(ids))
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        if len(first) < len(ids):
+            scores, ids = np.maximum.reduceat(scores, first, axis=1), ids[first]
+        at = np.minimum(np.searchsorted(ids, self.ids), len(ids) - 1)
+        own = np.flatnonzero(ids[at] == self.ids)
+        scores[own, at[own]] = np.iinfo(np.int64).min
+        rows, columns = np.nonzero(scores >= self.least(scores)[:, None])
+        score, name = scores[rows, columns], ids[columns]
+        full = self.found[rows] == self.k
+        new = (name != self.ids[rows]) & (~full | (score > self.best[rows, -1]) | (name < self.names[rows, -1]))
+        if new.any():
+            self.merge(rows[new], name[new], score[new])
+
+    def least(self, scores: np.ndarray) -> np.ndarray:
+        """By query a score that its k best cells reach."""
+        out = np.full(len(scores), np.iinfo(np.int64).min)
+        full = self.found == self.k
+        out[full] = self.best[full, -1]
+        if scores.shape[1] > self.k and not full.all():
+            out[~full] = np.partition(scores[~full], scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
+        return out
+
+    def merge(self, rows: np.ndarray, name: np.ndarray, score: np.ndarray) -> None:
+        touched = np.unique(rows)
+        old, place = np.nonzero(np.arange(self.k) < self.found[touched][:, None])
+        old = touched[old]
+        rows = np.concatenate([old, rows])
+        name, score = np.concatenate([self.names[old, place], name]), np.concatenate([self.best[old, place], score])
+        order = np.lexsort((~score, name, rows))
+        rows, name, score = rows[order], name[order], score[order]
+        once = np.append(True, (rows[1:] != rows[:-1]) | (name[1:] != name[:-1]))
+        rows, name, score = rows[once], name[once], score[once]
+        # The complement of an integer is its order turned round, also for the least one.
+        order = np.lexsort((name, ~score, rows))
+        rows, name, score = rows[order], name[order], score[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        kept = place < self.k
+        rows, place = rows[kept], place[kept]
+        self.names[rows, place], self.best[rows, place] = name[kept], score[kept]
+        self.found[touched] = np.minimum(np.bincount(rows, minlength=len(self.ids)), self.k)[touched]
+
+    def rows(self) -> pd.DataFrame:
+        row, place = np.nonzero(np.arange(self.k) < self.found[:, None])
+        return pd.DataFrame({"query_id": self.ids[row], "vec_id": self.names[row, place], "score": self.best[row, place]})
+
+
+def matched(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """The k best candidates of the queries of each part, from rows (part, candidate, id, w) sorted by part, queries first."""
+    part, held, ids, vectors, asked = None, [], [], [], True
+
+    def pack(whole: bool) -> None:
+        """Blocks of what waits: of queries all, of candidates no less than a block unless nothing follows."""
+        if asked:
+            held.extend(Matches(*block, k) for block in blocks(ids, vectors, QUERIES))
+        elif whole or len(ids) >= CANDIDATES:
+            for block in blocks(ids, vectors, CANDIDATES):
+                for queries in held:
+                    queries.meet(*block)
+        else:
+            return
+        ids.clear()
+        vectors.clear()
+
+    for batch in batches:
+        parts, kinds = batch["part"].to_numpy(), batch["candidate"].to_numpy()
+        change = np.flatnonzero((np.diff(parts) != 0) | (np.diff(kinds) != 0)) + 1
+        for i, j in zip([0, *change], [*change, len(parts)]):
+            if i == j:
+                continue
+            if (parts[i], not kinds[i]) != (part, asked):
+                pack(True)
+                if parts[i] != part:
+                    yield from (queries.rows() for queries in held)
+                    held.clear()
+                part, asked = parts[i], not kinds[i]
+            if asked or held:
+                # Of candidates no more than a block waits, whatever the size of a batch.
+                for at in range(i, j, CANDIDATES):
+                    to = min(j, at + CANDIDATES)
+                    ids.extend(batch["id"].iloc[at:to])
+                    vectors.extend(batch["w"].iloc[at:to])
+                    if not asked:
+                        pack(False)
+    pack(True)
+    yield from (queries.rows() for queries in held)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -106,30 +197,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "v
     spark = vectors.sparkSession
     rows = weights(vectors, id_column, vector_column)
     groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = rows.where(is_query).groupBy("id").agg(F.min("w").alias("w"))
-    queries = pack(own, QUERIES).toDF(*(f"q_{c}" for c in ("ids", "row", "term", "weight")))
-    spread = queries.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    blocks = pack(rows, CANDIDATES).withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for b in batch.itertuples(index=False):
-                query_ids, ids = np.frombuffer(b.q_ids, np.int64), np.frombuffer(b.ids, np.int64)
-                scores = accumulate(postings(b.q_row, b.q_term, b.q_weight), len(query_ids), postings(b.row, b.term, b.weight), len(ids))
-                out = []
-                for i, q in enumerate(query_ids):
-                    other = ids != q
-                    line, name = (scores[i], ids) if other.all() else (scores[i][other], ids[other])
-                    if len(np.unique(name)) < len(name):
-                        order = np.lexsort((-line, name))
-                        line, name = line[order], name[order]
-                        first = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
-                        line, name = line[first], name[first]
-                    best = select(line, name, k)
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": name[best], "score": line[best]}))
-                yield pd.concat(out)
-
-    partial = blocks.join(spread, "g").drop("g").mapInPandas(score, "query_id long, vec_id long, score long")
+    own = durable(rows.where(is_query).groupBy("id").agg(F.min("w").alias("w")), "top-k-queries")
+    n, components = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("w").cast("long")), F.lit(0))).first()
+    chunks = max(1, -(-n // HELD), -(-components // HELD_COMPONENTS))
+    # Part p has the queries of chunk p / groups and the candidates of group p % groups.
+    chunk, group = F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"), F.pmod(F.xxhash64("id", "w"), F.lit(groups)).cast("int")
+    every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    every_chunk = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
+    queries = own.select("*", every_group.alias("g")).select((chunk * groups + F.col("g")).alias("part"), F.lit(False).alias("candidate"), "id", "w")
+    candidates = rows.select("*", every_chunk.alias("c")).select((F.col("c") * groups + group).alias("part"), F.lit(True).alias("candidate"), "id", "w")
+    dealt = queries.unionByName(candidates).repartitionById(chunks * groups, F.col("part")).sortWithinPartitions("part", "candidate")
+    partial = dealt.mapInPandas(lambda batches: matched(batches, k), "query_id long, vec_id long, score long")
     merged = partial.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -280,6 +280,27 @@ def test_top_k(spark):
     assert topk.top_k(table.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_top_k_holds_a_bounded_chunk_of_queries(spark, monkeypatch):
+    for name, size in (("HELD", 7), ("QUERIES", 3), ("CANDIDATES", 5)):
+        monkeypatch.setattr(topk, name, size)
+    draw = np.random.default_rng(9)
+    rows = [(int(i), draw.integers(-2, 3, 4).astype(float).tolist()) for i in draw.integers(0, 50, 120)]
+    top = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 2 == 0, 4)
+    # Blocks of queries and of candidates were joined in rows, many of which an Arrow batch held at once.
+    assert "Join" not in top._jdf.queryExecution().sparkPlan().toString()
+    got = collections.defaultdict(list)
+    for r in top.orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in {i for i, _ in rows if i % 2 == 0}:
+        own = min([int(1024 * x) for x in v] for i, v in rows if i == q)
+        best = collections.defaultdict(lambda: -(1 << 62))
+        for i, v in rows:
+            if i != q:
+                best[i] = max(best[i], sum(a * int(1024 * x) for a, x in zip(own, v)))
+        assert got.pop(q) == sorted(best.items(), key=lambda x: (-x[1], x[0]))[:4]
+    assert not got
+
+
 def test_queries_and_pipeline_run_over_a_whole_table(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{folder}/documents.parquet").count()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,14 +16,18 @@ from rankloom.operators.cleaning import positives
 from rankloom.operators.ids import catalog_index
 from rankloom.operators.ordering import DETECT, HOT_ROWS, resolve_hot, with_positions
 from rankloom.operators.sequences import user_history
-from rankloom.session import durable
+from rankloom.session import durable, shuffles_removed
 
 # Row items whose cells a task adds up at once: from the least to the most, about PAIRS_PER_BLOCK pairs of a user's items.
 KNN_BLOCK = 256
 MOST_BLOCK = 2048
 PAIRS_PER_BLOCK = 1 << 22
-# How many such blocks of a user's items travel in one row.
-WIDE = 64
+# A hot user's items are gathered by runs of the catalog; pieces of hot users that meet in one task.
+RUN_ITEMS = 1 << 16
+STRIPE_PIECES = 16
+# What the rows of a slice of row items may take, in times of the pairs, and in bytes at least.
+SLICE_TIMES = 4
+SLICE_BYTES = 1 << 29
 # Cells up to which a block is a dense table; pairs that are added at once.
 DENSE_CELLS = 1 << 22
 PAIRS_AT_ONCE = 1 << 22
@@ -153,32 +158,102 @@ def _row_blocks(batches: Iterator[pd.DataFrame], block: int, n_items: int, finis
         yield finish(*cells.cells(), counts)
 
 
-def _block_of(pairs: DataFrame, n_items: int) -> int:
+def _loads(pairs: DataFrame) -> tuple[float, int, int]:
+    """Sum of the squares of the users' numbers of items, the largest of the numbers, and their sum."""
+    counts = pairs.groupBy(USER).agg(F.count(F.lit(1)).alias("_n"))
+    square = F.col("_n").cast("double") * F.col("_n")
+    with shuffles_removed(pairs.sparkSession):
+        load, most, total = counts.agg(F.sum(square), F.max("_n"), F.sum("_n")).first()
+    return load or 1.0, most or 0, total or 0
+
+
+def _block_of(load: float, n_items: int) -> int:
     """Row items of a block: the more of them, the fewer times a user's items travel."""
-    load = pairs.groupBy(USER).agg(F.count(F.lit(1)).cast("double").alias("_n")).agg(F.sum(F.col("_n") * F.col("_n"))).first()[0] or 1.0
     return int(min(max(KNN_BLOCK, n_items * PAIRS_PER_BLOCK / load), MOST_BLOCK))
 
 
-def _met(pairs: DataFrame, index: DataFrame, block: int, users_per_salt: int, stripe_blocks: int, n_items: int, counted: bool = True) -> DataFrame:
-    """Rows (block, salt, places, other_places, other_counts): a user's items of one block of row items, next to the user's items.
+def _baskets(pairs: DataFrame, index: DataFrame, piece: int, most: int, n_items: int, counted: bool) -> DataFrame:
+    """Written rows (user, places, counts, hot): the items of a user in ascending order, of hot users (over ``piece`` items) in pieces of at most as many.
 
-    ``index``: ``(item_id, idx, c)``. Blocks with many users are salted by user, and the items of a user are cut into wide
-    blocks, so no row and no task grows with the most popular item or the busiest user. Counts travel only if ``counted``.
-    Tables of users are merged: the small files they come from hide their size, and sent whole they would fill the driver.
+    ``index``: ``(item_id, idx, c)``. The pieces of a hot user are made of runs of the catalog, so no row grows with the busiest user.
     """
     place = F.col("idx").cast("int" if n_items < 1 << 31 else "long").alias("idx")
-    placed = pairs.select(USER, ITEM).distinct().join(index.select(ITEM, place, "c"), ITEM)
-    packed = placed.groupBy(USER, F.floor(F.col("idx") / block).cast("int").alias("block")).agg(F.collect_list("idx").alias("places"))
-    loads = packed.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / users_per_salt).cast("int").alias("salts"))
-    left = packed.join(loads, "block").withColumn("salt", F.pmod(F.xxhash64(USER), F.col("salts")).cast("int"))
-    wide = F.floor(F.col("idx") / (block * WIDE)).cast("int").alias("other")
-    counts = [F.collect_list("c").alias("other_counts")] if counted else []
-    right = placed.groupBy(USER, wide).agg(F.collect_list("idx").alias("other_places"), *counts)
-    # A user's blocks meet in stripes, so one with very many blocks is spread too.
-    stripes = left.groupBy(USER).agg(F.ceil(F.count(F.lit(1)) / stripe_blocks).cast("int").alias("_stripes"))
-    left = left.join(stripes.hint("merge"), USER).withColumn("stripe", F.pmod("block", F.col("_stripes")))
-    right = right.join(stripes.hint("merge"), USER).withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("_stripes") - 1)))
-    return left.join(right.hint("merge"), [USER, "stripe"]).select("block", "salt", "salts", *right.drop(USER, "stripe", "other", "_stripes").columns, "places")
+    pairs = pairs.select(USER, ITEM).where(F.col(USER).isNotNull())
+    placed = pairs.join(index.select(ITEM, place, "c"), ITEM)
+    run = F.lit(0)
+    if most > piece:
+        hot = pairs.groupBy(USER).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > piece).select(USER, F.lit(True).alias("_hot"))
+        placed = placed.join(durable(hot, "hot-users"), USER, "left")
+        run = F.when(F.col("_hot"), F.floor(F.col("idx") / RUN_ITEMS)).otherwise(0)
+    else:
+        placed = placed.withColumn("_hot", F.lit(None).cast("boolean"))
+    entry = F.struct("idx", "c") if counted else F.struct("idx")
+    packed = placed.groupBy(USER, run.alias("_run")).agg(F.sort_array(F.collect_set(entry)).alias("_all"), F.first("_hot").alias("hot"))
+    cuts = F.sequence(F.lit(1), F.size("_all"), F.lit(piece))
+    packed = packed.select(USER, "hot", F.explode(F.transform(cuts, lambda at: F.slice("_all", at, F.lit(piece)))).alias("_all"))
+    counts = [F.col("_all.c").alias("counts")] if counted else []
+    return durable(packed.select(USER, F.col("_all.idx").alias("places"), *counts, F.coalesce("hot", F.lit(False)).alias("hot")), "baskets")
+
+
+def _rows_of(baskets: DataFrame, block: int, most: int, piece: int, counted: bool, slices: int = 1, at: int = 0) -> DataFrame:
+    """Rows (user, block, places, other_places, other_counts): a user's items of one block, next to a piece of the user's items."""
+    columns = ["other_places", "other_counts"][: 1 + counted]
+    own = baskets.select(USER, "hot", F.col("places").alias("_left"), "places", *["counts"][:counted]).toDF(USER, "hot", "_left", *columns)
+    if most > piece:
+        # Pieces of hot users meet each other in stripes; tables of users are merged, since sent whole they would fill the driver.
+        stripes = -(-most // (piece * STRIPE_PIECES))
+        left = baskets.where("hot").select(USER, F.col("places").alias("_left"), F.pmod(F.xxhash64("places"), F.lit(stripes)).alias("_stripe"))
+        right = own.where("hot").select(USER, *columns, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stripes - 1).cast("long"))).alias("_stripe"))
+        met = left.join(right.hint("merge"), [USER, "_stripe"]).select(USER, "_left", *columns)
+        own = own.where("not hot").select(USER, "_left", *columns).unionByName(met)
+    number = lambda x: F.floor(x / block).cast("int")
+    if slices > 1:
+        own = own.withColumn("_left", F.filter("_left", lambda x: F.pmod(number(x), F.lit(slices)) == at))
+    own = own.withColumn("block", F.explode(F.array_distinct(F.transform("_left", number))))
+    return own.select(USER, "block", F.filter("_left", lambda x: number(x) == F.col("block")).alias("places"), *columns)
+
+
+def _salting(rows: DataFrame, loads: DataFrame | None) -> DataFrame:
+    """Rows with the ``salt`` of their user and the ``salts`` of their block."""
+    if loads is None:
+        return rows.withColumns({"salts": F.lit(1), "salt": F.lit(0)})
+    rows = rows.join(loads, "block", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(USER), F.col("salts")).cast("int"))
+
+
+def _slices(load: float, total: int, n_items: int, block: int) -> int:
+    """Slices of row items whose shuffles lie on disk one after the other: each takes a few times the room of the pairs."""
+    blocks = -(-n_items // block)
+    room = 4 * total * min(load / max(total, 1), blocks)
+    return int(min(max(1, -(-room // max(SLICE_TIMES * 4 * total, SLICE_BYTES))), max(blocks, 1)))
+
+
+def _met_slices(
+    pairs: DataFrame, index: DataFrame, block: int | None, users_per_salt: int, stripe_blocks: int, n_items: int, counted: bool = True,
+    sliced: bool = False,
+) -> tuple[list[DataFrame], int, bool]:
+    """Slices of rows (block, salt, salts, places, other_places, other_counts), the size of a block, and whether any block is salted.
+
+    Blocks with many users are salted by user, and the items of a user are cut into pieces, so no row and no task grows with the most
+    popular item or the busiest user. Counts travel only if ``counted``. A user's items are gathered once; all slices read them.
+    """
+    load, most, total = _loads(pairs)
+    block = block or _block_of(load, n_items)
+    piece = stripe_blocks * min(block, KNN_BLOCK)
+    baskets = _baskets(pairs, index, piece, most, n_items, counted)
+    loads = None
+    if _salted(index, block, users_per_salt):
+        users = baskets.select(F.explode(F.array_distinct(F.transform("places", lambda x: F.floor(x / block).cast("int")))).alias("block"))
+        loads = users.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / users_per_salt).cast("int").alias("salts")).where("salts > 1")
+        loads = durable(loads, "salts")
+        loads = None if loads.isEmpty() else loads
+    slices = _slices(load, total, n_items, block) if sliced else 1
+    rows = [_salting(_rows_of(baskets, block, most, piece, counted, slices, at), loads).drop(USER) for at in range(slices)]
+    return rows, block, loads is not None
+
+
+def _met(pairs: DataFrame, index: DataFrame, block: int, users_per_salt: int, stripe_blocks: int, n_items: int, counted: bool = True) -> DataFrame:
+    return _met_slices(pairs, index, block, users_per_salt, stripe_blocks, n_items, counted)[0][0]
 
 
 def _per_block(met: DataFrame, block: int, n_items: int, finish, schema: str) -> DataFrame:
@@ -204,22 +279,26 @@ def cooccurrence(
     block: int | None = None,
     users_per_salt: int = USERS_PER_SALT,
     stripe_blocks: int = STRIPE_BLOCKS,
+    each: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Users shared by two items, as ``(i, j, n)`` over catalog indexes, both directions.
 
     Item pairs of a user are never written out: a user's items of one block of row items travel next to the user's items, and a task adds up
-    the cells of a block. ``index`` as ``counted_index`` gives it.
+    the cells of a block. ``index`` as ``counted_index`` gives it. With ``each`` the cells are taken in slices that hold all cells of
+    their ``i``; what ``each`` makes of a slice is written before the next one begins, so only one slice's shuffle lies on disk.
     """
-    index = counted_index(pairs.select(USER, ITEM).distinct()) if index is None else index
-    n_items, block = index.count(), block or _block_of(pairs, index.count())
-    met = _met(pairs, index, block, users_per_salt, stripe_blocks, n_items, counted=False)
-    schema = "i bigint, j bigint, n bigint"
-    if not _salted(index, block, users_per_salt):
-        return _per_block(met, block, n_items, _all_cells, schema)
-    whole = _per_block(met.where("salts = 1"), block, n_items, _all_cells, schema)
-    # The cells of a salted block come in several pieces; one more sum completes them.
-    parts = _per_block(met.where("salts > 1"), block, n_items, _all_cells, schema)
-    return whole.unionByName(parts.groupBy("i", "j").agg(F.sum("n").alias("n")))
+    index = counted_index(pairs.select(USER, ITEM)) if index is None else index
+    n_items = index.count()
+    slices, block, salted = _met_slices(pairs, index, block, users_per_salt, stripe_blocks, n_items, False, each is not None)
+    schema, out = "i bigint, j bigint, n bigint", []
+    for met in slices:
+        cells = _per_block(met.where("salts = 1") if salted else met, block, n_items, _all_cells, schema)
+        if salted:
+            # The cells of a salted block come in several pieces; one more sum completes them.
+            parts = _per_block(met.where("salts > 1"), block, n_items, _all_cells, schema)
+            cells = cells.unionByName(parts.groupBy("i", "j").agg(F.sum("n").alias("n")))
+        out.append(cells if each is None else durable(each(cells), "cells"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def item_neighbors(
@@ -236,7 +315,7 @@ def item_neighbors(
     """
     pairs = durable(positives(train).select(USER, ITEM).distinct(), "pairs")
     index = counted_index(pairs)
-    n_items, block = index.count(), block or _block_of(pairs, index.count())
+    n_items = index.count()
 
     def best(i, j, n, counts) -> pd.DataFrame:
         similarity = n / np.sqrt(counts[i].astype(np.float64) * counts[j].astype(np.float64))
@@ -246,12 +325,12 @@ def item_neighbors(
         keep = rank <= n_neighbors
         return pd.DataFrame({"i": i[keep], "j": j[keep], "similarity": similarity[keep], "rank": rank[keep].astype(np.int32)})
 
-    met = _met(pairs, index, block, users_per_salt, stripe_blocks, n_items)
-    whole = _per_block(met.where("salts = 1"), block, n_items, best, "i bigint, j bigint, similarity double, rank int")
+    (met,), block, salted = _met_slices(pairs, index, block, users_per_salt, stripe_blocks, n_items)
+    whole = _per_block(met.where("salts = 1") if salted else met, block, n_items, best, "i bigint, j bigint, similarity double, rank int")
     left = index.select(F.col("idx").alias("i"), F.col("c").alias("_ci"), F.col(ITEM))
     right = index.select(F.col("idx").alias("j"), F.col("c").alias("_cj"), F.col(ITEM).alias("neighbor_id"))
     out = whole
-    if _salted(index, block, users_per_salt):
+    if salted:
         parts = _per_block(met.where("salts > 1"), block, n_items, _all_cells, "i bigint, j bigint, n bigint")
         sums = parts.groupBy("i", "j").agg(F.sum("n").alias("n")).join(left, "i").join(right, "j")
         root = F.sqrt(F.col("_ci").cast("double") * F.col("_cj").cast("double"))

@@ -310,10 +310,8 @@ def item_neighbors(spark, d):
 
 def item_cooccurrence(spark, d):
     pairs = durable(orders_view(spark, d).select(USER, ITEM).distinct(), "pairs")
-    cells = models.cooccurrence(pairs)
-    return cells.groupBy(F.col("i").alias("idx")).agg(
-        F.count(F.lit(1)).alias("n_neighbors"), F.sum("n").alias("n_shared"), F.max("n").alias("max_shared")
-    )
+    totals = [F.count(F.lit(1)).alias("n_neighbors"), F.sum("n").alias("n_shared"), F.max("n").alias("max_shared")]
+    return models.cooccurrence(pairs, each=lambda cells: cells.groupBy(F.col("i").alias("idx")).agg(*totals))
 
 
 def neighbor_metrics(spark, d):

@@ -1,3 +1,4 @@
+import collections
 import math
 
 import numpy as np
@@ -581,6 +582,47 @@ def test_cells_of_whole_blocks_are_not_shuffled_again(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, models.cooccurrence(pairs, block=2, users_per_salt=3).collect()))
 
 
+def test_items_far_apart_travel_once_a_block(spark):
+    pairs = spark.createDataFrame([(u, i) for u in range(3) for i in range(0, 200, 1 + 60 * (u > 0))], "user_id bigint, item_id bigint")
+    # Rows were the blocks of a user times the wide blocks of the user.
+    assert models._met(pairs, models.counted_index(pairs), 1, 1000, 64, 200).groupBy().count().first()[0] == 4 + 4 + 200 * 4
+
+
+@pytest.mark.parametrize("options", [{}, {"stripe_blocks": 1}, {"stripe_blocks": 1, "users_per_salt": 3}])
+def test_slices_of_cells_are_whole(spark, options, monkeypatch):
+    for name, size in (("SLICE_TIMES", 0), ("SLICE_BYTES", 1), ("RUN_ITEMS", 4), ("STRIPE_PIECES", 1)):
+        monkeypatch.setattr(models, name, size)
+    rows = [(u, (u * 3 + k * k) % 17) for u in range(20) for k in range(15 if u == 4 else 4)] + [(None, 1), (3, None)]
+    pairs = spark.createDataFrame(rows, "user_id bigint, item_id bigint")
+    totals = lambda cells: cells.groupBy("i").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("n").alias("n"))
+    sums = []
+
+    def each(cells):
+        sums.append(cells)
+        return totals(cells)
+
+    got = models.cooccurrence(pairs, block=2, each=each, **options).collect()
+    assert len(sums) == 9
+    known = {(u, i) for u, i in rows if u is not None and i is not None}
+    places = {i: at for at, i in enumerate(sorted({i for _, i in rows if i is not None}))}
+    cells = collections.Counter((places[i], places[j]) for u, i in known for v, j in known if u == v and i != j)
+    expected = collections.defaultdict(lambda: [0, 0])
+    for (i, _), n in cells.items():
+        expected[i][0] += 1
+        expected[i][1] += n
+    assert {r.i: [r.n_cells, r.n] for r in got} == dict(expected) and len(got) == len(expected)
+    whole = models.cooccurrence(pairs, block=2, **options).collect()
+    assert {(r.i, r.j): r.n for r in whole} == dict(cells) and len(whole) == len(cells)
+
+
+def test_written_tables_leave_no_shuffle(spark):
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.shuffleStatuses().keySet().size()
+    durable(spark.range(100).repartition(7, "id"))
+    assert tracker.shuffleStatuses().keySet().size() <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_tables_of_users_and_queries_are_not_sent_whole(spark, labelled, items):
     pairs = labelled.select("user_id", "item_id").distinct()
     met = models._met(pairs, models.counted_index(pairs), 4, 1000, 64, 23)

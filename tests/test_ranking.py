@@ -615,6 +615,34 @@ def test_slices_of_cells_are_whole(spark, options, monkeypatch):
     assert {(r.i, r.j): r.n for r in whole} == dict(cells) and len(whole) == len(cells)
 
 
+def test_queries_are_not_written_once_a_block_of_items(tables, labelled, items):
+    queries, catalog = tables
+    for make in (scoring.catalog_target_ranks, lambda *a, **o: scoring.catalog_top_k(*a, 3, **o)):
+        plan = plan_of(make(queries, catalog, DIM, broadcast_bytes=0, block_items=5, chunk_queries=7))
+        assert "Generate" not in plan and "CoGroup" not in plan
+    assert "Generate" not in plan_of(experiments.transition_ranks(labelled, items))
+
+
+def test_catalog_ranks_without_items(spark, tables):
+    queries, catalog = tables
+    for options in SETTINGS:
+        ranks = scoring.catalog_target_ranks(queries, catalog.limit(0), DIM, **options).collect()
+        assert {r["rank"] for r in ranks} == {1} and len(ranks) == N_USERS
+    uneven = spark.createDataFrame([(0, [1.0] * DIM), (1, [1.0])], "id bigint, vector array<double>")
+    with pytest.raises(ValueError):
+        scoring.catalog_top_k(queries, uneven, DIM, 3)
+
+
+def test_queries_that_met_the_catalog_rank_alike(labelled, items):
+    known = catalog_index(items.where("item_id % 3 <> 1"), "item_id")
+    plain, met = models.queries_of(labelled), models.queries_of(labelled, index=known)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, met.select(plain.columns).collect()))
+    twice = lambda queries: queries.unionByName(queries.where("query_id % 4 = 0"))
+    near = models.item_neighbors(labelled.where("split = 'train'"), 4).join(known.withColumnRenamed("item_id", "neighbor_id"), "neighbor_id", "left_semi")
+    ranks = [sorted(map(tuple, ranking.target_ranks(models.neighbor_scores(plain, near), twice(q), known).collect())) for q in (plain, met)]
+    assert ranks[0] == ranks[1] and ranks[0]
+
+
 def test_written_tables_leave_no_shuffle(spark):
     tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
     before = tracker.shuffleStatuses().keySet().size()

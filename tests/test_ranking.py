@@ -643,6 +643,12 @@ def test_queries_that_met_the_catalog_rank_alike(labelled, items):
     assert ranks[0] == ranks[1] and ranks[0]
 
 
+def test_slices_of_users_are_split_alike(events):
+    for rows in (events, events.unionByName(events.where("user_id < 3").selectExpr("cast(null as bigint) user_id", "item_id", "rating", "timestamp", "row_id"))):
+        whole, sliced = labelled_splits(rows), labelled_splits(rows, hot_rows=50, slices=3)
+        assert sorted(map(str, whole.collect())) == sorted(map(str, sliced.select(whole.columns).collect())) and whole.count()
+
+
 def test_written_tables_leave_no_shuffle(spark):
     tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
     before = tracker.shuffleStatuses().keySet().size()
